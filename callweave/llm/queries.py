@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from callweave.llm import chat, mixing
+from callweave.llm import chat, mixing, quality_rules
 
 QUERIES = {
     "op1_preference_format": chat.op1_preference_format,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_quality_outliers": quality_rules.op9_quality_outliers,
 }
 
 ORACLE = {**chat.ORACLE, **mixing.ORACLE}
