@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from callweave.llm import chat, decontamination, line_dedup, mixing, near_duplicates, quality_rules
+from callweave.llm import chat, decontamination, line_dedup, mixing, near_duplicates, quality_rules, wavelet
 
 QUERIES = {
     "op1_preference_format": chat.op1_preference_format,
     "op2_line_edit_join": line_dedup.op2_line_edit_join,
     "op4_ngram_jaccard_join": near_duplicates.op4_ngram_jaccard_join,
     "op5_benchmark_leaks": decontamination.op5_benchmark_leaks,
+    "op7_wavelet_tokens": wavelet.op7_wavelet_tokens,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_quality_outliers": quality_rules.op9_quality_outliers,
 }
