@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from callweave.llm import chat, decontamination, line_dedup, mixing, near_duplicates, quality_rules, wavelet
+from callweave.llm import chat, class_ngrams, decontamination, line_dedup, mixing, near_duplicates, quality_rules, wavelet
 
 QUERIES = {
     "op1_preference_format": chat.op1_preference_format,
     "op2_line_edit_join": line_dedup.op2_line_edit_join,
+    "op3_class_bigrams": class_ngrams.op3_class_bigrams,
     "op4_ngram_jaccard_join": near_duplicates.op4_ngram_jaccard_join,
     "op5_benchmark_leaks": decontamination.op5_benchmark_leaks,
     "op7_wavelet_tokens": wavelet.op7_wavelet_tokens,
