@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from callweave.llm import chat, class_ngrams, decontamination, line_dedup, mixing, near_duplicates, quality_rules, wavelet
+from callweave.llm import chat, class_ngrams, decontamination, line_dedup, mixing, near_duplicates, pairwise_quality, quality_rules, warc, wavelet
 
 QUERIES = {
     "op1_preference_format": chat.op1_preference_format,
@@ -10,9 +10,11 @@ QUERIES = {
     "op3_class_bigrams": class_ngrams.op3_class_bigrams,
     "op4_ngram_jaccard_join": near_duplicates.op4_ngram_jaccard_join,
     "op5_benchmark_leaks": decontamination.op5_benchmark_leaks,
+    "op6_warc_pages": warc.op6_warc_pages,
     "op7_wavelet_tokens": wavelet.op7_wavelet_tokens,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_quality_outliers": quality_rules.op9_quality_outliers,
+    "op10_pairwise_quality": pairwise_quality.op10_pairwise_quality,
 }
 
-ORACLE = {**chat.ORACLE, **mixing.ORACLE}
+ORACLE = {**chat.ORACLE, **mixing.ORACLE, **warc.ORACLE}
