@@ -1,9 +1,9 @@
 """From rows that share keys to exact links between them, without emitting all pairs of a group.
 
-1. ``key_rows`` turns (key, node) pairs of a batch into stars before the shuffle, so that a very common key reaches the
-   shuffle once per batch and not once per node.
+1. ``key_rows`` joins the nodes of a batch by their keys before the shuffle, so that a very common key reaches the
+   shuffle once per batch and not once per node, and a group's nodes have one edge each and not one for each key.
 2. ``star_edges`` links every node of a key to the key's least node.
-3. ``components`` joins edges to groups of nodes by least labels and pointer jumping.
+3. ``components`` joins edges to groups of nodes by contracting them to least neighbours.
 4. ``blocks`` deals each group's nodes to pairs of blocks of bounded size, where all pairs are compared in one small task.
    Nodes have a class, and only equal and neighbouring classes can link.
 """
@@ -31,22 +31,34 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def key_rows(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (key, node) of a batch -> rows for ``star_edges``: each key with its least node, and for any other node
-    of the key one two-node key of its own with that least node."""
+    """(key, node) of a batch -> rows for ``star_edges``. Nodes that keys join within the batch are led by the least of
+    them: keys come with their leader, each once, and any other node with its leader under a key of their own."""
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
-    if len(key) == 0:
-        return key, node
-    first = np.r_[True, key[1:] != key[:-1]]
-    lead = node[np.flatnonzero(first)][np.cumsum(first) - 1]
-    rest = node != lead
-    a, b = node[rest], lead[rest]
-    if len(a) == 0:
-        return key[first], node[first]
-    pairs = np.unique(np.stack([a, b], 1), axis=0)
-    a, b = pairs[:, 0], pairs[:, 1]
+    new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])][: len(key)]
+    key, node = key[new], node[new]
+    first = np.r_[True, key[1:] != key[:-1]][: len(key)]
+    group = np.cumsum(first) - 1
+    shared = np.bincount(group)[group] > 1 if len(key) else first
+    names, who = np.unique(node[shared], return_inverse=True)
+    lead = np.arange(len(names))
+    if len(names):
+        by_key = np.flatnonzero(np.r_[True, np.diff(group[shared]) != 0])
+        sizes = np.diff(np.r_[by_key, len(who)])
+        by_node = np.argsort(who, kind="stable")
+        at = np.flatnonzero(np.r_[True, np.diff(who[by_node]) != 0])
+        while True:
+            least = np.repeat(np.minimum.reduceat(lead[who], by_key), sizes)
+            now = np.minimum(lead, np.minimum.reduceat(least[by_node], at))
+            now = now[now]
+            if (now == lead).all():
+                break
+            lead = now
+    leader = node.copy()
+    leader[shared] = names[lead][who]
+    a, b = names[lead != np.arange(len(names))], names[lead][lead != np.arange(len(names))]
     own = mix64(mix64(a.view(np.uint64)) + b.view(np.uint64)).view(np.int64)
-    return np.concatenate([key[first], own, own]), np.concatenate([node[first], a, b])
+    return np.concatenate([key[first], own, own]), np.concatenate([leader[first], a, b])
 
 
 def star_edges(rows: DataFrame) -> DataFrame:
@@ -57,18 +69,29 @@ def star_edges(rows: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "cw-components") -> DataFrame:
-    """(a, b) -> (node, comp) for all nodes with an edge; comp is the least node that can be reached."""
-    edges = saved(edges, name)
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), name)
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        met = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("upper"))
-        new = saved(met.join(up, "comp").select("node", F.least("comp", "upper").alias("comp"), "old"), name)
-        labels = new.select("node", "comp")
-        if new.filter("comp <> old").isEmpty():
-            return labels
+    """(a, b) -> (node, comp) for all nodes with an edge; comp is the least node that can be reached.
+
+    In each round every node goes to its least neighbour, if that is less, and on to that one's; the edges are then taken
+    between the nodes arrived at. Nodes that stay are less than all their neighbours, so a round leaves half of them at
+    most, and chains end in few rounds. The rounds' steps are composed at the end.
+    """
+    edges = saved(edges.select("a", "b"), name)
+    steps = []
+    while not edges.isEmpty():
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("to")), name)
+        on = least.select(F.col("node").alias("to"), F.col("to").alias("comp"))
+        step = saved(least.join(on, "to").select("node", "comp"), name)
+        steps.append(step)
+        of_a, of_b = step.select(F.col("node").alias("a"), F.col("comp").alias("ca")), step.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+        met = edges.join(of_a, "a").join(of_b, "b").filter("ca <> cb")
+        edges = saved(met.select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")).distinct(), name)
+    if not steps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    out = steps[0]
+    for step in steps[1:]:
+        out = out.join(step.select(F.col("node").alias("comp"), F.col("comp").alias("upper")), "comp", "left").select("node", F.coalesce("upper", "comp").alias("comp"))
+    return saved(out, name)
 
 
 def blocks(nodes: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -188,7 +188,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     step = math.log(1 / threshold)
     klass = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int")
     members = saved(groups.join(nodes, "node").select("node", "comp", klass.alias("klass"), "copies", "uid"), name)
-    texts = docs.select(_uid().alias("uid"), "text").join(members.select("node", "uid"), "uid")
+    # Members grow with the table, so their texts are fetched by a shuffle at every size.
+    texts = docs.select(_uid().alias("uid"), "text").join(members.select("node", "uid").hint("merge"), "uid")
     grams = saved(gram_sets(texts.select("node", "text")).dropDuplicates(["node"]), name)
     dealt = blocks(members.drop("uid").join(grams, "node"))
     found = saved(dealt.groupBy(*GROUP).applyInArrow(_links(threshold), "node long, links long, root long"), name)
