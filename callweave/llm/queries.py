@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from callweave.llm import chat, class_ngrams, decontamination, line_dedup, mixing, near_duplicates, pairwise_quality, quality_rules, warc, wavelet
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_quality_outliers": quality_rules.op9_quality_outliers,
     "op10_pairwise_quality": pairwise_quality.op10_pairwise_quality,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {**chat.ORACLE, **mixing.ORACLE, **warc.ORACLE}
