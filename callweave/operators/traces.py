@@ -58,8 +58,8 @@ def created_contracts(df: DataFrame) -> DataFrame:
 
 
 def filter_contract_endpoints(calls: DataFrame, code: DataFrame, excluded: str | None = None, source: str = "from_address", target: str = "to_address") -> DataFrame:
-    """Calls between two addresses that are valid and have code other than none and the excluded one. The many calls are
-    first reduced to their distinct addresses, so that hub addresses meet the code table once."""
+    """Calls between two addresses that are valid and have code other than none and the excluded one: a semi-join on each
+    end, whose hub addresses Spark's skew handling splits."""
     has_code = code.filter(F.col("code").isNotNull() & ~F.col("code").isin("", "0x") & F.lower("address").rlike("^0x[0-9a-f]{40}$"))
     if excluded is not None:
         has_code = has_code.filter(F.col("code") != excluded)
