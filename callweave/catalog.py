@@ -115,12 +115,12 @@ _CALLS = f"""calls AS (
  typed AS (SELECT source, target, type, {COUNT} AS n FROM calls GROUP BY source, target, type),
  pairs AS (SELECT source, target, string_agg(type || '=' || n, ', ' ORDER BY type) AS types, CAST(sum(n) AS BIGINT) AS n FROM typed GROUP BY source, target)"""
 _G = f"WITH {_CALLS} "
-_T = F.array_join(F.transform(F.array_sort(F.map_entries("types")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ", ")
 
 
 def flat(edges: DataFrame) -> DataFrame:
     """Edges with their types as text."""
-    return edges.withColumn("types", _T)
+    one = lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))
+    return edges.withColumn("types", F.array_join(F.transform(F.array_sort(F.map_entries("types")), one), ", "))
 
 
 @query("edges_to_node_link", None)
