@@ -36,7 +36,7 @@ SHARD_TOKENS = 1 << 22
 MAGIC = b"WVMX0001"
 BLOCK = 512
 #: Chunks of text whose ids a Python worker keeps.
-CACHE = 300_000
+CACHE = 1_200_000
 #: A space before white space or the end: not a place to cut.
 UNSAFE = re.compile("[ ](?:[\\s\x1c-\x1f\x85\xa0\u180e\u200b\ufeff]|\\Z)")
 
@@ -47,10 +47,11 @@ UNSAFE = re.compile("[ ](?:[\\s\x1c-\x1f\x85\xa0\u180e\u200b\ufeff]|\\Z)")
 def build_planes(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     """Bit-planes of the ids, as packed bytes, from the highest bit to the lowest."""
     planes = []
+    ids = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     for level in range(bits - 1, -1, -1):
         one = (ids >> level & 1).astype(bool)
         planes.append(np.packbits(one, bitorder="little"))
-        ids = np.concatenate([ids[~one], ids[one]])
+        ids = np.concatenate([np.compress(~one, ids), np.compress(one, ids)])
     return planes
 
 
@@ -61,8 +62,8 @@ def decode_planes(planes: list[np.ndarray], n: int) -> np.ndarray:
         one = np.unpackbits(plane, count=n, bitorder="little").astype(bool)
         zeros = n - int(one.sum())
         back = np.empty(n, np.uint32)
-        back[~one] = ids[:zeros]
-        back[one] = ids[zeros:] | np.uint32(1 << level)
+        np.place(back, ~one, ids[:zeros])
+        np.place(back, one, ids[zeros:] | np.uint32(1 << level))
         ids = back
     return ids
 
@@ -243,13 +244,17 @@ class Encoder:
         if len(self.chunks) > self.cache:
             self.chunks.clear()
         fresh: set[str] = set()
+        firsts: list[bytes] = []
         for words in cut:
-            if words:
-                fresh.update(words[1:])
+            if words is not None:
+                first = words.pop(0)
+                firsts.append(self._whole(first) if first else b"")
+                fresh.update(words)
         if new := list(fresh.difference(self.chunks)):
             self._learn(new)
         known = self.chunks.__getitem__
-        return [self._whole(t) if words is None else (self._whole(words[0]) if words[0] else b"") + b"".join(map(known, words[1:])) for t, words in zip(texts, cut, strict=True)]
+        heads = iter(firsts)
+        return [self._whole(t) if words is None else next(heads) + b"".join(map(known, words)) for t, words in zip(texts, cut, strict=True)]
 
 
 @lru_cache(maxsize=2)
