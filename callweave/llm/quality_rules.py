@@ -169,19 +169,29 @@ def fit(points: DataFrame) -> DataFrame:
     return saved(groups.withColumn("key", key).join(final, "key").drop("key", "pooled"), name)
 
 
-def judged(rows: DataFrame, params: DataFrame, stats: str) -> DataFrame:
-    """``rows`` (lang, source and the struct ``stats``) with ``_cw_kept`` and ``_cw_d2`` by the fitted parameters.
+def _with_params(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """``rows`` with the parameters of their language and source as the struct ``_cw_p``.
 
     The parameters are one row per language and source; Spark broadcasts them where their measured size allows it.
     """
     prefixed = params.select(F.struct(*M, *L, "usable").alias("_cw_p"), F.col("g_lang").alias("_cw_lang"), F.col("g_source").alias("_cw_source"))
     out = rows.join(prefixed, rows["lang"].eqNullSafe(prefixed["_cw_lang"]) & rows["source"].eqNullSafe(prefixed["_cw_source"]), "left")
-    x, p, z = vector(F.col(stats)), F.col("_cw_p"), []
+    return out.drop("_cw_lang", "_cw_source")
+
+
+def _verdict(s: Column, p: Column) -> tuple[Column, Column]:
+    """Squared distance of the statistics, and whether they are kept."""
+    x, z = vector(s), []
     for i in range(P):
         z.append((x[i] - p[M[i]] - sum((p[f"l{i}{j}"] * z[j] for j in range(i)), F.lit(0.0))) / p[f"l{i}{i}"])
     d2 = reduce(lambda a, b: a + b, (v * v for v in z))
-    kept = ~base_failed(F.col(stats)) & ~(F.coalesce(p["usable"], F.lit(False)) & F.coalesce(d2 > CUTOFF, F.lit(False)))
-    return out.withColumn("_cw_d2", d2).withColumn("_cw_kept", kept).drop("_cw_p", "_cw_lang", "_cw_source")
+    return d2, ~base_failed(s) & ~(F.coalesce(p["usable"], F.lit(False)) & F.coalesce(d2 > CUTOFF, F.lit(False)))
+
+
+def judged(rows: DataFrame, params: DataFrame, stats: str) -> DataFrame:
+    """``rows`` (lang, source and the struct ``stats``) with ``_cw_kept`` and ``_cw_d2`` by the fitted parameters."""
+    d2, kept = _verdict(F.col(stats), F.col("_cw_p"))
+    return _with_params(rows, params).withColumn("_cw_d2", d2).withColumn("_cw_kept", kept).drop("_cw_p")
 
 
 def _points(stats: DataFrame) -> DataFrame:
@@ -197,7 +207,9 @@ def measured(docs: DataFrame) -> DataFrame:
 def filter_outliers(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that both the base rules and the distance keep, columns unchanged."""
     params = fit(_points(measured(docs)))
-    return judged(docs.withColumn("_cw_s", text_stats(F.col("text"))), params, "_cw_s").filter("_cw_kept").select(*docs.columns)
+    # One expression, so that a text's statistics are taken once and not for each place that they are used in.
+    kept = _let(text_stats(F.col("text")), lambda s: _verdict(s, F.col("_cw_p"))[1])
+    return _with_params(docs, params).filter(kept).select(*docs.columns)
 
 
 def op9_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
