@@ -104,6 +104,25 @@ def test_against_numpy(spark):
     assert Counter(r.doc_id for r in left.collect()) == Counter(d for (d, kept), n in want.items() for _ in range(n) if kept)
 
 
+def test_each_statistic_alone_rejects(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8)))
+    line = lambda n=10: " ".join(word() for _ in range(n))
+    rows = [(k, "\n".join(line() for _ in range(rng.randrange(6, 30))), "en", "a") for k in range(120)]
+    # Clean too: one line of many comes again.
+    rows += [(500 + k, "\n".join([x := line(), *[line() for _ in range(18)], x]), "en", "a") for k in range(3)]
+    rows += [
+        (1000, "\n".join(x for _ in range(20) for x in (line(), "abcd")), "en", "a"),  # half of the lines are equal
+        (1001, "\n".join([p := " ".join(word() for _ in range(60)), *[line() for _ in range(18)], p + " end"]), "en", "a"),  # 40 % of the words come twice
+        (1002, "\n".join(" ".join(word() + word() + word() for _ in range(10)) for _ in range(20)), "en", "a"),
+        (1003, "\n".join(" ".join(word()[1:] + "#" for _ in range(10)) for _ in range(20)), "en", "a"),
+    ]
+    docs = frame(spark, rows)
+    half, twice = stats(rows[-4][1]), stats(rows[-3][1])
+    assert half[5] == 0 and 2 * half[4] > 0.9 * half[3] and twice[4] == 0 and 0.35 * twice[0] < twice[5] < 0.5 * twice[0]
+    assert sorted(r.doc_id for r in qr.filter_outliers(docs).collect()) == [r[0] for r in rows[:-4]]
+
+
 def test_empty_table(spark):
     assert qr.filter_outliers(frame(spark, [])).count() == 0
 
