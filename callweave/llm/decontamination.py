@@ -1,10 +1,11 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Benchmark items are cut into overlapping windows of ``WINDOW`` characters (a shorter item is one window). A text that
+Benchmark items are looked for by windows at every place: of ``WINDOW`` characters (a shorter item is one window), and of
+``PASSAGE`` characters, about 13 English words, so that a part of an item is found wherever in the item it starts. A text that
 holds a window with at most e edits shares at least n + 1 - q(e + 1) of the window's q-grams with it, all within e
 diagonals of each other. So the q-grams of each text are looked up in the benchmark's, hits are counted per item and
-overlapping band of diagonals, then per window in the bands that have enough, and what meets the bound is verified by
-an alignment of the window within the band, of edit distance e or less. Case is folded where that keeps a character one
+overlapping band of diagonals, then for all windows at once in the bands that have enough, and what meets the bound is
+verified by an alignment of the window within the band, of edit distance e or less. Case is folded where that keeps a character one
 character; a window's edit budget is a tenth of its length, less if the bound would fall under one q-gram.
 
 The benchmark is taken in blocks of at most ``BLOCK_CHARS`` characters (or one longer item), so what a task holds of it
@@ -27,7 +28,7 @@ from callweave.llm.common import saved, table
 from callweave.llm.linking import mix64
 
 Q, EDIT_RATE, LEAST_RATE = 8, 0.1, 0.15
-WINDOW, STRIDE, MIN_ITEM = 96, 48, 40
+WINDOW, PASSAGE, MIN_ITEM = 96, 72, 40
 BAND = 32
 BLOCK_CHARS = 4_000_000
 #: Characters of texts that are looked up at once.
@@ -83,51 +84,64 @@ def index_of(items: list[tuple[int, str]]) -> Index:
     return Index(np.array([i for i, _ in items], np.int64), start, np.concatenate([np.zeros(0, np.uint32), *points]), distinct, np.r_[first, len(gram)], place[order], bits)
 
 
-def window_starts(n: int) -> list[int]:
-    return [0] if n <= WINDOW else [*range(0, n - WINDOW, STRIDE), n - WINDOW]
+def window_starts(n: int, size: int = WINDOW) -> list[int]:
+    return [*range(max(1, n - size + 1))]
 
 
-def aligned(window: np.ndarray, text: np.ndarray, diagonals: np.ndarray, e: int) -> tuple[int, int, int] | None:
-    """(edits, start, stop) of the best place of ``window`` in ``text`` within ``e`` of the diagonals of its hits, if of
-    ``e`` edits or less.
+def window_sizes(n: int) -> list[int]:
+    """Of the windows of an item of n characters."""
+    return [min(n, WINDOW), *([PASSAGE] if n > PASSAGE else [])]
+
+
+def aligned(windows: np.ndarray, at: np.ndarray, text: np.ndarray, diagonals: np.ndarray, e: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edits, start, stop) of the best place in ``text`` of each of the windows (rows, all of one length) that begin at
+    ``at`` of their item, within ``e`` of the item's diagonals; edits over ``e`` stand for none.
 
     A place on the commonest diagonal without an edit is taken at once. Else row i of the table holds the costs of the
-    window's first i characters; column k is diagonal low - e + k.
+    windows' first i characters; column k is diagonal low - e + k.
     """
-    low, high = int(diagonals.min()), int(diagonals.max())
-    exact = low + int(np.bincount(diagonals - low).argmax())
-    if exact >= 0 and np.array_equal(text[exact : exact + len(window)], window):
-        return 0, exact, exact + len(window)
-    lo = low - e
-    width = high + e - lo + 1
-    steps = np.arange(width)
-    diag = lo + steps
-    far = 1 << 30
+    k, m = windows.shape
+    n, low = len(text), int(diagonals.min())
+    exact = at + low + int(np.bincount(diagonals - low).argmax())
+    edits, start, stop = np.full(k, e + 1), exact.copy(), exact + m
+    fits = np.flatnonzero((exact >= 0) & (exact + m <= n))
+    same = fits[(text[exact[fits, None] + np.arange(m)] == windows[fits]).all(1)]
+    edits[same] = 0
+    left = np.flatnonzero(edits > 0)
+    if len(left) == 0:
+        return edits, start, stop
+    lo, width = low - e, int(diagonals.max()) - low + 2 * e + 1
+    steps, far = np.arange(width, dtype=np.int32), np.int32(1 << 20)
     # The text along the band, with characters that equal none beyond its ends; what of a row is inside the text.
-    n, m = len(text), len(window)
-    reach = np.full(width + m, -1, np.int64)
-    first, last = max(0, lo), min(n, lo + width + m)
-    reach[first - lo : last - lo] = text[first:last] if last > first else []
-    outside = np.arange(lo, lo + width + m + 1)
-    outside = np.where((outside >= 0) & (outside <= n), 0, far)
-    cost, began = outside[:width].copy(), diag.copy()
-    shifted, from_ = np.full(width, far), np.zeros(width, np.int64)
+    place = at[left, None] + lo + np.arange(width + m + 1)
+    inside = (place >= 0) & (place < n)
+    reach = np.where(inside, text[np.clip(place, 0, n - 1)].astype(np.int64), -1)
+    outside = np.where((place >= 0) & (place <= n), 0, far).astype(np.int32)
+    own = windows[left].astype(np.int64)
+    cost, began = outside[:, :width].copy(), np.broadcast_to(steps, (len(left), width)).copy()
+    shifted, from_ = np.full_like(cost, far), np.zeros_like(began)
     for i in range(1, m + 1):
-        new = cost + (reach[i - 1 : i - 1 + width] != window[i - 1])
-        shifted[:-1] = cost[1:]
-        from_[:-1] = began[1:]
+        new = cost + (reach[:, i - 1 : i - 1 + width] != own[:, i - 1 : i])
+        shifted[:, :-1] = cost[:, 1:]
+        from_[:, :-1] = began[:, 1:]
         better = shifted + 1 < new  # the window's character has none in the text
-        new = np.where(better, shifted + 1, new) + outside[i : i + width]
+        new = np.where(better, shifted + 1, new) + outside[:, i : i + width]
         src = np.where(better, from_, began)
         # A text character too many: along the row, from the least of cost minus steps.
         flat = new - steps
-        best = np.minimum.accumulate(flat)
-        cost = best + steps + outside[i : i + width]
-        began = src[np.maximum.accumulate(np.where(flat == best, steps, 0))]
-        if cost.min() > e:
-            return None
-    k = int(cost.argmin())
-    return int(cost[k]), int(began[k]), int(diag[k] + m)
+        best = np.minimum.accumulate(flat, axis=1)
+        cost = best + steps + outside[:, i : i + width]
+        began = np.take_along_axis(src, np.maximum.accumulate(np.where(flat == best, steps, 0), axis=1), 1)
+        going = cost.min(1) <= e
+        if not going.all():
+            left, reach, outside, own, cost, began = (x[going] for x in (left, reach, outside, own, cost, began))
+            shifted, from_ = shifted[going], from_[going]
+            if len(left) == 0:
+                return edits, start, stop
+    end = cost.argmin(1)
+    rows = np.arange(len(left))
+    edits[left], start[left], stop[left] = cost[rows, end], at[left] + lo + began[rows, end], at[left] + lo + end + m
+    return edits, start, stop
 
 
 def _bands(diagonal: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +152,7 @@ def _bands(diagonal: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def search(index: Index, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, int, int]]:
-    """(text, item, windows, start, stop, least edits) for each text and item position of the block that match."""
+    """(text, item, places of windows, start, stop, least edits) for each text and item position of the block that match."""
     sizes = np.array([len(t) for t in texts], np.int64)
     start = np.cumsum(sizes) - sizes
     text = np.concatenate([np.zeros(0, np.uint32), *texts])
@@ -156,11 +170,11 @@ def search(index: Index, texts: list[np.ndarray]) -> list[tuple[int, int, int, i
     item = np.searchsorted(index.start, place, "right") - 1
     doc, pos, within = doc[hit], at[hit] - start[doc[hit]], place - index.start[item]
     n_item = np.diff(index.start)
-    n_window = np.minimum(n_item, WINDOW)
-    edits, least = (np.array(x, np.int64) for x in zip(*[budget(int(n)) for n in n_window], strict=True))
+    sizes_of = [[(size, *budget(size)) for size in window_sizes(int(n))] for n in n_item]
+    least = np.array([min(x[2] for x in own) for own in sizes_of], np.int64)
 
     # Bands per item with as many hits as any one window needs.
-    overlap = int(edits.max())
+    overlap = max(x[1] for own in sizes_of for x in own)
     if len(hit) == 0:
         return []
     which, band = _bands(pos - within, overlap)
@@ -171,25 +185,27 @@ def search(index: Index, texts: list[np.ndarray]) -> list[tuple[int, int, int, i
     counts = np.diff(np.r_[cuts, len(order)])
     places = (pos - within)[which]
     out: dict[tuple[int, int], list] = {}
-    seen = set()
     for c in np.flatnonzero(counts >= least[key[order[cuts], 1]]):
         rows = order[cuts[c] : cuts[c] + counts[c]]
         d, i = (int(x) for x in key[rows[0], :2])
-        offsets = within[which[rows]]
-        n = int(n_window[i])
-        for w in window_starts(int(n_item[i])):
-            own = (offsets >= w) & (offsets <= w + n - Q)
-            if len(np.unique(offsets[own])) < least[i]:
-                continue
-            window = index.points[index.start[i] + w : index.start[i] + w + n]
-            good = aligned(window, texts[d], places[rows[own]] + w, int(edits[i]))
-            if good is None or (d, i, w, good[1]) in seen:
-                continue
-            seen.add((d, i, w, good[1]))
-            cost, lo, hi = good
-            row = out.setdefault((d, i), [set(), lo, hi, cost])
-            row[0].add(w)
-            row[1:] = min(row[1], lo), max(row[2], hi), min(row[3], cost)
+        # How many of the item's places up to each one have a hit, so that every window is counted at once.
+        upto = np.zeros(int(n_item[i]) + 1, np.int64)
+        upto[within[which[rows]] + 1] = 1
+        upto = np.cumsum(upto)
+        points = index.points[index.start[i] : index.start[i + 1]]
+        for n, e, enough in sizes_of[i]:
+            w = np.arange(len(points) - n + 1)
+            w = w[upto[w + n - Q + 1] - upto[w] >= enough]
+            # In parts, so that the tables have a bound for long items too.
+            for own in (w[x : x + 512] for x in range(0, len(w), 512)):
+                hits = (within[which[rows]] >= own[0]) & (within[which[rows]] <= own[-1] + n - Q)
+                cost, lo, hi = aligned(points[own[:, None] + np.arange(n)], own, texts[d], places[rows[hits]], e)
+                good = cost <= e
+                if good.any():
+                    lo, hi, cost = int(lo[good].min()), int(hi[good].max()), int(cost[good].min())
+                    row = out.setdefault((d, i), [set(), lo, hi, cost])
+                    row[0].update((n, x) for x in own[good].tolist())
+                    row[1:] = min(row[1], lo), max(row[2], hi), min(row[3], cost)
     return [(d, i, len(r[0]), *r[1:]) for (d, i), r in out.items()]
 
 
@@ -224,6 +240,7 @@ def matches(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, doc_key, item_id, n_windows, start, stop, edits): one row per document and benchmark item with a match;
+    n_windows counts the item's windows, of both sizes and at every place, that match,
     start and stop span the matching places in the text, edits is the least of a window."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.length("text") >= MIN_ITEM)
     before = F.sum(F.length("text")).over(Window.orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, -1))

@@ -76,6 +76,19 @@ def test_place_of_a_passage():
     assert row[:2] == (0, 0) and row[3:] == (300, 300 + len(item), 0)
 
 
+def test_parts_of_an_item_at_every_offset():
+    rng = random.Random(5)
+    item, text = prose(rng, 110)[:230], prose(rng, 200)
+    for size in (72, 75, 87, 95, 110):
+        cuts = [item[at : at + size] for at in range(len(item) - size + 1)]
+        found = dc.search(dc.index_of([(7, item)]), [dc.folded(text[:300] + c + text[300:]) for c in cuts])
+        assert [f[0] for f in found] == [*range(len(cuts))]
+        assert all(f[3] <= 300 and f[4] >= 300 + size and f[5] == 0 for f in found if size == 72)
+    for at in range(0, len(item) - 100, 7):
+        (row,) = dc.search(dc.index_of([(7, item)]), [dc.folded(text[:300] + edited(rng, item[at : at + 100], 4) + text[300:])])
+        assert row[5] <= 4
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "x" * 100)], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
