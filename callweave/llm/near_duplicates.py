@@ -206,7 +206,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` with one row left of each class: that of the least doc_id (of rows with that id, any one)."""
+    """The rows of ``docs`` with one row left of each class: that of the least doc_id (of rows with that id, any one).
+
+    Rows whose doc_id is null are the exception: all of them are left, copies of each other and of rows with an id too.
+    """
     found = near_duplicates(docs, **parameters).filter("class_id = doc_id and node is not null")
     kept = found.select(F.col("doc_id").alias("_cw_id"), F.col("node").alias("_cw_node"), F.lit(True).alias("_cw_kept")).distinct()
 

@@ -74,6 +74,12 @@ def test_keep_one(spark, rows):
     assert Counter(r.doc_id for r in kept.collect()) == Counter({k: v for k, v in want.items() if v})
 
 
+def test_keep_one_leaves_rows_without_an_id(spark):
+    text = "one two three four five six seven eight"
+    kept = nd.keep_one(frame(spark, [(None, text), (None, text), (7, "other " * 9), (None, "other " * 9), (8, "other " * 9)]))
+    assert sorted((r.doc_id or 0, r.text == text) for r in kept.collect()) == [(0, False), (0, True), (0, True), (7, False)]
+
+
 def test_empty_table(spark):
     assert nd.near_duplicates(frame(spark, [])).count() == 0
     assert nd.keep_one(frame(spark, [])).count() == 0
