@@ -14,12 +14,14 @@ are encoded each. Null ids come first. An empty table gives no shards and an emp
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,12 @@ BLOCK = 512
 CACHE = 1_200_000
 #: A space before white space or the end: not a place to cut.
 UNSAFE = re.compile("[ ](?:[\\s\x1c-\x1f\x85\xa0\u180e\u200b\ufeff]|\\Z)")
+#: White space other than line breaks: words that hold it aren't taken apart.
+ODD = re.compile("[^\\S\\n]|[\x85\xa0\u180e\u200b\ufeff]")
+#: Marks that are a piece of their own behind a letter or digit.
+MARKS = '.,;:!?"#$%&()*+-/<=>@[]^_`{|}~'
+#: Longer words aren't kept.
+LONG = 256
 
 
 # ---- the matrix ----
@@ -48,23 +56,28 @@ def build_planes(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     """Bit-planes of the ids, as packed bytes, from the highest bit to the lowest."""
     planes = []
     ids = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    other = np.empty_like(ids)
     for level in range(bits - 1, -1, -1):
-        one = (ids >> level & 1).astype(bool)
+        one = (ids & ids.dtype.type(1 << level)) != 0
         planes.append(np.packbits(one, bitorder="little"))
-        ids = np.concatenate([np.compress(~one, ids), np.compress(one, ids)])
+        zeros = len(ids) - int(np.count_nonzero(one))
+        np.compress(one, ids, out=other[zeros:])
+        np.compress(np.logical_not(one, out=one), ids, out=other[:zeros])
+        ids, other = other, ids
     return planes
 
 
 def decode_planes(planes: list[np.ndarray], n: int) -> np.ndarray:
     """All ids, by undoing the partings from the last plane to the first."""
-    ids = np.zeros(n, np.uint32)
+    ids = np.zeros(n, np.uint16 if len(planes) <= 16 else np.uint32)
+    back = np.empty_like(ids)
     for level, plane in enumerate(reversed(planes)):
-        one = np.unpackbits(plane, count=n, bitorder="little").astype(bool)
-        zeros = n - int(one.sum())
-        back = np.empty(n, np.uint32)
-        np.place(back, ~one, ids[:zeros])
-        np.place(back, one, ids[zeros:] | np.uint32(1 << level))
-        ids = back
+        one = np.unpackbits(plane, count=n, bitorder="little").view(bool)
+        zeros = n - int(np.count_nonzero(one))
+        ids[zeros:] |= ids.dtype.type(1 << level)
+        back[one] = ids[zeros:]
+        back[np.logical_not(one, out=one)] = ids[:zeros]
+        ids, back = back, ids
     return ids
 
 
@@ -200,12 +213,14 @@ def read_file(uri: str) -> bytes:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer of byte-level pieces, as little-endian 32-bit bytes.
+    """Ids of texts by a tokenizer of byte-level pieces, as little-endian bytes of ``dtype``.
 
     A piece never reaches over a single space that a character other than white space follows, so texts are cut into
-    chunks there, and each chunk is encoded once and kept. Chunks that aren't known yet are encoded many at a time, one
-    after another in a string: each begins with the only id whose piece begins with a space. Texts with other runs of
-    spaces, or with special tokens, go to the tokenizer whole.
+    chunks there, and the ids of each chunk are kept. A chunk that isn't known yet is taken apart where the pattern of
+    the pieces always ends one: before marks at its end that follow a letter or digit, and round a single line break.
+    The parts that aren't known are encoded many at a time: those after a space one after another in a string, as each
+    begins with the only id whose piece begins with a space; those at the start of a line with line breaks between.
+    Texts with other runs of spaces, or with special tokens, go to the tokenizer whole.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -219,42 +234,115 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.by_chunk = spec["normalizer"] is None and (pre.get("type"), pre.get("use_regex"), pre.get("add_prefix_space")) == ("ByteLevel", True, False)
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.chunks: dict[str, bytes] = {}
         self.cache = cache
         vocab = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for piece, i in vocab.items() if piece.startswith("\u0120")]] = True
+        self.breaks = np.zeros_like(self.opens)
+        self.breaks[vocab.get("\u010a", [])] = True
+        #: Ids of what follows a space, and of what starts a text or line.
+        self.chunks: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+        self.long: list[tuple[dict, str]] = []
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, chunks: list[str]) -> None:
-        strings = [" " + " ".join(chunks[at : at + 1000]) for at in range(0, len(chunks), 1000)]
-        found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
-        ids = np.concatenate([np.array(x.ids, "<u4") for x in found])
-        at = np.flatnonzero(self.opens[ids])
-        if len(at) == len(chunks):
-            data, cuts = ids.tobytes(), [*(at * 4).tolist(), len(ids) * 4]
-            self.chunks.update(zip(chunks, map(data.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _learn(self, known: dict[str, bytes], parts: list[str], mark: str, marks: np.ndarray) -> None:
+        """Adds the ids of ``parts``, each behind ``mark``, which is in the id that ``marks`` knows and stays if that is all of it."""
+        if not parts:
+            return
+        lead = mark if mark == " " else ""
+        strings = [mark + mark.join(parts[at : at + 1000]) for at in range(0, len(parts), 1000)]
+        ids = np.concatenate([np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)])
+        at = np.flatnonzero(marks[ids])
+        if len(at) == len(parts):
+            size, skip = self.dtype.itemsize, 0 if lead else self.dtype.itemsize
+            data, cuts = ids.tobytes(), [*(at * size).tolist(), len(ids) * size]
+            known.update(zip(parts, (data[lo + skip : hi] for lo, hi in zip(cuts, cuts[1:], strict=False)), strict=True))
         else:
-            self.chunks.update((c, self._whole(" " + c)) for c in chunks)
+            known.update((c, self._whole(lead + c)) for c in parts)
+
+    def _taken_apart(self, after: bool, word: str) -> list[tuple[bool, str]] | None:
+        """The parts of a word with line breaks or odd ends, each with whether it follows a space; None: only whole."""
+        if len(word) > LONG or ODD.search(word) or word.count("\n") > 1:
+            return None
+        first, line, second = word.partition("\n")
+        out = [(after, first)]
+        for part in (line, second):
+            base = part.rstrip(MARKS)
+            at = len(base) if base and len(base) < len(part) and base[-1] < "\u0250" and base[-1].isalnum() else len(part)
+            out += [(False, part[:at]), (False, part[at:])]
+        return [(here, part) for here, part in out if part]
+
+    def learn(self, heads: set[str], chunks: set[str]) -> None:
+        """Makes all of ``heads`` (starts of texts) and ``chunks`` known."""
+        known = self.bare, self.chunks
+        ends: list[tuple[str, str, str]] = []
+        cut: list[tuple[bool, str, list[tuple[bool, str]]]] = []
+        fresh: tuple[dict[str, None], dict[str, None]] = {}, {}
+        for word in chunks:
+            base = word.rstrip(MARKS)
+            if "\n" in word or len(word) > LONG:
+                cut.append((True, word, []))
+            elif base and len(base) < len(word) and base[-1] < "\u0250" and base[-1].isalnum():
+                tail = word[len(base) :]
+                ends.append((word, base, tail))
+                fresh[1][base] = fresh[0][tail] = None
+            else:
+                fresh[1][word] = None
+        cut += [(False, word, []) for word in heads]
+        for after, word, parts in cut:
+            parts += self._taken_apart(after, word) or []
+            for here, part in parts:
+                fresh[here][part] = None
+        self.bare.setdefault("\n", self._whole("\n"))
+        self._learn(self.bare, [x for x in fresh[0] if x not in self.bare], "\n", self.breaks)
+        self._learn(self.chunks, [x for x in fresh[1] if x not in self.chunks], " ", self.opens)
+        for after, word, parts in cut:
+            known[after][word] = b"".join([known[here][part] for here, part in parts]) if parts else self._whole(" " * after + word)
+            if len(word) > LONG:
+                self.long.append((known[after], word))
+        self.chunks.update([(word, self.chunks[base] + self.bare[tail]) for word, base, tail in ends])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") if self.by_chunk and not UNSAFE.search(t) and not any(s in t for s in self.special) else None for t in texts]
-        if len(self.chunks) > self.cache:
-            self.chunks.clear()
+        for known, word in self.long:
+            known.pop(word, None)
+        self.long.clear()
+        for name in ("chunks", "bare"):
+            if len(known := getattr(self, name)) > self.cache:
+                setattr(self, name, dict(islice(known.items(), self.cache // 2)))  # those met first, so the common ones
+        found: list[tuple[str, list[str], list[bytes], list[int]] | None] = []
+        heads: set[str] = set()
         fresh: set[str] = set()
-        firsts: list[bytes] = []
-        for words in cut:
-            if words is not None:
-                first = words.pop(0)
-                firsts.append(self._whole(first) if first else b"")
-                fresh.update(words)
-        if new := list(fresh.difference(self.chunks)):
-            self._learn(new)
-        known = self.chunks.__getitem__
-        heads = iter(firsts)
-        return [self._whole(t) if words is None else next(heads) + b"".join(map(known, words)) for t, words in zip(texts, cut, strict=True)]
+        get, none = self.chunks.get, repeat(b"")
+        for text in texts:
+            if not self.by_chunk or UNSAFE.search(text) or any(s in text for s in self.special):
+                found.append(None)
+                continue
+            head, *words = text.split(" ")
+            ids = list(map(get, words, none))
+            missing, at = [], -1
+            with contextlib.suppress(ValueError):
+                while True:
+                    at = ids.index(b"", at + 1)
+                    missing.append(at)
+            if head and head not in self.bare:
+                heads.add(head)
+            fresh.update([words[i] for i in missing])
+            found.append((head, words, ids, missing))
+        self.learn(heads, fresh)
+        out = []
+        for text, got in zip(texts, found, strict=True):
+            if got is None:
+                out.append(self._whole(text))
+                continue
+            head, words, ids, missing = got
+            for i in missing:
+                ids[i] = self.chunks[words[i]]
+            out.append((self.bare[head] if head else b"") + b"".join(ids))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -273,10 +361,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Writes the shard files of (doc_id, text) into ``folder``; returns one row per shard in order: part, shard, uri, n_docs, n_tokens, start."""
-    end = struct.pack("<I", end_id)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer or tokenizer_path())
+        end = np.array([end_id], encode.dtype).tobytes()
         part, shard = TaskContext.get().partitionId(), 0
         blobs: list[bytes] = []
         docs_: list[tuple[int | None, int]] = []
@@ -285,7 +373,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         def flush() -> pa.RecordBatch:
             nonlocal shard, size
             uri = f"{folder}/part-{part:06d}-{shard:06d}.wvm"
-            write_file(uri, encode_file(np.frombuffer(b"".join(blobs), "<u4"), docs_))
+            write_file(uri, encode_file(np.frombuffer(b"".join(blobs), encode.dtype), docs_))
             row = pa.RecordBatch.from_pydict({"part": [part], "shard": [shard], "uri": [uri], "n_docs": [len(docs_)], "n_tokens": [size]})
             blobs.clear()
             docs_.clear()
@@ -293,12 +381,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                rows = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
                 found = encode([t or "" for t in rows.column("text").to_pylist()])
                 for doc_id, ids in zip(rows.column("doc_id").to_pylist(), found, strict=True):
                     blobs.append(ids + end)
-                    docs_.append((doc_id, len(blobs[-1]) // 4))
+                    docs_.append((doc_id, len(blobs[-1]) // encode.dtype.itemsize))
                     size += docs_[-1][1]
                     if size >= shard_tokens:
                         yield flush()
