@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +45,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def write_file(uri: str, data: bytes) -> None:
+    """Whole or not at all: to a name of its own, then renamed."""
+    store, path = pyarrow.fs.FileSystem.from_uri(uri)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    own = f"{path}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}.part"
+    with store.open_output_stream(own) as out:
+        out.write(data)
+    store.move(own, path)
+
+
+def read_file(uri: str) -> bytes:
+    store, path = pyarrow.fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(path) as file:
+        return file.read()

@@ -25,13 +25,12 @@ from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callweave.llm.common import new_folder, saved, table
+from callweave.llm.common import new_folder, read_file, saved, table, write_file
 
 END_ID = 2
 SHARD_TOKENS = 1 << 22
@@ -45,6 +44,8 @@ UNSAFE = re.compile("[ ](?:[\\s\x1c-\x1f\x85\xa0\u180e\u200b\ufeff]|\\Z)")
 ODD = re.compile("[^\\S\\n]|[\x85\xa0\u180e\u200b\ufeff]")
 #: Marks that are a piece of their own behind a letter or digit.
 MARKS = '.,;:!?"#$%&()*+-/<=>@[]^_`{|}~'
+#: Words that are one piece.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 #: Longer words aren't kept.
 LONG = 256
 
@@ -75,8 +76,8 @@ def decode_planes(planes: list[np.ndarray], n: int) -> np.ndarray:
         one = np.unpackbits(plane, count=n, bitorder="little").view(bool)
         zeros = n - int(np.count_nonzero(one))
         ids[zeros:] |= ids.dtype.type(1 << level)
-        back[one] = ids[zeros:]
-        back[np.logical_not(one, out=one)] = ids[:zeros]
+        back[np.flatnonzero(one)] = ids[zeros:]
+        back[np.flatnonzero(np.logical_not(one, out=one))] = ids[:zeros]
         ids, back = back, ids
     return ids
 
@@ -193,22 +194,6 @@ def encode_file(ids: np.ndarray, docs: list[tuple[int | None, int]]) -> bytes:
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *body])
 
 
-def write_file(uri: str, data: bytes) -> None:
-    """Whole or not at all: to a name of its own, then renamed."""
-    store, path = pyarrow.fs.FileSystem.from_uri(uri)
-    store.create_dir(path.rpartition("/")[0], recursive=True)
-    own = f"{path}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}.part"
-    with store.open_output_stream(own) as out:
-        out.write(data)
-    store.move(own, path)
-
-
-def read_file(uri: str) -> bytes:
-    store, path = pyarrow.fs.FileSystem.from_uri(uri)
-    with store.open_input_stream(path) as file:
-        return file.read()
-
-
 # ---- encoding ----
 
 
@@ -219,7 +204,8 @@ class Encoder:
     chunks there, and the ids of each chunk are kept. A chunk that isn't known yet is taken apart where the pattern of
     the pieces always ends one: before marks at its end that follow a letter or digit, and round a single line break.
     The parts that aren't known are encoded many at a time: those after a space one after another in a string, as each
-    begins with the only id whose piece begins with a space; those at the start of a line with line breaks between.
+    begins with the only id whose piece begins with a space; those at the start of a line with line breaks between. Where
+    a part has letters only, it is one piece, and the search for pieces is spared.
     Texts with other runs of spaces, or with special tokens, go to the tokenizer whole.
     """
 
@@ -227,9 +213,13 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.of_pieces = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.of_pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        for t in (self.tokenizer, self.of_pieces):
+            if hasattr(t.model, "_resize_cache"):
+                t.model._resize_cache(0)  # words are kept here, and hardly any comes twice
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.by_chunk = spec["normalizer"] is None and (pre.get("type"), pre.get("use_regex"), pre.get("add_prefix_space")) == ("ByteLevel", True, False)
@@ -249,13 +239,14 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, known: dict[str, bytes], parts: list[str], mark: str, marks: np.ndarray) -> None:
-        """Adds the ids of ``parts``, each behind ``mark``, which is in the id that ``marks`` knows and stays if that is all of it."""
+    def _learn(self, known: dict[str, bytes], parts: list[str], mark: str, marks: np.ndarray, tokenizer) -> None:
+        """Adds the ids of ``parts``, each behind ``mark``, which is in the id that ``marks`` knows: the space in front of a
+        part is its own, the line break isn't."""
         if not parts:
             return
         lead = mark if mark == " " else ""
         strings = [mark + mark.join(parts[at : at + 1000]) for at in range(0, len(parts), 1000)]
-        ids = np.concatenate([np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)])
+        ids = np.concatenate([np.array(x.ids, self.dtype) for x in tokenizer.encode_batch_fast(strings, add_special_tokens=False)])
         at = np.flatnonzero(marks[ids])
         if len(at) == len(parts):
             size, skip = self.dtype.itemsize, 0 if lead else self.dtype.itemsize
@@ -298,8 +289,13 @@ class Encoder:
             for here, part in parts:
                 fresh[here][part] = None
         self.bare.setdefault("\n", self._whole("\n"))
-        self._learn(self.bare, [x for x in fresh[0] if x not in self.bare], "\n", self.breaks)
-        self._learn(self.chunks, [x for x in fresh[1] if x not in self.chunks], " ", self.opens)
+        self._learn(self.bare, [x for x in fresh[0] if x not in self.bare], "\n", self.breaks, self.tokenizer)
+        parts: tuple[list[str], list[str]] = [], []
+        for x in fresh[1]:
+            if x not in self.chunks:
+                parts[self.by_chunk and PLAIN.fullmatch(x) is not None].append(x)
+        self._learn(self.chunks, parts[0], " ", self.opens, self.tokenizer)
+        self._learn(self.chunks, parts[1], " ", self.opens, self.of_pieces)
         for after, word, parts in cut:
             known[after][word] = b"".join([known[here][part] for here, part in parts]) if parts else self._whole(" " * after + word)
             if len(word) > LONG:
