@@ -4,21 +4,23 @@
    shuffle once per batch and not once per node, and a group's nodes have one edge each and not one for each key.
 2. ``star_edges`` links every node of a key to the key's least node.
 3. ``components`` joins edges to groups of nodes by contracting them to least neighbours.
-4. ``blocks`` deals each group's nodes to pairs of blocks of bounded size, where all pairs are compared in one small task.
-   Nodes have a class, and only equal and neighbouring classes can link.
+4. ``compared`` finds the links inside groups: by the distances from a pivot where these settle them, else by comparisons
+   in pairs of blocks of bounded size. Nodes have a class, and only equal and neighbouring classes can link.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from callweave.llm.common import saved
 
 BLOCK = 128
 KEY_ROWS = "key long, node long"
-GROUP = ["comp", "ka", "ia", "kb", "ib"]
+GROUP = ["comp", "ka", "ba", "ia", "kb", "bb", "ib"]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -94,30 +96,70 @@ def components(edges: DataFrame, name: str = "cw-components") -> DataFrame:
     return saved(out, name)
 
 
-def blocks(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``nodes`` (node, comp, klass and payload) -> the same rows once per pair of blocks that they take part in.
+def compared(nodes: DataFrame, links, steps, bound: int, name: str, block: int = BLOCK) -> DataFrame:
+    """``nodes`` (node, comp, klass, copies and payload) -> (node, links, root): links to other nodes of its component, copies
+    counted, and a node that it is joined to; a node has a row for each task that met links of it.
 
-    A class of a component is dealt by hash to blocks of about ``block`` nodes. A row's own block is (klass, block).
+    A component of at most two blocks is one task. In a larger one all nodes are held against its pivot, the node with most
+    copies: ``steps`` gives their distances in whole steps, rounded down, where distances of less than ``bound`` steps are
+    links. By the triangle inequality nodes so near to the pivot that their distances add up to less are linked, and nodes whose
+    distances are too far apart are not, without a comparison; so a large group of near copies of one text costs one pass.
+    What neither rule settles is dealt by hash to blocks of about ``block`` nodes, and pairs of blocks of equal and
+    neighbouring classes are compared.
     """
-    sizes = saved(nodes.groupBy("comp", "klass").agg(F.count(F.lit(1)).alias("n")), "cw-sizes")
-    own = sizes.select("comp", "klass", "n", F.ceil(F.col("n") / block).cast("int").alias("nb"))
-    up = own.select("comp", (F.col("klass") - 1).alias("klass"), F.col("nb").alias("up"))
-    down = own.select("comp", (F.col("klass") + 1).alias("klass"), F.col("nb").alias("down"))
-    near = own.join(up, ["comp", "klass"], "left").join(down, ["comp", "klass"], "left")
-    out = nodes.join(near, ["comp", "klass"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    k, i = F.col("klass"), F.col("block")
-
-    def group(ka, ia, kb, ib):
-        return F.struct(ka.alias("ka"), ia.cast("int").alias("ia"), kb.alias("kb"), ib.cast("int").alias("ib"))
-
-    def each(n, body):
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), body)).otherwise(F.array().cast("array<struct<ka:int,ia:int,kb:int,ib:int>>"))
-
-    same = each(F.when(F.col("n") > 1, F.col("nb")).otherwise(0), lambda j: group(k, F.least(i, j), k, F.greatest(i, j)))
-    above = each(F.coalesce(F.col("up"), F.lit(0)), lambda j: group(k, i, k + 1, j))
-    below = each(F.coalesce(F.col("down"), F.lit(0)), lambda j: group(k - 1, j, k, i))
-    dealt = out.withColumn("g", F.explode(F.concat(same, above, below)))
-    return dealt.select("g.*", *nodes.columns, "block").drop("n", "nb", "up", "down")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = saved(nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("copies", "node")).alias("p")), name)
+    big = sizes.filter(F.col("n") > 2 * block).select("comp", F.ceil(F.col("n") / block).cast("int").alias("nb"), F.col("p.node").alias("pivot"))
+    one = [F.lit(0).alias(c) for c in GROUP[1:]]
+    small = nodes.join(big.select("comp"), "comp", "left_anti").select("comp", *one, *[c for c in nodes.columns if c != "comp"], F.lit(0).alias("bin"), F.lit(0).alias("block"))
+    if big.isEmpty():
+        return saved(_in_groups(small, parts, links), name)
+
+    columns = nodes.columns
+
+    def placed(found: pa.Table) -> pa.Table:
+        mark = found.column("mark").to_numpy(zero_copy_only=False)
+        own = found.filter(pa.array(~mark)).select(columns)
+        return own.append_column("bin", pa.array(steps(found.filter(pa.array(mark)).slice(0, 1), own), pa.int32()))
+
+    inside = nodes.join(big, "comp").withColumn("i", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    pivots = inside.filter("node = pivot").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("mark", F.lit(True))
+    both = inside.withColumn("mark", F.lit(False)).unionByName(pivots).repartition(parts, "comp", "i")
+    binned = saved(both.groupBy("comp", "i").applyInArrow(placed, StructType([*nodes.schema.fields, StructField("bin", IntegerType())])), name)
+
+    # A distance of bin b is at least b steps and less than b + 1.
+    own = saved(binned.groupBy("comp", "klass", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("w")), name)
+    nb = F.ceil(F.col("n") / block).cast("int")
+    other = own.select("comp", F.col("klass").alias("k"), F.col("bin").alias("b"), F.col("w").alias("w2"), nb.alias("nb2"))
+    met = own.withColumn("nb", nb).join(other, "comp")
+    sure = F.col("bin") + F.col("b") + 2 <= bound
+    known = met.filter(sure).groupBy("comp", "klass", "bin").agg(F.sum("w2").alias("links"))
+    beyond = F.when(F.col("bin") * 2 + 2 <= bound, F.col("copies")).otherwise(0)
+    near = binned.join(known, ["comp", "klass", "bin"]).join(big.select("comp", "pivot"), "comp")
+    near = near.select("node", (F.col("links") - beyond).cast("long").alias("links"), F.col("pivot").alias("root"))
+
+    open_ = met.filter(~sure & (F.abs(F.col("bin") - F.col("b")) - 1 < bound) & (F.abs(F.col("klass") - F.col("k")) <= 1))
+    others = open_.groupBy("comp", "klass", "bin", "nb").agg(F.collect_list(F.struct("k", "b", "nb2")).alias("others"))
+    rest = binned.join(others, ["comp", "klass", "bin"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    mine = F.struct(F.col("klass").alias("k"), F.col("bin").alias("b"), F.col("block").alias("i"))
+    theirs = F.transform("others", lambda o: F.transform(F.sequence(F.lit(0), o["nb2"] - 1), lambda i: F.struct(o["k"].alias("k"), o["b"].alias("b"), i.cast("int").alias("i"))))
+    rest = rest.withColumn("_o", F.explode(F.flatten(theirs))).withColumn("_x", F.least(mine, "_o")).withColumn("_y", F.greatest(mine, "_o"))
+    pair = [F.col(f"{v}.{f}").alias(g) for (v, f), g in zip([(v, f) for v in ("_x", "_y") for f in "kbi"], GROUP[1:], strict=True)]
+    dealt = small.unionByName(rest.select("comp", *pair, *[c for c in nodes.columns if c != "comp"], "bin", "block"))
+    return saved(_in_groups(dealt, parts, links).unionByName(near), name)
+
+
+def _in_groups(dealt: DataFrame, parts: int, links) -> DataFrame:
+    """``links`` of each group: it gets the group's rows, and which of them are the first block's (None: all are of one block)."""
+
+    def work(found: pa.Table) -> pa.Table:
+        first, second = ([found.column(c)[0].as_py() for c in GROUP[at : at + 3]] for at in (1, 4))
+        in_first = None
+        if first != second:
+            in_first = np.logical_and.reduce([found.column(c).to_numpy() == v for c, v in zip(("klass", "bin", "block"), first, strict=True)])
+        return pa.table(dict(zip(("node", "links", "root"), links(found, in_first), strict=True)))
+
+    return dealt.repartition(parts, *GROUP).groupBy(*GROUP).applyInArrow(work, "node long, links long, root long")
 
 
 def local_links(node: np.ndarray, weight: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -21,11 +21,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from callweave.llm.common import saved, table
-from callweave.llm.linking import GROUP, KEY_ROWS, blocks, components, key_rows, local_links, mix64, star_edges
+from callweave.llm.linking import BLOCK, KEY_ROWS, compared, components, key_rows, local_links, mix64, star_edges
 
 NGRAM, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.999, 160
+STEPS, HOT = 16, 200
 CHUNK = 4096
 
 
@@ -84,25 +86,28 @@ def _uid() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
 
 
-def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, text) -> (doc_id, uid, node, n, keys): hash and size of the n-gram set and its band hashes; null if it is empty."""
+def signatures(docs: DataFrame, bands: int, rows: int, whole: bool = False) -> DataFrame:
+    """(row, doc_id, uid, node, n, keys) of every row: a number, the key of its text, hash and size of the n-gram set and its band
+    hashes; node and keys are null if it is empty. ``whole`` adds the rows themselves as the struct ``d``. Numbers are those of
+    the run that writes the table: save it before use."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in _texts(batch):
-                sets = [ngram_set(t) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id").cast(pa.int64()),
-                        part.column("uid"),
-                        pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([band_hashes(s, bands, rows) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                    ],
-                    ["doc_id", "uid", "node", "n", "keys"],
-                )
-
-    return docs.select("doc_id", "text", _uid().alias("uid")).mapInArrow(work, "doc_id long, uid long, node long, n long, keys array<long>")
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [ngram_set(t) for t in part.column("d").field("text").to_pylist()]
+                more = [
+                    pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([band_hashes(s, bands, rows) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                ]
+                kept = part if whole else part.drop_columns(["d"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, *more], [*kept.schema.names, "node", "n", "keys"])
+
+    d = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if whole else ["text"])]).alias("d")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _uid().alias("uid"), d)
+    fields = [f for f in numbered.schema.fields if whole or f.name != "d"]
+    return numbered.mapInArrow(work, StructType([*fields, *StructType.fromDDL("node long, n long, keys array<long>").fields]))
 
 
 def band_rows(signed: DataFrame) -> DataFrame:
@@ -138,50 +143,62 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _sets(found: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in found.column("grams").to_pylist()]
+
+
 def _links(threshold: float):
-    def work(table: pa.Table) -> pa.Table:
-        ka, ia, kb, ib = (table.column(c)[0].as_py() for c in GROUP[1:])
-        node, weight = table.column("node").to_numpy(), table.column("copies").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
+    def links(found: pa.Table, in_first: np.ndarray | None) -> tuple:
+        node, weight, sets = found.column("node").to_numpy(), found.column("copies").to_numpy(), _sets(found)
         n = np.array([len(s) for s in sets])
-        if (ka, ia) == (kb, ib):
-            first = second = np.arange(len(node))
-        else:
-            in_a = (table.column("klass").to_numpy() == ka) & (table.column("block").to_numpy() == ia)
-            first, second = np.flatnonzero(in_a), np.flatnonzero(~in_a)
+        first = second = np.arange(len(node))
+        if in_first is not None:
+            first, second = np.flatnonzero(in_first), np.flatnonzero(~in_first)
         i = j = np.zeros(0, np.int64)
         if len(first) and len(second):
             both = shared_counts([sets[x] for x in first], [sets[x] for x in second])
             i, j = np.nonzero(both >= threshold * (n[first][:, None] + n[second][None, :] - both) - 1e-6)
             i, j = first[i], second[j]
-            if first is second:
+            if in_first is None:
                 i, j = i[i < j], j[i < j]
-        return pa.table(dict(zip(("node", "links", "root"), local_links(node, weight, i, j), strict=True)))
+        return local_links(node, weight, i, j)
+
+    return links
+
+
+def _steps(threshold: float):
+    def steps(pivot: pa.Table, found: pa.Table) -> np.ndarray:
+        """Jaccard distances from the pivot, in steps of which ``STEPS`` make the largest distance of a link."""
+        (own,), sets = _sets(pivot), _sets(found)
+        both = np.array([len(np.intersect1d(own, s, assume_unique=True)) for s in sets])
+        all_ = len(own) + np.array([len(s) for s in sets]) - both
+        return np.floor((all_ - both) / all_ / (1 - threshold) * STEPS + 1e-9).astype(np.int32)
 
-    return work
+    return steps
 
 
 def gram_sets(texts: DataFrame) -> DataFrame:
-    """(node, text) -> (node, grams): the n-gram set, where it is the node's own."""
+    """``texts`` with the n-gram set ``grams`` for the text, of rows whose ``node`` is the set's own."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, values in _texts(batch):
                 sets = [ngram_set(t) for t in values]
-                own = [x == set_id(s) for x, s in zip(part.column("node").to_pylist(), sets, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("node").filter(pa.array(own, pa.bool_())), pa.array([s.tobytes() for s, k in zip(sets, own, strict=True) if k], pa.binary())], ["node", "grams"]
-                )
+                own = pa.array([x == set_id(s) for x, s in zip(part.column("node").to_pylist(), sets, strict=True)], pa.bool_())
+                rest = part.drop_columns(["text"])
+                grams = pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*rest.columns, grams], [*rest.schema.names, "grams"]).filter(own)
 
-    return texts.mapInArrow(work, "node long, grams binary")
+    fields = [f for f in texts.schema.fields if f.name != "text"]
+    return texts.mapInArrow(work, StructType([*fields, StructField("grams", BinaryType())]))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per row of ``docs``: doc_id, node, class_id (least doc_id of its class) and n_links (rows that it links to, copies included)."""
+def _classes(signed: DataFrame, docs: DataFrame, threshold: float, block: int) -> DataFrame:
+    """One row per node: node, copies, n_links (copies included), of: (id is null, id, row) of the first row of its class."""
     name = "cw-near"
-    bands, rows = choose_bands(threshold, recall)
-    signed = saved(signatures(docs, bands, rows), name)
-    nodes = saved(signed.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.min("uid").alias("uid"), F.first("n").alias("n")), name)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"), F.min("uid").alias("uid"), F.first("n").alias("n"))
+    nodes = saved(nodes, name)
     groups = components(star_edges(band_rows(signed)), name)
 
     # Half-open classes of set sizes, each a quarter larger than the last: sets two classes apart can't reach the threshold.
@@ -189,43 +206,39 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     klass = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int")
     members = saved(groups.join(nodes, "node").select("node", "comp", klass.alias("klass"), "copies", "uid"), name)
     # Members grow with the table, so their texts are fetched by a shuffle at every size.
-    texts = docs.select(_uid().alias("uid"), "text").join(members.select("node", "uid").hint("merge"), "uid")
-    grams = saved(gram_sets(texts.select("node", "text")).dropDuplicates(["node"]), name)
-    dealt = blocks(members.drop("uid").join(grams, "node"))
-    found = saved(dealt.groupBy(*GROUP).applyInArrow(_links(threshold), "node long, links long, root long"), name)
+    texts = docs.select(_uid().alias("uid"), "text").join(members.hint("merge"), "uid").select("node", "comp", "klass", "copies", "text")
+    found = compared(saved(gram_sets(texts).dropDuplicates(["node"]), name), _links(threshold), _steps(threshold), STEPS, name, block)
 
     linked = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), name)
-    least = linked.join(nodes.select("node", "first_id"), "node")
-    class_ids = least.groupBy("comp").agg(F.min("first_id").alias("class_id"))
-    of_node = saved(linked.join(class_ids, "comp").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node").select("node", "class_id", "links"), name)
-    info = nodes.join(of_node, "node", "left").select(
-        "node", F.coalesce("class_id", "first_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
-    )
-    out = signed.select("doc_id", "node").join(info, "node", "left")
-    return out.select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` with one row left of each class: that of the least doc_id (of rows with that id, any one).
+    of_class = linked.join(nodes.select("node", "first"), "node").groupBy("comp").agg(F.min("first").alias("of"))
+    of_node = linked.join(of_class, "comp").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node").select("node", "of", "links")
+    info = nodes.join(of_node, "node", "left")
+    return saved(info.select("node", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("of", "first").alias("of")), name)
 
-    Rows whose doc_id is null are the exception: all of them are left, copies of each other and of rows with an id too.
-    """
-    found = near_duplicates(docs, **parameters).filter("class_id = doc_id and node is not null")
-    kept = found.select(F.col("doc_id").alias("_cw_id"), F.col("node").alias("_cw_node"), F.lit(True).alias("_cw_kept")).distinct()
 
-    def with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in _texts(batch):
-                sets = [ngram_set(t) for t in texts]
-                node = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns, node], [*part.schema.names, "_cw_n"])
-
-    again = docs.mapInArrow(with_node, docs.withColumn("_cw_n", F.lit(None).cast("long")).schema)
-    chosen = again.join(kept, (again["doc_id"] == kept["_cw_id"]) & (again["_cw_n"] == kept["_cw_node"]), "left")
-    # Rows without n-grams or without an id stay, each by a number of its own; of the others one row of an id and set.
-    alone = F.col("_cw_n").isNull() | F.col("doc_id").isNull()
-    chosen = chosen.withColumn("_cw_own", F.when(alone, F.monotonically_increasing_id())).filter(alone | F.col("_cw_kept"))
-    return chosen.dropDuplicates(["doc_id", "_cw_n", "_cw_own"]).select(*docs.columns)
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs``: doc_id, node, class_id (least doc_id of its class) and n_links (rows that it links to, copies included)."""
+    signed = saved(signatures(docs, *choose_bands(threshold, recall)), "cw-near")
+    info = _classes(signed, docs, threshold, block)
+    rows = signed.select("doc_id", "node")
+    # At most HOT nodes can have that share of all rows; their rows needn't be shuffled. Those without a node have none to find.
+    least = signed.agg(F.count(F.lit(1))).first()[0] / HOT
+    hot = F.broadcast(info.filter(F.col("copies") >= least).limit(HOT))
+    some = rows.filter("node is not null")
+    met = some.join(hot, "node").unionByName(some.join(hot.select("node"), "node", "left_anti").join(info, "node"))
+    out = met.select("doc_id", "node", F.coalesce(F.col("of.doc_id"), "doc_id").alias("class_id"), F.col("n_links").cast("long").alias("n_links"))
+    return out.unionByName(rows.filter("node is null").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` with one row left of each class: that of the least doc_id, rows without an id last; of equal ids
+    the first row by its number in the written table. Rows without n-grams (null, empty or blank texts) all stay. Columns
+    of any name are carried along; the table must have doc_id and text."""
+    whole = saved(signatures(docs, *choose_bands(threshold, recall), whole=True), "cw-near")
+    signed = whole.drop("d")
+    first = _classes(signed, whole.select("d.*"), threshold, block).select(F.col("of.row").alias("row")).distinct()
+    chosen = whole.filter("node is not null").join(first, "row", "left_semi").select("d.*")
+    return chosen.unionByName(whole.filter("node is null").select("d.*"))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,19 +49,30 @@ def test_key_rows_keep_what_keys_join():
     assert [len(x) for x in linking.key_rows(key[:0], node[:0])] == [0, 0]
 
 
-def test_blocks_let_all_neighbours_meet_once(spark):
+def test_compared_counts_every_link_of_any_group(spark):
+    """Numbers that link where they differ by less than 10, in components of all sizes."""
     rng = random.Random(1)
-    rows = [(i, rng.choice((1, 2)), rng.randrange(5)) for i in range(300)]
-    dealt = linking.blocks(spark.createDataFrame(rows, "node long, comp long, klass int"), block=16).collect()
-    groups = {}
-    for r in dealt:
-        groups.setdefault((r.comp, r.ka, r.ia, r.kb, r.ib), []).append(r)
-    met = []
-    for (_, ka, ia, kb, ib), members in groups.items():
-        assert len(members) < 100
-        first = [r.node for r in members if (r.klass, r.block) == (ka, ia)]
-        second = [r.node for r in members if (r.klass, r.block) == (kb, ib)]
-        met += [(a, b) for a in first for b in second if (ka, ia) != (kb, ib) or a < b]
-    met = [tuple(sorted(p)) for p in met]
-    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and abs(a[2] - b[2]) <= 1}
-    assert len(met) == len(set(met)) and set(met) == want
+    rows = [(100 * i + k, comp, 1, rng.randrange(1, 4), rng.randrange(span)) for comp, (n, span) in enumerate(((1, 5), (9, 40), (90, 12), (200, 45))) for i, k in zip(range(n), [comp] * n, strict=True)]
+    rows = [(1000 * comp + i, comp, klass, copies, x) for i, (_, comp, klass, copies, x) in enumerate(rows)]
+
+    def links(found, in_first):
+        node, weight, x = (found.column(c).to_numpy() for c in ("node", "copies", "x"))
+        i, j = np.nonzero(np.abs(x[:, None] - x[None, :]) < 10)
+        keep = i < j if in_first is None else in_first[i] & ~in_first[j]
+        return linking.local_links(node, weight, i[keep], j[keep])
+
+    def steps(pivot, found):
+        return np.abs(found.column("x").to_numpy() - pivot.column("x").to_numpy()[0]).astype(np.int32)
+
+    nodes = spark.createDataFrame(rows, "node long, comp long, klass int, copies long, x long")
+    for block in (8, 64):
+        got = linking.compared(nodes, links, steps, 10, "t", block).collect()
+        count, roots = {}, {}
+        for r in got:
+            count[r.node] = count.get(r.node, 0) + r.links
+            roots.setdefault(r.node, set()).add(r.root)
+        for n, comp, _, _, x in rows:
+            want = sum(c for m, k, _, c, y in rows if m != n and k == comp and abs(x - y) < 10)
+            assert count.get(n, 0) == want
+
+

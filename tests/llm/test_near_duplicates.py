@@ -66,18 +66,33 @@ def test_against_all_pairs(spark, rows):
     assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == brute(rows)
 
 
+def test_links_of_large_groups_by_pivot(spark, rows):
+    got = nd.near_duplicates(frame(spark, rows), block=7).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == brute(rows)
+
+
 def test_keep_one(spark, rows):
     kept = nd.keep_one(frame(spark, rows))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "node"]
-    want = Counter(d for d, c, _ in brute(rows) if d == c or d is None)
+    want = Counter(d for d, c, _ in brute(rows) if d == c and d is not None)
+    want[None] += 1  # the null text; the row with a text and no id is a copy of one with an id
     want[5] -= want[5] > 1
     assert Counter(r.doc_id for r in kept.collect()) == Counter({k: v for k, v in want.items() if v})
 
 
-def test_keep_one_leaves_rows_without_an_id(spark):
+def test_keep_one_of_rows_without_an_id(spark):
     text = "one two three four five six seven eight"
-    kept = nd.keep_one(frame(spark, [(None, text), (None, text), (7, "other " * 9), (None, "other " * 9), (8, "other " * 9)]))
-    assert sorted((r.doc_id or 0, r.text == text) for r in kept.collect()) == [(0, False), (0, True), (0, True), (7, False)]
+    kept = nd.keep_one(frame(spark, [(None, text), (None, text), (7, "other " * 9), (None, "other " * 9), (8, "other " * 9), (None, None), (None, "")]))
+    assert sorted((r.doc_id or 0, r.text == text, not r.text) for r in kept.collect()) == [(0, False, True), (0, False, True), (0, True, False), (7, False, False)]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(1)
+    words = [str(rng.randrange(10**9)) for _ in range(200_000)]
+    other = [*words[:100], "x", *words[101:]]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:100_000])), (4, "a " * 300_000), (5, "a " * 10)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in nd.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 1), 5: (4, 1)}
 
 
 def test_empty_table(spark):
