@@ -1,20 +1,26 @@
 """WARC archives as a Spark data source, read and written.
 
-``spark.read.format("warc").load(folder)`` plans one partition per group of files of about ``partition_bytes`` (a file is
-never split), and takes equality, membership and not-null conditions on record types and other header columns into the
+``spark.read.format("warc").load(folder)`` plans one partition per group of parts of files of about ``partition_bytes`` (files
+of this writer have parts of about ``PART_BYTES``, others are one part each), and takes equality, membership and not-null conditions on record types and other header columns into the
 scan. A reader decodes only a record's head at first: each record is a gzip member whose extra field gives its compressed
 and uncompressed lengths, so that the payload of a record that no condition wants is skipped and never inflated (members
 of other writers, without that field, are inflated and dropped). ``payload=false`` reads heads only.
 
 ``df.write.format("warc").save(folder)`` writes rows of (type, id, uri, date, payload, headers). Each task writes files of
-about ``FILE_BYTES`` under names of its own attempt, and the commit writes the list of those that count, so that attempts
-that were lost leave nothing that is read. Files are opened by URI through pyarrow.
+about ``FILE_BYTES`` under names of its own attempt. The commit of a job puts a list of its files, with the places at which
+their parts begin, into the folder in one step; the files of all lists are what is read, so that attempts that were lost leave
+nothing that is read. Mode ``append`` adds a list, ``overwrite`` also removes the lists that were there before and their
+files, and a job that fails removes what its tasks have written. Files are opened by URI through pyarrow.
+
+Records of any size are read and written whole, one at a time. An empty table gives a folder without records. Rows need the
+columns named above; others are ignored. Equal rows give equal records.
 """
 
 from __future__ import annotations
 
 import json
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -28,8 +34,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from callweave.llm.common import new_folder, table
 
-FILE_BYTES, PARTITION_BYTES, MIN_REVISIT = 64 << 20, 128 << 20, 100
-LIST = "_files.json"
+FILE_BYTES, PART_BYTES, PARTITION_BYTES, MIN_REVISIT = 64 << 20, 4 << 20, 12 << 20, 100
+#: Lists of files: name -> [size, place of each part].
+LIST = "_files-"
 SCHEMA = "type string, id string, uri string, date string, content_type string, block_length long, payload_digest string, refers_to string, headers map<string,string>, http_headers map<string,string>, payload binary"
 #: Columns that are WARC headers, and their names.
 HEADERS = {"type": "warc-type", "id": "warc-record-id", "uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
@@ -65,12 +72,13 @@ def parsed(head: bytes) -> dict[str, str]:
 
 
 class Members:
-    """The records of one file, heads first: yields (headers, block), where block() inflates the rest."""
+    """The records of one file from place ``at`` up to ``stop``, heads first: yields (headers, block), where block() inflates the rest."""
 
     STEP = 1 << 16
 
-    def __init__(self, file):
-        self.file, self.buffer, self.start, self.seen = file, b"", 0, 0
+    def __init__(self, file, at: int = 0, stop: int | None = None):
+        self.file, self.buffer, self.start, self.at, self.stop = file, b"", 0, at, stop
+        file.seek(at)
 
     def _need(self, n: int) -> bool:
         while len(self.buffer) - self.start < n:
@@ -82,6 +90,7 @@ class Members:
         return True
 
     def _skip(self, n: int) -> None:
+        self.at += n
         have = len(self.buffer) - self.start
         if n <= have:
             self.start += n
@@ -104,7 +113,7 @@ class Members:
         return None
 
     def __iter__(self) -> Iterator:
-        while self._need(18):
+        while (self.stop is None or self.at < self.stop) and self._need(18):
             size = self._length()
             inflate, got, used = zlib.decompressobj(31), b"", 0
             end = -1
@@ -141,8 +150,20 @@ class Members:
 
 
 @dataclass
-class Files(InputPartition):
-    uris: tuple[str, ...]
+class Parts(InputPartition):
+    """Parts of files: URI, place of the first record, and of the first one beyond (None: the end of the file)."""
+
+    parts: tuple[tuple[str, int, int | None], ...]
+
+
+def _lists(store, path: str) -> dict[str, dict[str, list]]:
+    """Name of each list in the folder -> the files that it lists."""
+    out = {}
+    for x in store.get_file_info(pyarrow.fs.FileSelector(path, allow_not_found=True)):
+        if x.is_file and x.base_name.startswith(LIST) and x.base_name.endswith(".json"):
+            with store.open_input_stream(x.path) as f:
+                out[x.base_name] = json.loads(f.read())
+    return out
 
 
 class WarcReader(DataSourceReader):
@@ -160,32 +181,31 @@ class WarcReader(DataSourceReader):
             else:
                 self.wanted.append((name, (f.value,) if isinstance(f, EqualTo) else tuple(f.value) if isinstance(f, In) else None))
 
-    def partitions(self) -> list[Files]:
+    def partitions(self) -> list[Parts]:
         store, path = pyarrow.fs.FileSystem.from_uri(self.folder)
         scheme = self.folder[: len(self.folder) - len(path)] if self.folder.endswith(path) else self.folder.partition("://")[0] + "://"
-        listed = store.get_file_info(f"{path}/{LIST}")
-        if listed.type == pyarrow.fs.FileType.File:
-            with store.open_input_stream(listed.path) as f:
-                sizes = {f"{path}/{name}": size for name, size in json.loads(f.read()).items()}
-        else:
+        files: dict[str, list] = {f"{path}/{name}": places for listed in _lists(store, path).values() for name, places in listed.items()}
+        if not files:
             found = store.get_file_info(pyarrow.fs.FileSelector(path, recursive=True))
-            sizes = {x.path: x.size for x in found if x.is_file and x.path.endswith((".warc", ".warc.gz"))}
+            files = {x.path: [x.size, 0] for x in found if x.is_file and x.path.endswith((".warc", ".warc.gz"))}
         out, group, held = [], [], 0
-        for p in sorted(sizes):
-            if group and held + sizes[p] > self.target:
-                out.append(Files(tuple(group)))
-                group, held = [], 0
-            group.append(scheme + p)
-            held += sizes[p]
-        return [*out, Files(tuple(group))]
-
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        for p in sorted(files):
+            size, *starts = files[p]
+            for lo, hi in zip(starts, [*starts[1:], None], strict=True):
+                if group and held + (hi or size) - lo > self.target:
+                    out.append(Parts(tuple(group)))
+                    group, held = [], 0
+                group.append((scheme + p, lo, hi))
+                held += (hi or size) - lo
+        return [*out, Parts(tuple(group))]
+
+    def read(self, partition: Parts) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
-        for uri in partition.uris:
+        for uri, lo, hi in partition.parts:
             store, path = pyarrow.fs.FileSystem.from_uri(uri)
             with store.open_input_file(path) as file:
-                for headers, block in Members(file) if path.endswith(".gz") else _plain(file):
+                for headers, block in Members(file, lo, hi) if path.endswith(".gz") else _plain(file):
                     if any(name not in headers or (values is not None and headers[name] not in values) for name, values in self.wanted):
                         continue
                     http, payload = {}, None
@@ -249,41 +269,66 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: dict[str, int]
+    files: dict[str, list]
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.folder = options["path"]
+    def __init__(self, options: dict, overwrite: bool):
+        self.folder, self.overwrite = options["path"], overwrite
+        self.file_bytes, self.part_bytes = int(options.get("file_bytes", FILE_BYTES)), int(options.get("part_bytes", PART_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, path = pyarrow.fs.FileSystem.from_uri(self.folder)
         store.create_dir(path, recursive=True)
-        task = TaskContext.get()
-        files: dict[str, int] = {}
+        task, job = TaskContext.get(), uuid.uuid4().hex[:8]
+        files: dict[str, list] = {}
         out, held, name = None, 0, ""
-        for batch in iterator:
-            for at in range(0, batch.num_rows, 256):
-                for row in batch.slice(at, 256).to_pylist():
-                    if out is None:
-                        name, held = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(files):04d}.warc.gz", 0
-                        out = store.open_output_stream(f"{path}/{name}", compression=None)
-                    data = record(*_written(row))
-                    out.write(data)
-                    held += len(data)
-                    if held >= FILE_BYTES:
-                        out.close()
-                        out, files[name] = None, held
-        if out is not None:
-            out.close()
-            files[name] = held
+        try:
+            for batch in iterator:
+                for at in range(0, batch.num_rows, 256):
+                    for row in batch.slice(at, 256).to_pylist():
+                        if out is None:
+                            name, held = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{job}-{len(files):04d}.warc.gz", 0
+                            out = store.open_output_stream(f"{path}/{name}", compression=None)
+                            files[name] = [0, 0]
+                        elif held - files[name][-1] >= self.part_bytes:
+                            files[name].append(held)
+                        data = record(*_written(row))
+                        out.write(data)
+                        held += len(data)
+                        if held >= self.file_bytes:
+                            out.close()
+                            out, files[name][0] = None, held
+            if out is not None:
+                out.close()
+                files[name][0] = held
+        except BaseException:
+            if out is not None:
+                out.close()
+            _remove(store, path, files)
+            raise
         return Written(files)
 
     def commit(self, messages: list) -> None:
         store, path = pyarrow.fs.FileSystem.from_uri(self.folder)
         store.create_dir(path, recursive=True)
-        with store.open_output_stream(f"{path}/{LIST}") as f:
-            f.write(json.dumps({name: size for m in messages if m for name, size in m.files.items()}).encode())
+        before = _lists(store, path) if self.overwrite else {}
+        name = f"{LIST}{uuid.uuid4().hex}.json"
+        with store.open_output_stream(f"{path}/.{name}") as f:
+            f.write(json.dumps({file: places for m in messages if m for file, places in m.files.items()}).encode())
+        store.move(f"{path}/.{name}", f"{path}/{name}")
+        _remove(store, path, before)
+        _remove(store, path, [file for listed in before.values() for file in listed])
+
+    def abort(self, messages: list) -> None:
+        store, path = pyarrow.fs.FileSystem.from_uri(self.folder)
+        _remove(store, path, [file for m in messages if m for file in m.files])
+
+
+def _remove(store, path: str, names) -> None:
+    for name in names:
+        if store.get_file_info(f"{path}/{name}").type == pyarrow.fs.FileType.File:
+            store.delete_file(f"{path}/{name}")
 
 
 def _written(row: dict) -> tuple[list[tuple[str, str]], bytes]:
@@ -310,10 +355,11 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known to the session, and lets Spark hand conditions to sources written in Python (a session setting)."""
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 

@@ -72,6 +72,39 @@ def test_archives_of_other_writers(spark, tmp_path):
     assert parts.rdd.getNumPartitions() == 2
 
 
+def test_append_overwrite_and_abort(spark, tmp_path):
+    folder = f"file://{tmp_path}/w"
+    page = lambda k: spark.createDataFrame([(k, f"u{k}", f"<p>{k}", "")], PAGES)
+    ids = lambda: sorted(r.page_id for r in warc.read_pages(spark, folder).collect())
+    warc.write_pages(page(1), folder)
+    warc.write_pages(page(2), folder)
+    assert ids() == [1, 2]
+    warc.page_records(page(3)).write.format("warc").mode("overwrite").save(folder)
+    assert ids() == [3]
+    assert len(list((tmp_path / "w").glob("*.warc.gz"))) == 1
+    bad = warc.page_records(spark.createDataFrame([(k, "u", "x" * 50, "") for k in range(40)], PAGES).repartition(4))
+    bad = bad.withColumn("date", F.when(F.col("headers")["X-Page-ID"] == "7", F.raise_error(F.lit("stop"))).otherwise(F.col("date")))
+    try:
+        bad.write.format("warc").mode("append").save(folder)
+        raise AssertionError("written")
+    except Exception as e:
+        assert "stop" in str(e)
+    assert ids() == [3]
+    assert len(list((tmp_path / "w").glob("*.warc.gz"))) == 1
+
+
+def test_parts_of_files(spark, tmp_path):
+    folder, rows = f"file://{tmp_path}/w", pages()
+    docs = warc.page_records(spark.createDataFrame([(*r, "clash") for r in rows], PAGES)).coalesce(1)
+    warc.register(spark)
+    docs.write.format("warc").option("part_bytes", "2000").option("file_bytes", "9000").mode("append").save(folder)
+    assert len(list((tmp_path / "w").glob("*.warc.gz"))) > 2
+    whole = spark.read.format("warc").option("partition_bytes", "1").load(folder)
+    assert whole.rdd.getNumPartitions() > 5
+    assert sorted(r.id for r in whole.collect()) == sorted(r.id for r in docs.collect())
+    assert sorted(map(tuple, warc.read_pages(spark, folder).drop("url").collect()), key=str) == want(rows)
+
+
 def test_empty_table(spark):
     folder = new_folder(spark, "t")
     warc.write_pages(spark.createDataFrame([], PAGES), folder)
