@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 import pyarrow.fs
 from pyspark import TaskContext
@@ -47,6 +48,25 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, on: dict[str, str], size: str, total: int, how: str = "inner", hot: int = 200) -> DataFrame:
+    """``rows`` with the columns of their group, of which ``groups`` has one row: ``on`` maps columns of rows to those of groups
+    (nulls are equal), ``size`` counts a group's rows of ``total``.
+
+    Groups with a share of 1 / ``hot`` or more, of which there are at most ``hot``, are broadcast, so that their rows stay
+    where they are; all others are joined by key.
+    """
+
+    def same(other: DataFrame) -> Column:
+        return reduce(lambda a, b: a & b, (rows[a].eqNullSafe(other[b]) for a, b in on.items()))
+
+    big = groups.filter(F.col(size) >= total / hot).limit(hot)
+    rest = groups.filter(F.col(size) < total / hot)
+    names = F.broadcast(big.select(*on.values()))
+    first, second = rows.join(F.broadcast(big), same(big)), rows.join(names, same(names), "left_anti").join(rest, same(rest), how)
+    drop = [b for b in on.values() if b not in on]
+    return first.drop(*drop).unionByName(second.drop(*drop))
+
+
 def write_file(uri: str, data: bytes) -> None:
     """Whole or not at all: to a name of its own, then renamed."""
     store, path = pyarrow.fs.FileSystem.from_uri(uri)

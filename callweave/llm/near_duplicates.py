@@ -23,11 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from callweave.llm.common import saved, table
+from callweave.llm.common import join_groups, saved, table
 from callweave.llm.linking import BLOCK, KEY_ROWS, compared, components, key_rows, local_links, mix64, star_edges
 
 NGRAM, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.999, 160
-STEPS, HOT = 16, 200
+STEPS = 16
 CHUNK = 4096
 
 
@@ -221,11 +221,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     signed = saved(signatures(docs, *choose_bands(threshold, recall)), "cw-near")
     info = _classes(signed, docs, threshold, block)
     rows = signed.select("doc_id", "node")
-    # At most HOT nodes can have that share of all rows; their rows needn't be shuffled. Those without a node have none to find.
-    least = signed.agg(F.count(F.lit(1))).first()[0] / HOT
-    hot = F.broadcast(info.filter(F.col("copies") >= least).limit(HOT))
-    some = rows.filter("node is not null")
-    met = some.join(hot, "node").unionByName(some.join(hot.select("node"), "node", "left_anti").join(info, "node"))
+    met = join_groups(rows.filter("node is not null"), info.withColumnRenamed("node", "of_node"), {"node": "of_node"}, "copies", signed.count())
     out = met.select("doc_id", "node", F.coalesce(F.col("of.doc_id"), "doc_id").alias("class_id"), F.col("n_links").cast("long").alias("n_links"))
     return out.unionByName(rows.filter("node is null").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 

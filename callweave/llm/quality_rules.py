@@ -9,9 +9,10 @@ beside the range of each statistic, so that any one of them alone can reject. A
 distance is over ``CUTOFF`` is rejected.
 
 Order statistics come from counts in fine bins, so no group is ever gathered: each step is one partially aggregated pass
-over a table of numbers. Languages and sources with under ``MIN_GROUP`` documents are pooled by language; a pool that is
+over a table of numbers, in which large groups are split evenly. Of two starts with equal determinants the first counts. Languages and sources with under ``MIN_GROUP`` documents are pooled by language; a pool that is
 still smaller rejects nothing. Nulls: a null text counts as empty (and fails the base rules), null languages and sources
-are groups of their own. Repeated rows count each. An empty table gives an empty result.
+are groups of their own. Repeated rows count each. Very long texts are documents like
+any other. Extra columns, whatever their names, are carried along. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callweave.llm.common import SPACES, saved, table
+from callweave.llm.common import SPACES, join_groups, saved, table
 
 MIN_WORDS, MAX_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
@@ -129,32 +130,40 @@ def _log_bin(d2: Column) -> Column:
 
 
 def fit(points: DataFrame) -> DataFrame:
-    """(lang, source, x0 .. x3) -> one row per lang and source: centre, factor and ``usable``."""
+    """(lang, source, x0 .. x3) -> one row per lang and source: number of points, centre, factor and ``usable``."""
     name = "cw-mcd"
-    counted = points.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    groups = saved(counted.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), (F.col("n") < MIN_GROUP).alias("pooled")), name)
-    same = points["lang"].eqNullSafe(groups["g_lang"]) & points["source"].eqNullSafe(groups["g_source"])
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = saved(points.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), name)
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    counted = counted.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "n", (F.col("n") < MIN_GROUP).alias("pooled"))
     # The key of a group: hashable also where its parts are null.
     key = F.to_json(F.struct(F.col("g_lang"), F.when(~F.col("pooled"), F.col("g_source")).alias("s"), "pooled"))
-    keyed = saved(points.join(groups, same).select(key.alias("key"), *X), name)
+    # The points of a key are dealt to so many splits that none has more than an even share of a partition; there are
+    # no more splits than keys and partitions together, and parameters are repeated for each.
+    sizes = saved(counted.groupBy(key.alias("key")).agg(F.sum("n").alias("all")).withColumn("splits", F.ceil(F.col("all") * parts / F.lit(max(total, 1))).cast("int")), name)
+    groups = saved(counted.withColumn("key", key).join(sizes, "key"), name)
+    own = join_groups(points, groups, {"lang": "g_lang", "source": "g_source"}, "n", total)
+    keyed = saved(own.select("key", F.pmod(F.monotonically_increasing_id(), F.col("splits")).cast("int").alias("split"), *X), name)
+    splits = sizes.select("key", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"))
+
+    def with_key(params: DataFrame) -> DataFrame:
+        return keyed.join(params.join(splits, "key"), ["key", "split"]).drop("split")
 
     # Medians of the statistics, then of the distances from them, by bins of an eighth of the floor.
-    long = keyed.select("key", F.posexplode(F.array(*X)).alias("d", "x"))
     width = F.element_at(F.array(*[F.lit(f / 8) for f in FLOORS]), F.col("d") + 1)
-    mid = saved(_quantile_bin(long.withColumn("bin", F.round(F.col("x") / width).cast("int")), ["key", "d"], 0.5).select("key", "d", (F.col("bin") * width).alias("mid"), "all"), name)
-    off = long.join(mid, ["key", "d"]).withColumn("bin", F.round(F.abs(F.col("x") - F.col("mid")) / width).cast("int"))
-    mad = _quantile_bin(off, ["key", "d"], 0.5).select("key", "d", (F.col("bin") * width * 1.4826).alias("mad"))
-    both = mid.join(mad, ["key", "d"]).groupBy("key").agg(
-        F.max("all").alias("n"), *[F.max(F.when(F.col("d") == i, F.col(v))).alias(f"{v}{i}") for i in range(P) for v in ("mid", "mad")]
-    )
-    starts = both.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
-    starts = starts.select("key", "start", "n", *[F.col(f"mid{i}").alias(M[i]) for i in range(P)], *[f"mad{i}" for i in range(P)])
-    own = lambda i, j: F.when(F.col("start") == 0, F.col(f"mad{i}") ** 2).otherwise(0.0) if i == j else F.lit(0.0)
-    sizes = saved(both.select("key", "n"), name)
-    at = saved(_with_factor(starts, own).select("key", "start", *M, *L, "logdet"), name)
+    wide = lambda df, v: df.groupBy("key").agg(*[F.max(F.when(F.col("d") == i, F.col(v))).alias(f"{v}{i}") for i in range(P)])
+    long = keyed.select("key", F.posexplode(F.array(*X)).alias("d", "x"))
+    mid = _quantile_bin(long.withColumn("bin", F.round(F.col("x") / width).cast("int")), ["key", "d"], 0.5).select("key", "d", (F.col("bin") * width).alias("mid"))
+    mids = saved(wide(mid, "mid"), name)
+    off = with_key(mids).select("key", F.posexplode(F.array(*[F.abs(F.col(X[i]) - F.col(f"mid{i}")) for i in range(P)])).alias("d", "x"))
+    mad = _quantile_bin(off.withColumn("bin", F.round(F.col("x") / width).cast("int")), ["key", "d"], 0.5).select("key", "d", (F.col("bin") * width * 1.4826).alias("mad"))
+    starts = mids.join(wide(mad, "mad"), "key").withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    starts = starts.select("key", "start", *[F.col(f"mid{i}").alias(M[i]) for i in range(P)], *[f"mad{i}" for i in range(P)])
+    first = lambda i, j: F.when(F.col("start") == 0, F.col(f"mad{i}") ** 2).otherwise(0.0) if i == j else F.lit(0.0)
+    at = saved(_with_factor(starts, first).select("key", "start", *M, *L, "logdet"), name)
 
     def placed(params: DataFrame) -> DataFrame:
-        return keyed.join(params, "key").withColumn("d2", distance2([F.col(x) for x in X]))
+        return with_key(params).withColumn("d2", distance2([F.col(x) for x in X]))
 
     for _ in range(STEPS):
         cut = _quantile_bin(placed(at).select("key", "start", _log_bin(F.col("d2")).alias("bin")), ["key", "start"], 0.5)
@@ -164,21 +173,18 @@ def fit(points: DataFrame) -> DataFrame:
     best = at.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("logdet", "start"))).filter("rank = 1").drop("rank", "start")
     # The half's spread is too small by a factor known from the median distance; it never shrinks below the ridge.
     half = _quantile_bin(placed(best).select("key", _log_bin(F.col("d2")).alias("bin")), ["key"], 0.5)
-    wide = F.greatest(F.exp((F.col("bin") + 1) / 50.0) / CHI2_HALF, F.lit(1.0))
-    scaled = saved(best.join(half.select("key", wide.alias("wide")), "key").select("key", *M, *[(F.col(x) * F.sqrt("wide")).alias(x) for x in L]), name)
+    grown = F.greatest(F.exp((F.col("bin") + 1) / 50.0) / CHI2_HALF, F.lit(1.0))
+    scaled = saved(best.join(half.select("key", grown.alias("wide")), "key").select("key", *M, *[(F.col(x) * F.sqrt("wide")).alias(x) for x in L]), name)
     near = _moments(placed(scaled).filter(F.col("d2") <= CHI2_NEAR), ["key"])
-    final = saved(near.join(sizes, "key").withColumn("usable", F.col("n") >= MIN_GROUP).drop("n", "logdet"), name)
-    return saved(groups.withColumn("key", key).join(final, "key").drop("key", "pooled"), name)
+    final = near.join(sizes, "key").withColumn("usable", F.col("all") >= MIN_GROUP)
+    return saved(groups.select("g_lang", "g_source", "n", "key").join(final.drop("logdet", "all", "splits"), "key").drop("key"), name)
 
 
 def _with_params(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """``rows`` with the parameters of their language and source as the struct ``_cw_p``.
-
-    The parameters are one row per language and source; Spark broadcasts them where their measured size allows it.
-    """
-    prefixed = params.select(F.struct(*M, *L, "usable").alias("_cw_p"), F.col("g_lang").alias("_cw_lang"), F.col("g_source").alias("_cw_source"))
-    out = rows.join(prefixed, rows["lang"].eqNullSafe(prefixed["_cw_lang"]) & rows["source"].eqNullSafe(prefixed["_cw_source"]), "left")
-    return out.drop("_cw_lang", "_cw_source")
+    """``rows`` with the parameters of their language and source as the struct ``_cw_p``; null where no document passed the base rules."""
+    own = params.select(F.struct(*M, *L, "usable").alias("_cw_p"), F.col("n").alias("_cw_n"), F.col("g_lang").alias("_cw_lang"), F.col("g_source").alias("_cw_source"))
+    total = params.agg(F.sum("n")).first()[0] or 0
+    return join_groups(rows, own, {"lang": "_cw_lang", "source": "_cw_source"}, "_cw_n", total, "left").drop("_cw_n")
 
 
 def _verdict(s: Column, p: Column) -> tuple[Column, Column]:
@@ -196,9 +202,8 @@ def judged(rows: DataFrame, params: DataFrame, stats: str) -> DataFrame:
     return _with_params(rows, params).withColumn("_cw_d2", d2).withColumn("_cw_kept", kept).drop("_cw_p")
 
 
-def _points(stats: DataFrame) -> DataFrame:
-    s = F.col("s")
-    return stats.filter(~base_failed(s)).select("lang", "source", *[v.alias(x) for v, x in zip(vector(s), X, strict=True)])
+def _points(stats: DataFrame, s: str = "s") -> DataFrame:
+    return stats.filter(~base_failed(F.col(s))).select("lang", "source", *[v.alias(x) for v, x in zip(vector(F.col(s)), X, strict=True)])
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -207,11 +212,10 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def filter_outliers(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that both the base rules and the distance keep, columns unchanged."""
-    params = fit(_points(measured(docs)))
-    # One expression, so that a text's statistics are taken once and not for each place that they are used in.
-    kept = _let(text_stats(F.col("text")), lambda s: _verdict(s, F.col("_cw_p"))[1])
-    return _with_params(docs, params).filter(kept).select(*docs.columns)
+    """The rows of ``docs`` that both the base rules and the distance keep, columns unchanged. The documents are written with
+    their statistics, so that these are taken once; they must have text, lang and source."""
+    stats = saved(docs.withColumn("_cw_s", text_stats(F.col("text"))), "cw-stats")
+    return judged(stats, fit(_points(stats, "_cw_s")), "_cw_s").filter("_cw_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import importlib
+import random
 import zlib
 
 import numpy as np
@@ -66,3 +67,34 @@ def test_run_and_empty_table(spark):
         docs = wavelet.saved(stage(spark, docs, SF), "t")
     assert docs.count() == 0
     assert importlib.import_module("corpus_pipeline").ORACLE_SQL is None
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, d string, node string, _o int, x0 double, size int"
+
+
+def odd_rows():
+    rng = random.Random(1)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    rows = [(k, prose(80), "en", "a", 1) for k in range(30)]
+    rows += [(None, prose(80), "en", "a", None), (40, prose(80), None, None, 1), rows[3], rows[3], (41, rows[4][1], "en", "a", 1), (None, rows[5][1], "en", "a", 1)]
+    return [*rows, (50, None, None, None, None), (51, "", "en", "a", 0), (52, " \n", "en", "a", 2), (53, prose(60_000), "en", "a", 3), (None, None, None, None, None)]
+
+
+def test_odd_rows_in_every_stage(spark):
+    rows = odd_rows()
+    docs = spark.createDataFrame([(*r, "d", "n", 1, 0.5, 2) for r in rows], COLUMNS)
+    got = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == corpus_pipeline.COLUMNS
+        got[name] = out.collect()
+    texts = lambda name: sorted((r.text for r in got[name]), key=str)
+    worded = [r[1] for r in rows if r[1] and r[1].strip()]
+    assert texts("quality rules") == sorted(worded)
+    assert texts("near duplicates") == sorted([*set(worded), None, None, "", " \n"], key=str)
+    assert {r.doc_id for r in got["near duplicates"] if r.text in (rows[4][1], rows[5][1])} == {4, 5}
+    assert texts("decontamination") == sorted((r[1] for r in rows), key=str)
+    assert len({r.text for r in got["mixing"]} - {r[1] for r in rows}) == 0
+    tokens = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert sorted((r.doc_id for r in tokens), key=str) == sorted((r[0] for r in rows), key=str)
+    assert sum(r.n_tokens == 1 for r in tokens) == 3 and max(r.n_tokens for r in tokens) > 60_000
