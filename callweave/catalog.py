@@ -25,7 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 FORK = 18600
-TARGET = "0xc" + "3".rjust(39, "0")
+TARGET = "0xc000000000000000000000000000000000000003"
 FIRST, LAST = 5000, 20000
 
 
@@ -72,7 +72,7 @@ _ALL = "SELECT block_number, block_timestamp, transaction_hash, trace_address, t
 def _(t):
     path = scratch_folder(t.spark, "traces")
     st.write_traces(t.traces.withColumns({c: F.concat(F.lit("0x"), F.upper(F.substr(c, F.lit(3)))) for c in ("from_address", "to_address")}), path)
-    return st.read_traces(t.spark, path, [1996, 1999]).drop("year").na.fill({"trace_address": ""})
+    return st.read_traces(t.spark, path, [1996, 1999]).drop("year", "bucket").na.fill({"trace_address": ""})
 
 
 @query("flatten_call_trees", "SELECT transaction_hash, trace_address, CASE WHEN trace_address = '' THEN 0 ELSE length(trace_address) - length(replace(trace_address, ',', '')) + 1 END AS depth, from_address, to_address, upper(call_type) AS type FROM traces WHERE trace_type = 'call'")
@@ -123,11 +123,20 @@ def flat(edges: DataFrame) -> DataFrame:
     return edges.withColumn("types", F.array_join(F.transform(F.array_sort(F.map_entries("types")), one), ", "))
 
 
-@query("edges_to_node_link", None)
+_JSON = """, doc AS (SELECT source, target, '{"types":{' || string_agg('"' || type || '":' || n, ',' ORDER BY type) || '},"source":"' || source || '","target":"' || target || '"}' AS e FROM typed GROUP BY source, target)"""
+
+
+@query("edges_to_node_link", f"""{_G}{_JSON} SELECT '{{"directed":true,"multigraph":false,"graph":{{}},"nodes":[' || coalesce((SELECT string_agg('{{"id":"' || node || '"}}', ',' ORDER BY node)
+  FROM (SELECT source AS node FROM pairs UNION SELECT target FROM pairs)), '') || '],"edges":[' || coalesce((SELECT string_agg(e, ',' ORDER BY source, target) FROM doc), '') || ']}}' AS document""")
 def _(t):
     return sinks.edges_to_node_link(t.edges())
 
 
+@query("edges_to_json_lines", f"""{_G}{_JSON} SELECT 'edge' AS kind, e AS line FROM doc UNION ALL SELECT 'node', '{{"id":"' || node || '"}}' FROM (SELECT source AS node FROM pairs UNION SELECT target FROM pairs)""")
+def _(t):
+    return sinks.edges_to_json_lines(t.edges())
+
+
 @query("edges_to_dot", _G + """SELECT 1 AS line_no, '  "' || source || '" -> "' || target || '" [label="' || types || '"];' AS line FROM pairs UNION ALL SELECT 0, 'digraph {' UNION ALL SELECT 2, '}'""")
 def _(t):
     return sinks.edges_to_dot(t.edges())
@@ -273,7 +282,7 @@ _LISTED = _CALLS.replace(f"m.from_address = '{TARGET}'", "m.from_address IN (SEL
     f"f.transaction_hash IN (SELECT transaction_hash FROM traces WHERE from_address = '{TARGET}' AND trace_type = 'call')",
     "EXISTS (SELECT 1 FROM traces x WHERE x.transaction_hash = f.transaction_hash AND x.from_address = m.from_address AND x.trace_type = 'call')",
 ).replace("SELECT f.transaction_hash, f.trace_address, f.from_address AS source", "SELECT m.from_address AS contract, f.from_address AS source")
-_LISTED = _LISTED.replace("WHERE f.to_address IS NOT NULL", f"WHERE f.block_number BETWEEN {FIRST} AND {LAST} AND f.to_address IN (SELECT address FROM code WHERE code <> '0x') AND f.from_address IN (SELECT address FROM code WHERE code <> '0x')")
+_LISTED = _LISTED.replace("WHERE f.to_address IS NOT NULL", f"WHERE f.block_number BETWEEN {FIRST} AND {LAST} AND f.to_address IN (SELECT address FROM code WHERE code <> '0x') AND f.from_address IN (SELECT address FROM code WHERE code <> '0x') AND m.from_address IN (SELECT address FROM code WHERE code <> '0x')")
 _LISTED = _LISTED.split(",\n typed AS")[0]
 
 
@@ -286,7 +295,7 @@ _LISTED = _LISTED.split(",\n typed AS")[0]
  b AS (SELECT contract, string_agg(source || '>' || target || ' ' || types, ';' ORDER BY source, target) AS edges FROM pairs GROUP BY contract)
  SELECT a.contract AS address, CAST({FIRST} AS BIGINT) AS from_block, CAST({LAST} AS BIGINT) AS to_block, n_nodes, nodes, edges FROM a JOIN b ON a.contract = b.contract""", "listed", "code", "labels", "fetched")
 def _(t):
-    d = network_documents(t.traces, t.listed.select(F.col("address").alias("contract")), t.code, t.labels, t.fetched, FIRST, LAST)
+    d = network_documents(t.traces, t.listed.select(F.col("address").alias("contract")), t.code, t.labels, t.fetched, FIRST, LAST, limit=None)
     nodes = F.array_join(F.transform(F.array_sort(F.map_entries("nodes")), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ";")
     types = lambda x: F.array_join(F.transform(x, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ", ")
     edges = F.array_join(F.transform("edges", lambda e: F.concat(e["source"], F.lit(">"), e["target"], F.lit(" "), types(e["types"]))), ";")
@@ -414,7 +423,7 @@ def _(t):
     return og.node_statistics(flagged(t), t.annotations)
 
 
-@query("relabel_nodes", f"{_UND}, {_NAMED} SELECT least(a.name, b.name) AS u, greatest(a.name, b.name) AS v, CAST(sum(weight) AS BIGINT) AS weight FROM kept k JOIN named a ON k.u = a.node JOIN named b ON k.v = b.node GROUP BY 1, 2", "listed", "labels", "annotations")
+@query("relabel_nodes", f"{_UND}, {_NAMED} SELECT least(a.name, b.name) AS u, greatest(a.name, b.name) AS v, CAST(arg_max(weight, k.u || k.v) AS BIGINT) AS weight FROM kept k JOIN named a ON k.u = a.node JOIN named b ON k.v = b.node GROUP BY 1, 2", "listed", "labels", "annotations")
 def _(t):
     return og.relabel_nodes(undirected(t), named(t)).drop("log_weight")
 

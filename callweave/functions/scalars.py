@@ -36,11 +36,11 @@ def log_weight(c: Column) -> Column:
 
 def hybrid_scale(y: Column) -> Column:
     """Linear up to 5, then 5 plus the decimal logarithm of what is over, plus 1."""
-    return F.when(y <= 5, y.cast("double")).otherwise(5 + F.log10(F.greatest(y - 5 + 1, F.lit(1))))
+    return F.when(y <= 5, y.cast("double")).otherwise(5 + F.log10(y - 4))
 
 
 def hybrid_scale_inverse(t: Column) -> Column:
-    return F.when(t <= 5, t.cast("double")).otherwise(F.pow(F.lit(10.0), t - 5) + 5 - 1)
+    return F.when(t <= 5, t.cast("double")).otherwise(F.pow(F.lit(10.0), t - 5) + 4)
 
 
 def abbreviate_number(n: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.functions.scalars import activity_level, short_address
+from callweave.operators.labels import unique_labels
+from callweave.storage import numbered
 
 
 def caller_transactions(traces: DataFrame, contracts: DataFrame) -> DataFrame:
@@ -68,7 +70,7 @@ def callers(edges: DataFrame, address: str) -> DataFrame:
 
 def classify_edges(edges: DataFrame, contract: str, labels: DataFrame) -> DataFrame:
     """Adds interaction_type (Direct from the contract, else Indirect) and the names of both ends, null where unknown."""
-    name = labels.select(F.lower("address").alias("address"), "label")
+    name = unique_labels(labels)
     s, t = name.select(F.col("address").alias("source"), F.col("label").alias("source_name")), name.select(F.col("address").alias("target"), F.col("label").alias("target_name"))
     kind = F.when(F.lower("source") == contract.lower(), "Direct").otherwise("Indirect")
     return edges.withColumn("interaction_type", kind).join(s, "source", "left").join(t, "target", "left")
@@ -101,8 +103,7 @@ def sort_edges(classified: DataFrame, by: str = "address", ascending: bool = Tru
         "interaction_type": [F.col("interaction_type")],
     }.get(by, [F.coalesce(F.element_at("types", by), F.lit(0))])
     order = [k.asc() if ascending else k.desc() for k in keys]
-    # One contract's edges are numbered: a table that a person reads.
-    return classified.withColumn("position", F.row_number().over(Window.orderBy(*order, "source", "target")))
+    return numbered(classified, [*order, "source", "target"], "position").withColumn("position", F.col("position").cast("int"))
 
 
 def node_groups(edges: DataFrame, contract: str) -> DataFrame:
@@ -119,23 +120,29 @@ def direct_summary(edges: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("activity", activity_level(F.col("interactions")))
 
 
-def _ranked(edges: DataFrame, *by: str) -> DataFrame:
-    """Direct targets by calls: n, rank, running sum and all."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ordered = w.orderBy(F.desc("n"), "target")
+def _call_counts(edges: DataFrame, *by: str) -> DataFrame:
+    """Direct targets by how often they are called, one row per ``by`` and number of calls n, with windows over these rows:
+    targets, targets and calls of those called more often, and all calls."""
     to = edges.groupBy(*by, "target").agg(F.sum(total(F.col("types"))).alias("n"))
-    return to.select("*", F.row_number().over(ordered).alias("rank"), F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("running"), F.sum("n").over(w).alias("whole"))
+    counts = to.groupBy(*by, "n").agg(F.count(F.lit(1)).alias("targets"))
+    w = Window.partitionBy(*(by or [F.lit(0)]))
+    above = w.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = {"rank": F.sum("targets").over(above), "calls": F.sum(F.col("targets") * F.col("n")).over(above)}
+    return counts.select("*", *[F.coalesce(v, F.lit(0)).alias(k) for k, v in sums.items()], F.sum(F.col("targets") * F.col("n")).over(w).alias("whole"))
 
 
 def top10_ratio(edges: DataFrame, *by: str) -> DataFrame:
     """Per cent, rounded, of direct calls that go to the ten most called targets."""
-    part = F.sum(F.when(F.col("rank") <= 10, F.col("n")).otherwise(0))
-    return _ranked(edges, *by).groupBy(*by).agg(F.floor(100.0 * part / F.max("whole") + 0.5).cast("long").alias("top10_ratio"))
+    part = F.sum(F.col("n") * F.least(F.greatest(10 - F.col("rank"), F.lit(0)), "targets"))
+    return _call_counts(edges, *by).groupBy(*by).agg(F.floor(100.0 * part / F.max("whole") + 0.5).cast("long").alias("top10_ratio"))
 
 
 def half_interactions_count(edges: DataFrame, *by: str) -> DataFrame:
     """Fewest targets, most called first, that have half of the direct calls or more."""
-    return _ranked(edges, *by).filter(F.col("running") >= 0.5 * F.col("whole")).groupBy(*by).agg(F.min("rank").alias("half_count"))
+    # Of the targets called n times so many are needed, at least one.
+    more = F.greatest(F.ceil((0.5 * F.col("whole") - F.col("calls")) / F.col("n")), F.lit(1))
+    enough = F.when((F.col("n") > 0) & (more <= F.col("targets")), F.col("rank") + more)
+    return _call_counts(edges, *by).groupBy(*by).agg(F.min(enough).cast("int").alias("half_count")).filter("half_count is not null")
 
 
 # ---- undirected, labelled graphs ----
@@ -166,6 +173,7 @@ def color_groups_flagged(nodes: DataFrame, documented: DataFrame, in_protocol: D
     return nodes.join(a, "node", "left").join(b, "node", "left").select("node", group.alias("color_group"))
 
 
+#: ``own`` and ``other`` are fixed values: the categories of the tag files.
 def color_groups_tagged(nodes: DataFrame, official: DataFrame, tags: DataFrame, own: str = "Lido", other: str = "External") -> DataFrame:
     """1 if official; else 2 or 0 by the tag's category, own or other; else 3."""
     a = official.select(F.col("address").alias("node"), F.lit(True).alias("a")).distinct()
@@ -188,7 +196,8 @@ def node_statistics(grouped: DataFrame, verified: DataFrame) -> DataFrame:
 
 def display_names(nodes: DataFrame, labels: DataFrame, verified: DataFrame) -> DataFrame:
     """(node, name): the label or else the short address, and a mark whether it is verified."""
-    named = nodes.join(labels.select(F.col("address").alias("node"), "label"), "node", "left").join(verified.select(F.col("address").alias("node"), "verified"), "node", "left")
+    label = unique_labels(labels).withColumnRenamed("address", "node")
+    named = nodes.join(label, "node", "left").join(verified.select(F.col("address").alias("node"), "verified"), "node", "left")
     mark = F.when(F.coalesce("verified", F.lit(False)), " ✓").otherwise(" ✗")
     return named.select("node", F.concat(F.coalesce("label", short_address(F.col("node"))), mark).alias("name"))
 
@@ -199,8 +208,11 @@ def tagged_names(nodes: DataFrame, tags: DataFrame, official: DataFrame) -> Data
     return nodes.join(a, "node", "left").join(b, "node", "left").select("node", F.coalesce("name_tag", "label", short_address(F.col("node"))).alias("name"))
 
 
-def relabel_nodes(graph: DataFrame, names: DataFrame) -> DataFrame:
-    """The graph with names for nodes; nodes of one name become one, and the weights of their edges are summed."""
+def relabel_nodes(graph: DataFrame, names: DataFrame, order: str | None = None) -> DataFrame:
+    """The graph with names for nodes; nodes of one name become one. Of the edges that thus become one the last counts, by the
+    column ``order``, else by the addresses of its ends; weights aren't summed."""
+    at = F.col(order) if order else F.struct("u", "v")
+    graph = graph.select("u", "v", "weight", at.alias("_at"))
     u, v = names.select(F.col("node").alias("u"), F.col("name").alias("nu")), names.select(F.col("node").alias("v"), F.col("name").alias("nv"))
-    named = graph.join(u, "u").join(v, "v").select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v"), "weight")
-    return named.groupBy("u", "v").agg(F.sum("weight").alias("weight")).withColumn("log_weight", F.log1p("weight"))
+    named = graph.join(u, "u").join(v, "v").select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v"), "weight", "_at")
+    return named.groupBy("u", "v").agg(F.max_by("weight", "_at").alias("weight")).withColumn("log_weight", F.log1p("weight"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.functions.scalars import share
+from callweave.operators.labels import unique_labels
 
 QUANTILES = (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
 
@@ -39,10 +40,12 @@ def call_type_share(yearly: DataFrame) -> DataFrame:
 
 def deployer_pareto(deployers: DataFrame, eoas: DataFrame, n: int = 100) -> DataFrame:
     """(address, alive) -> the first n by count with running sum, running per cent of the whole and whether they are EOAs.
-    The window is over a ranking of at most a few thousand rows."""
+    The whole is summed first; the window is over the first n rows only."""
+    whole = deployers.agg(F.sum("alive")).first()[0]
     order = Window.orderBy(F.desc("alive"), "address")
-    ranked = deployers.withColumn("rank", F.row_number().over(order)).withColumn("running", F.sum("alive").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ranked = ranked.withColumn("whole", F.sum("alive").over(Window.partitionBy())).filter(F.col("rank") <= n)
+    top = deployers.orderBy(F.desc("alive"), "address").limit(n)
+    ranked = top.withColumn("rank", F.row_number().over(order)).withColumn("running", F.sum("alive").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = ranked.withColumn("whole", F.lit(whole).cast("long"))
     known = eoas.select("address", F.lit(True).alias("k")).distinct()
     out = ranked.join(known, "address", "left")
     return out.select("address", "alive", "rank", "running", share(F.col("running"), F.col("whole")).alias("running_share"), F.coalesce("k", F.lit(False)).alias("is_eoa"))
@@ -50,7 +53,7 @@ def deployer_pareto(deployers: DataFrame, eoas: DataFrame, n: int = 100) -> Data
 
 def top_callee_links(callees: DataFrame, labels: DataFrame) -> DataFrame:
     """(call_type, callee, call_count): callcode left out, labels for addresses, ``Unknown Callee`` for none."""
-    named = callees.filter("call_type <> 'callcode'").join(labels.select(F.col("address").alias("to_address"), "label"), "to_address", "left")
+    named = callees.filter("call_type <> 'callcode'").join(unique_labels(labels).withColumnRenamed("address", "_a"), F.lower("to_address") == F.col("_a"), "left")
     return named.select("call_type", F.coalesce("label", "to_address", F.lit("Unknown Callee")).alias("callee"), "call_count")
 
 
@@ -78,13 +81,15 @@ def unlabelled_addresses(addresses: DataFrame, labels: DataFrame) -> DataFrame:
 
 def attach_labels(nodes: DataFrame, stored: DataFrame, fetched: DataFrame) -> DataFrame:
     """(node, label): the stored label, else the fetched one, else the address."""
-    s, f = stored.select(F.lower("address").alias("_a"), F.col("label").alias("_s")), fetched.select(F.lower("address").alias("_b"), F.col("label").alias("_f"))
+    s, f = unique_labels(stored).toDF("_a", "_s"), unique_labels(fetched).toDF("_b", "_f")
     out = nodes.join(s, F.lower("node") == F.col("_a"), "left").join(f, F.lower("node") == F.col("_b"), "left")
     return out.select("node", F.coalesce("_s", "_f", "node").alias("label"))
 
 
 def upsert_labels(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """(address, label, date_added, last_updated) after taking in (address, label, now): a new snapshot."""
-    n = new.select("address", F.col("label").alias("new_label"), "now")
+    """(address, label, date_added, last_updated) after taking in (address, label, now): a new snapshot.
+    Of several new rows of an address the latest counts, then the one with the greatest label."""
+    last = new.groupBy("address").agg(F.max(F.struct("now", "label")).alias("n"))
+    n = last.select("address", F.col("n.label").alias("new_label"), F.col("n.now").alias("now"))
     out = stored.join(n, "address", "full")
     return out.select("address", F.coalesce("new_label", "label").alias("label"), F.coalesce("date_added", "now").alias("date_added"), F.coalesce("now", "last_updated").alias("last_updated"))

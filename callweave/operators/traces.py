@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 CREATES = ("create", "create2")
 KINDS = {"calls": ("call",), "creates": CREATES, "suicides": ("suicide",)}
 #: The most blocks of a request, the default window, and the precompile that is left out.
-MAX_BLOCKS, LAST_BLOCKS, ECRECOVER = 7000, 10, "0x" + "1".rjust(40, "0")
+MAX_BLOCKS, LAST_BLOCKS, ECRECOVER = 7000, 10, "0x0000000000000000000000000000000000000001"
 
 
 def filter_block_range(df: DataFrame, first: int, last: int, limit: int | None = None) -> DataFrame:
@@ -57,12 +57,17 @@ def created_contracts(df: DataFrame) -> DataFrame:
     return filter_traces(df, "creates").select(F.col("to_address").alias("address")).distinct()
 
 
-def filter_contract_endpoints(calls: DataFrame, code: DataFrame, excluded: str | None = None, source: str = "from_address", target: str = "to_address") -> DataFrame:
-    """Calls between two addresses that are valid and have code other than none and the excluded one: a semi-join on each
-    end, whose hub addresses Spark's skew handling splits."""
+def with_code(code: DataFrame, excluded: str | None = None) -> DataFrame:
+    """(address): valid addresses, in lower case, that have code other than none and the excluded one."""
     has_code = code.filter(F.col("code").isNotNull() & ~F.col("code").isin("", "0x") & F.lower("address").rlike("^0x[0-9a-f]{40}$"))
     if excluded is not None:
         has_code = has_code.filter(F.col("code") != excluded)
-    good = has_code.select(F.lower("address").alias("_good")).distinct()
+    return has_code.select(F.lower("address").alias("address")).distinct()
+
+
+def filter_contract_endpoints(calls: DataFrame, code: DataFrame, excluded: str | None = None, source: str = "from_address", target: str = "to_address") -> DataFrame:
+    """Calls between two addresses that are valid and have code other than none and the excluded one: a semi-join on each
+    end, whose hub addresses Spark's skew handling splits."""
+    good = with_code(code, excluded).withColumnRenamed("address", "_good")
     out = calls.join(good, F.lower(calls[target]) == good["_good"], "left_semi")
     return out.join(good, F.lower(out[source]) == good["_good"], "left_semi")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from callweave.operators.graph import call_edges, extract_calls, graph_nodes
 from callweave.operators.results import attach_labels
-from callweave.operators.traces import filter_block_range, filter_contract_endpoints
+from callweave.operators.traces import MAX_BLOCKS, filter_block_range, filter_contract_endpoints, with_code
 
 
 def contract_edges(traces: DataFrame, contracts: DataFrame, code: DataFrame | None = None) -> DataFrame:
@@ -18,9 +18,11 @@ def contract_edges(traces: DataFrame, contracts: DataFrame, code: DataFrame | No
     return call_edges(calls, "contract")
 
 
-def network_documents(traces: DataFrame, contracts: DataFrame, code: DataFrame, stored: DataFrame, fetched: DataFrame, first: int, last: int) -> DataFrame:
-    """One row per contract with calls: address, from_block, to_block, n_nodes, nodes (address -> label), edges."""
-    edges = contract_edges(filter_block_range(traces, first, last), contracts, code)
+def network_documents(traces: DataFrame, contracts: DataFrame, code: DataFrame, stored: DataFrame, fetched: DataFrame, first: int, last: int, limit: int | None = MAX_BLOCKS) -> DataFrame:
+    """One row per contract with code and calls: address, from_block, to_block, n_nodes, nodes (address -> label), edges. More
+    than ``limit`` blocks are an error, as in an interactive request; a batch job passes None."""
+    valid = contracts.select(F.lower("contract").alias("contract")).join(with_code(code).withColumnRenamed("address", "contract"), "contract", "left_semi")
+    edges = contract_edges(filter_block_range(traces, first, last, limit), valid, code)
     nodes = graph_nodes(edges, "contract")
     labels = attach_labels(nodes.select("node").distinct(), stored, fetched)
     named = nodes.join(labels, "node").groupBy("contract").agg(F.count(F.lit(1)).alias("n_nodes"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("node", "label")))).alias("nodes"))

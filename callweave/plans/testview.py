@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from callweave.sources.traces import read_traces, write_traces
+from callweave.storage import scratch_folder
+
 ADDRESS = "'0xc' || lpad(CAST(p_partkey AS STRING),39,'0')"
 
 TRACES = """
@@ -37,7 +42,7 @@ TRACES = """
  traces AS (SELECT b.block_number, CAST(b.block_timestamp AS TIMESTAMP) AS block_timestamp, b.transaction_hash, ev.trace_address, ev.trace_type, ev.call_type, ev.from_address, ev.to_address, ev.status FROM ev JOIN blk b ON ev.k = b.o_orderkey)
 """
 
-#: Dimensions, each the body of a query on part or on traces.
+#: Dimensions, each the body of a query on part or on traces. Categories are fixed values.
 DIMS = {
     "contracts": "SELECT DISTINCT to_address AS address FROM traces WHERE status = 1 AND trace_type IN ('create','create2')",
     "code": f"SELECT {ADDRESS} AS address, CASE WHEN p_partkey % 41 = 0 THEN '0x' ELSE '0x6080' END AS code FROM part",
@@ -49,13 +54,28 @@ DIMS = {
     "source_b": "SELECT * FROM traces WHERE block_number % 13 <> 0 UNION ALL SELECT * FROM traces WHERE block_number % 17 = 0",
 }
 _TABLES = ("lineitem", "orders", "part")
+#: Folders of test tables -> where their traces are stored.
+_stored: dict[str, str] = {}
+
+
+def store(spark: SparkSession, sf_dir: str) -> None:
+    """Writes the traces of a folder of test tables once; from then on ``frame`` reads them."""
+    path = scratch_folder(spark, "traces")
+    write_traces(frame(spark, sf_dir), path)
+    _stored[sf_dir] = path
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str = "traces") -> DataFrame:
     """The traces or a dimension of them."""
     for t in _TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(f"WITH {TRACES} {DIMS.get(name, 'SELECT * FROM traces')}")
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"callweave_{t}")
+    traces = TRACES
+    if sf_dir in _stored:
+        read_traces(spark, _stored[sf_dir]).drop("year", "bucket").createOrReplaceTempView("callweave_traces")
+        traces = "traces AS (SELECT * FROM callweave_traces)"
+    sql = f"WITH {traces} {DIMS.get(name, 'SELECT * FROM traces')}"
+    # Views of this library's own, so that none of the session's is replaced.
+    return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(_TABLES)})\b", r"\1 callweave_\2", sql))
 
 
 def oracle(sql: str, *dims: str) -> str:

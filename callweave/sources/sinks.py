@@ -9,13 +9,21 @@ from callweave.operators.graph import graph_nodes
 
 
 def edges_to_node_link(edges: DataFrame) -> DataFrame:
-    """One row ``document``: the graph of one contract as node-link JSON, nodes and edges in order. For large graphs write
-    ``graph_nodes`` and the edges as JSON lines instead."""
-    nodes = graph_nodes(edges).agg(F.sort_array(F.collect_list(F.struct(F.col("node").alias("id")))).alias("nodes"))
+    """One row ``document``: the graph of one contract as node-link JSON, nodes and edges in order. It is made in one task, as
+    one document is; ``edges_to_json_lines`` is for graphs of any size."""
     ordered = edges.agg(F.sort_array(F.collect_list(F.struct("source", "target", F.map_entries("types").alias("types")))).alias("edges"))
+    ends = F.array_sort(F.array_distinct(F.concat(F.transform("edges", lambda e: e["source"]), F.transform("edges", lambda e: e["target"]))))
+    nodes = F.transform(ends, lambda n: F.struct(n.alias("id"))).alias("nodes")
     flat = F.transform("edges", lambda e: F.struct(F.map_from_entries(e["types"]).alias("types"), e["source"].alias("source"), e["target"].alias("target")))
-    whole = F.struct(F.lit(True).alias("directed"), F.lit(False).alias("multigraph"), F.create_map().cast("map<string,string>").alias("graph"), "nodes", flat.alias("edges"))
-    return nodes.crossJoin(ordered).select(F.to_json(whole).alias("document"))
+    whole = F.struct(F.lit(True).alias("directed"), F.lit(False).alias("multigraph"), F.create_map().cast("map<string,string>").alias("graph"), nodes, flat.alias("edges"))
+    return ordered.select(F.to_json(whole).alias("document"))
+
+
+def edges_to_json_lines(edges: DataFrame) -> DataFrame:
+    """(kind, line): every node and every edge of a graph as a JSON object of its own, to be written as text."""
+    nodes = graph_nodes(edges).select(F.lit("node").alias("kind"), F.to_json(F.struct(F.col("node").alias("id"))).alias("line"))
+    types = F.map_from_entries(F.array_sort(F.map_entries("types")))
+    return nodes.union(edges.select(F.lit("edge"), F.to_json(F.struct(types.alias("types"), "source", "target"))))
 
 
 def edges_to_dot(edges: DataFrame) -> DataFrame:

@@ -18,18 +18,28 @@ EXPORTERS = {
 }
 
 
-def read_traces(spark: SparkSession, path: str, years: Sequence[int] | None = None) -> DataFrame:
-    """Traces in parquet, by year in folders ``year=...`` if so written; addresses in lower case."""
-    df = spark.read.schema(f"{TRACES}, year int").parquet(path)
+#: Blocks of one folder of written traces.
+BUCKET = 100_000
+
+
+def read_traces(spark: SparkSession, path: str, years: Sequence[int] | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Traces as ``write_traces`` lays them out: folders by year and block bucket, addresses in lower case, so that conditions on
+    years and blocks choose folders and those on any column reach the files. Blocks ``first`` .. ``last``, both included."""
+    df = spark.read.schema(f"{TRACES}, year int, bucket long").parquet(path)
     if years is not None:
         df = df.filter(F.col("year").isin([int(y) for y in years]))
-    return df.withColumns({c: F.lower(c) for c in ("from_address", "to_address")})
+    if first is not None:
+        df = df.filter((F.col("bucket") >= first // BUCKET) & (F.col("block_number") >= first))
+    if last is not None:
+        df = df.filter((F.col("bucket") <= last // BUCKET) & (F.col("block_number") <= last))
+    return df
 
 
 def write_traces(traces: DataFrame, path: str) -> None:
-    """Parquet by year, each year's rows sorted by block within files."""
-    t = traces.withColumn("year", F.year("block_timestamp"))
-    t.repartition("year", F.floor(F.col("block_number") / 100_000)).sortWithinPartitions("year", "block_number").write.partitionBy("year").parquet(path)
+    """Parquet by year and bucket of blocks, rows sorted by block within files, addresses in lower case."""
+    t = traces.withColumns({c: F.lower(c) for c in ("from_address", "to_address")})
+    t = t.withColumns({"year": F.year("block_timestamp"), "bucket": F.floor(F.col("block_number") / BUCKET).cast("long")})
+    t.repartition("year", "bucket", F.floor(F.col("block_number") / (BUCKET // 16))).sortWithinPartitions("year", "bucket", "block_number").write.partitionBy("year", "bucket").parquet(path)
 
 
 def _frames(tree: dict) -> Iterator[tuple[str, int, str | None, str | None, str | None]]:
@@ -42,15 +52,23 @@ def _frames(tree: dict) -> Iterator[tuple[str, int, str | None, str | None, str
         left += [(calls[i], f"{place},{i}" if place else str(i), depth + 1) for i in range(len(calls) - 1, -1, -1)]
 
 
+def _tree(tx: str, doc: str) -> dict:
+    try:
+        return json.loads(doc)
+    except (RecursionError, json.JSONDecodeError) as e:
+        raise ValueError(f"the call tree of transaction {tx} can't be read: {type(e).__name__}") from None
+
+
 def flatten_call_trees(trees: DataFrame) -> DataFrame:
-    """(transaction_hash, trace_json) -> one row per frame. Null documents give no rows."""
+    """(transaction_hash, trace_json) -> one row per frame. Null documents give no rows. A document that isn't JSON, or is nested
+    far deeper than calls can be, is an error that names its transaction."""
     names = [f.split()[0] for f in FRAMES.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [(tx, *frame) for tx, doc in zip(*(part.column(i).to_pylist() for i in (0, 1)), strict=True) if doc for frame in _frames(json.loads(doc))]
+                rows = [(tx, *frame) for tx, doc in zip(*(part.column(i).to_pylist() for i in (0, 1)), strict=True) if doc for frame in _frames(_tree(tx, doc))]
                 columns = list(zip(*rows, strict=True)) or [()] * 6
                 types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
@@ -71,11 +89,11 @@ def read_exporter_csv(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def read_address_dims(spark: SparkSession, path: str, key: str = "address", sep: str = ",", order: str | None = None) -> DataFrame:
     """An address table in CSV: keys in lower case, values trimmed; of rows with one key the last wins (by the column
-    ``order``, else by place in the file, which must then be read as one partition). A byte-order mark is dropped."""
-    df = spark.read.csv(path, header=True, sep=sep, inferSchema=False)
+    ``order``, else by name of the file and place in it; files are then read whole). A byte-order mark is dropped."""
+    df = spark.read.csv(path, header=True, sep=sep, inferSchema=False, multiLine=order is None)
     df = df.withColumnsRenamed({c: c.lstrip("﻿").strip() for c in df.columns})
     df = df.withColumns({c: F.trim(c) for c in df.columns}).withColumn(key, F.lower(key))
-    row = F.col(order).cast("long") if order else F.monotonically_increasing_id()
+    row = F.col(order).cast("long") if order else F.struct(F.input_file_name(), F.monotonically_increasing_id())
     rest = [c for c in df.columns if c not in (key, order)]
     last = df.withColumn("_row", row).groupBy(key).agg(F.max_by(F.struct(*rest), "_row").alias("_last"))
     return last.select(key, *[F.col("_last")[c].alias(c) for c in rest])

@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
 
+def _own_folder() -> str:
+    """One temporary folder of this process, removed at its end."""
+    if "path" not in _own:
+        _own["path"] = tempfile.mkdtemp(prefix="spark-callweave-")
+        atexit.register(shutil.rmtree, _own["path"], ignore_errors=True)
+    return f"file://{_own['path']}"
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in ``spark.checkpoint.dir``, which driver and executors share; a temporary one where that is unset."""
+    """A new folder in ``spark.checkpoint.dir``, which driver and executors share; results read from it, so it must live as
+    long as they are used. Where that is unset, a temporary folder on local masters and an error on any other."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        shared = _own.setdefault("path", "file://" + tempfile.mkdtemp(prefix="spark-callweave-"))
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = _own_folder()
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -23,3 +37,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with the column ``name``: the row's place, from 1, in the given order, which should be total.
+
+    Rows are range-partitioned, sorted and written; a row's place is that in its partition, after all rows of the
+    partitions before, of which only the sizes are brought together.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    # The number's upper bits are the partition, the lower 33 the place in it.
+    rows = written(placed.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id"), "numbered")
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = sizes.select("_part", before.alias("_before"))
+    return rows.join(first, "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")

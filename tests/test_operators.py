@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from callweave.functions import scalars as sc
 from callweave.operators import deployers, graph, lifecycle, reconcile, results, traces as ot
+from callweave.plans import network
 from callweave.sources import sinks
 from callweave.sources import traces as st
+from callweave.storage import numbered, scratch_folder
 
 T = "block_number long, block_timestamp timestamp, transaction_hash string, trace_address string, trace_type string, call_type string, from_address string, to_address string, status int"
 
@@ -112,3 +114,69 @@ def test_blank_cells_and_later_rows(spark, tmp_path):
     assert [tuple(r) for r in out.collect()] == [("t", "0_1", "x", "y"), ("t", None, "x", "z")]
     (tmp_path / "d.csv").write_text("﻿address;label\n0xAB; one\n0xab;two\n0xC; three\n")
     assert got(st.read_address_dims(spark, f"file://{tmp_path}/d.csv", sep=";")) == [("0xab", "two"), ("0xc", "three")]
+
+
+def test_labels_that_repeat_multiply_nothing(spark):
+    labels = spark.createDataFrame([("0xA", "one"), ("0xa", "two"), ("0xa", None), ("0xb", None), (None, "x")], "address string, label string")
+    nodes = spark.createDataFrame([("0xa",), ("0xb",)], "node string")
+    assert got(results.attach_labels(nodes, labels, labels)) == [("0xa", "two"), ("0xb", "0xb")]
+    edges = spark.createDataFrame([("0xa", "0xb", {"CALL": 1})], "source string, target string, types map<string,long>")
+    assert got(graph.classify_edges(edges, "0xA", labels), "source_name", "interaction_type") == [("two", "Direct")]
+    callees = spark.createDataFrame([("call", "0xa", 5), ("callcode", "0xa", 1)], "call_type string, to_address string, call_count long")
+    assert got(results.top_callee_links(callees, labels)) == [("call", "two", 5)]
+    old = spark.createDataFrame([("0xa", "old", 1, 1)], "address string, label string, date_added int, last_updated int")
+    new = spark.createDataFrame([("0xa", "new", 2), ("0xa", "newer", 3), ("0xc", "c", 3), ("0xc", "d", 3)], "address string, label string, now int")
+    assert got(results.upsert_labels(old, new)) == [("0xa", "newer", 1, 3), ("0xc", "d", 3, 3)]
+
+
+def test_merged_edges_keep_the_last_weight(spark):
+    edges = spark.createDataFrame([("a", "x", 5, 2), ("b", "x", 2, 1), ("a", "b", 9, 3)], "u string, v string, weight long, row_no int")
+    names = spark.createDataFrame([("a", "N"), ("b", "N"), ("x", "X")], "node string, name string")
+    assert got(graph.relabel_nodes(edges, names), "u", "v", "weight") == [("N", "N", 9), ("N", "X", 2)]
+    assert got(graph.relabel_nodes(edges, names, "row_no"), "u", "v", "weight") == [("N", "N", 9), ("N", "X", 5)]
+
+
+def test_places_in_an_order(spark):
+    df = spark.range(1000).selectExpr("id * 7919 % 1000 AS k", "id")
+    out = numbered(df, [F.desc("k")], "place").collect()
+    assert all(r.place == 1000 - r.k for r in out) and len(out) == 1000
+    assert numbered(df.limit(0), ["k"], "place").count() == 0
+
+
+def test_most_called_targets(spark):
+    n = [40, 20, 20, 10, 10, 5, 5, 5, 3, 3, 3, 3, 3, 1, 0]
+    edges = spark.createDataFrame([("c", f"t{i:02d}", {"CALL": k}) for i, k in enumerate(n)], "source string, target string, types map<string,long>")
+    assert got(graph.top10_ratio(edges)) == [(int(100 * sum(n[:10]) / sum(n) + 0.5),)]
+    assert got(graph.half_interactions_count(edges)) == [(3,)]
+    assert got(graph.half_interactions_count(edges.filter("target <> 't00'"), "source")) == [("c", 3)]
+
+
+def test_stored_traces_are_pruned(spark):
+    path = scratch_folder(spark, "t")
+    st.write_traces(rows(spark, *[(k * 50_000, f"t{k}", "", "call", "0xAB", f"0xC{k}") for k in range(8)]), path)
+    out = st.read_traces(spark, path, first=100_000, last=249_999).filter("from_address = '0xab'")
+    assert got(out, "block_number", "to_address") == [(100_000, "0xc2"), (150_000, "0xc3"), (200_000, "0xc4")]
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    plan = st.read_traces(spark, path, first=100_000, last=249_999).filter("from_address = '0xab'")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(from_address,0xab)" in plan
+
+
+def test_documents_of_valid_contracts_only(spark):
+    a, b, c = ("0x" + x * 40 for x in "abc")
+    t = rows(spark, (1, "t", "", "call", a, b), (1, "t", "0", "call", b, c), (2, "u", "", "call", c, b), (9, "v", "", "call", a, b))
+    code = spark.createDataFrame([(a.upper().replace("0X", "0x"), "0x60"), (b, "0x60"), (c, "0x")], "address string, code string")
+    none = spark.createDataFrame([], "address string, label string")
+    listed = spark.createDataFrame([(a,), (c,)], "contract string")
+    (doc,) = network.network_documents(t, listed, code, none, none, 1, 5).collect()
+    assert (doc.address, doc.n_nodes, [e.target for e in doc.edges]) == (a, 2, [b])
+    with pytest.raises(ValueError):
+        network.network_documents(t, listed, code, none, none, 1, 9000)
+
+
+def test_trees_that_cannot_be_read_are_named(spark):
+    deep = '{"calls":[' * 200_000 + "{}" + "]}" * 200_000
+    for doc in (deep, "{"):
+        df = spark.createDataFrame([("0xbad", doc)], "transaction_hash string, trace_json string")
+        with pytest.raises(Exception, match="0xbad"):
+            st.flatten_call_trees(df).collect()
