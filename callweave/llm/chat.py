@@ -4,6 +4,8 @@ A preference pair is two arrays of turns (role, text). Their longest common pref
 prompt; what follows it on either side is rendered as that side's completion, with a mask that trains on the content and
 the end mark of assistant turns only. Null arrays count as empty; null roles and texts as empty strings, and two nulls
 are equal. Equal sides give empty completions. Rows whose conversation id is null belong to no conversation and give none.
+Repeated rows are repeated turns. Texts of any length are rendered whole. Other columns, whatever their names, aren't looked
+at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -71,26 +73,35 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("formatted", out)
 
 
-def swapped_answers(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turns) -> (conv_id, chosen, rejected): the conversation itself against its turns before its last
+def swapped_answers(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text) rows -> (conv_id, chosen, rejected): each conversation against its turns before its last
     assistant turn followed by the last assistant turn of its neighbour (ids 2k and 2k+1 are neighbours).
 
     Without an assistant turn of its own all its turns are the prompt; without one of the neighbour's nothing follows.
+    Neighbours are brought together by one grouping.
     """
-    turns = F.col("turns")
-    is_answer = F.transform(turns, lambda t: t["role"] == "assistant")
-    last = F.size(turns) - F.array_position(F.reverse(is_answer), True).cast("int") + 1
-    own = F.when(F.array_contains(is_answer, True), last)
-    c = conversations.select("conv_id", "turns", own.alias("last"))
-    answer = F.when(F.col("last").isNotNull(), F.array(F.element_at(turns, F.col("last")))).otherwise(F.array().cast(TURNS))
-    other = c.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), answer.alias("answer"))
-    start = F.when(F.col("last").isNotNull(), F.slice(turns, F.lit(1), F.col("last") - 1)).otherwise(turns)
-    both = c.join(other, "conv_id", "left")
-    return both.select("conv_id", turns.alias("chosen"), F.concat(start, F.coalesce(F.col("answer"), F.array().cast(TURNS))).alias("rejected"))
+    both = F.sort_array(F.collect_list(F.struct("conv_id", "turn", "role", "text")))
+    pairs = rows.filter(F.col("conv_id").isNotNull()).groupBy(F.shiftright("conv_id", 1).alias("pair")).agg(both.alias("both"))
+
+    def side(bit: int) -> Column:
+        own = F.filter("both", lambda t: t["conv_id"].bitwiseAND(F.lit(1)) == bit)
+        return F.transform(own, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+
+    def entry(bit: int) -> Column:
+        return F.struct((F.shiftleft("pair", 1) + bit).cast(rows.schema["conv_id"].dataType).alias("conv_id"), F.col(f"turns{bit}").alias("turns"), F.col(f"turns{1 - bit}").alias("other"))
+
+    sides = pairs.select("pair", side(0).alias("turns0"), side(1).alias("turns1"))
+    c = sides.select(F.inline(F.array(entry(0), entry(1)))).filter(F.size("turns") > 0)
+    # Where the last assistant turn is, from 1; null without one.
+    last = lambda turns: F.size(turns) - F.nullif(F.array_position(F.reverse(F.transform(turns, lambda t: t["role"] == "assistant")), True), F.lit(0)).cast("int") + 1
+    c = c.withColumns({"last": last(F.col("turns")), "theirs": last(F.col("other"))})
+    answer = F.when(F.col("theirs").isNotNull(), F.array(F.get("other", F.col("theirs") - 1))).otherwise(F.array().cast(TURNS))
+    start = F.when(F.col("last").isNotNull(), F.slice("turns", F.lit(1), F.col("last") - 1)).otherwise(F.col("turns"))
+    return c.select("conv_id", F.col("turns").alias("chosen"), F.concat(start, answer).alias("rejected"))
 
 
 def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = swapped_answers(conversation_turns(table(spark, sf_dir, "conversations")))
+    pairs = swapped_answers(table(spark, sf_dir, "conversations"))
     return format_preferences(pairs).select("conv_id", "formatted.*")
 
 

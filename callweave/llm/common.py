@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 import pyarrow.fs
@@ -11,25 +9,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callweave.storage import scratch_folder
+
 #: A word: a run of characters other than space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
-_own_folder: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset, one temporary folder of this process."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if "path" not in _own_folder:
-        _own_folder["path"] = "file://" + tempfile.mkdtemp(prefix="spark-callweave-")
-    return _own_folder["path"]
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share. Nothing in it is deleted: results read from it."""
+    return scratch_folder(spark, name)
 
 
 def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:

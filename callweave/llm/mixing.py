@@ -3,7 +3,8 @@
 Sizes are summed per source, each source gets a target, and the target over the source's size is the repetition rate.
 A document is emitted floor(rate) times, plus once more if a number in [0, 1) made from its id and the seed is under the
 rate's fraction. Reruns and repeated rows of one id decide alike. A null text has size 0, a null source is a source of
-its own (the last), an empty table gives an empty result. Extra columns are carried along untouched.
+its own (the last), an empty table gives an empty result. Texts of any length count whole. Extra columns, whatever their names, are carried along
+untouched. Sources of equal limits over weights are filled in order of their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ hashes and linked to groups, and within a group all pairs of n-gram sets are com
 
 Words are runs of characters other than ASCII white space, case as is. A null, empty or blank text has no n-grams: it
 links to nothing and is alone in its class. Repeated rows count as copies of each other. Null ids are ignored when a
-class takes its least id. Nodes carry 64-bit hashes of their sets; at a billion texts the chance that any two different
+class takes its least id. Texts of any length are compared on their whole sets; a pair exactly at the threshold is a link.
+Other columns, whatever their names, aren't looked at. An empty table gives an empty result. Nodes carry 64-bit hashes of their sets; at a billion texts the chance that any two different
 sets share one is about 0.03.
 """
 

@@ -9,7 +9,9 @@ find its k-th occurrence, or decode everything. Planes are compressed each by it
 Writing is a Spark job whose tasks write to the shared folder (any store that pyarrow can open by URI); a task that is run
 again writes the same files. What it returns, one row per shard, is kept as a table, and shards get their first id by sums
 over partitions and then over shards of a partition. A null text counts as empty and has the end id only. Repeated rows
-are encoded each. Null ids come first. An empty table gives no shards and an empty result.
+are encoded each, and equal ids come in order of a hash of their texts. Null ids come first. A very long text is encoded
+whole and may make a shard longer. Other columns, whatever their names, aren't looked at. An empty table gives no shards and
+an empty result.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ ROWS = "conv_id long, turn long, role string, text string, turns string"
 
 
 def conv(spark, *rows):
-    return chat.conversation_turns(spark.createDataFrame([(*r, "clash") for r in rows], ROWS))
+    return spark.createDataFrame([(*r, "clash") for r in rows], ROWS)
 
 
 def test_common_turns_are_the_prompt(spark):
@@ -27,15 +27,17 @@ def test_conversations_and_swapped_answers(spark):
     c = conv(
         spark,
         (0, 1, "assistant", "a0"), (0, 0, "user", "q0"), (1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (1, 2, "user", "then"),
-        (2, 0, "user", "alone"), (2, 0, "user", "alone"), (None, 0, "user", "nobody"), (3, 0, None, None), (3, None, "assistant", "early"), (9, 0, "assistant", "x" * 100_000),
+        (2, 0, "user", "alone"), (2, 0, "user", "alone"), (None, 0, "user", "nobody"), (3, 0, None, None), (3, None, "assistant", "early"), (9, 0, "assistant", "x" * 2_000_000), (-1, 0, "user", "below"), (-2, 0, "assistant", "zero"),
     )
-    turns = {r.conv_id: [tuple(t) for t in r.turns] for r in c.collect()}
+    turns = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.conversation_turns(c).collect()}
     assert turns[0] == [("user", "q0"), ("assistant", "a0")] and turns[2] == [("user", "alone")] * 2
     assert turns[3] == [("assistant", "early"), ("", "")] and None not in turns
-    out = {r.conv_id: [tuple(t) for t in r.rejected] for r in chat.swapped_answers(c).collect()}
+    pairs = chat.swapped_answers(c).collect()
+    assert {r.conv_id: [tuple(t) for t in r.chosen] for r in pairs} == turns and len(pairs) == len(turns)
+    out = {r.conv_id: [tuple(t) for t in r.rejected] for r in pairs}
     assert out[0] == [("user", "q0"), ("assistant", "a1")]
     assert out[1] == [("user", "q1"), ("assistant", "a0")]
-    assert out[2] == [("user", "alone"), ("user", "alone"), ("assistant", "early")] and out[3] == [] and out[9] == []
+    assert out[2] == [("user", "alone"), ("user", "alone"), ("assistant", "early")] and out[3] == [] and out[9] == [] and out[-1] == [("user", "below"), ("assistant", "zero")] and out[-2] == []
 
 
 def test_empty_table(spark):
