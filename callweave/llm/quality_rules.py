@@ -181,25 +181,29 @@ def fit(points: DataFrame) -> DataFrame:
 
 
 def _with_params(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """``rows`` with the parameters of their language and source as the struct ``_cw_p``; null where no document passed the base rules."""
+    """``rows`` with the parameters of their language and source as the struct ``_cw_p``: of rows that passed the base
+    rules, which are those that the parameters count."""
     own = params.select(F.struct(*M, *L, "usable").alias("_cw_p"), F.col("n").alias("_cw_n"), F.col("g_lang").alias("_cw_lang"), F.col("g_source").alias("_cw_source"))
     total = params.agg(F.sum("n")).first()[0] or 0
-    return join_groups(rows, own, {"lang": "_cw_lang", "source": "_cw_source"}, "_cw_n", total, "left").drop("_cw_n")
+    return join_groups(rows, own, {"lang": "_cw_lang", "source": "_cw_source"}, "_cw_n", total).drop("_cw_n")
 
 
 def _verdict(s: Column, p: Column) -> tuple[Column, Column]:
-    """Squared distance of the statistics, and whether they are kept."""
+    """Squared distance of the statistics, and whether it is one to keep."""
     x, z = vector(s), []
     for i in range(P):
         z.append((x[i] - p[M[i]] - sum((p[f"l{i}{j}"] * z[j] for j in range(i)), F.lit(0.0))) / p[f"l{i}{i}"])
     d2 = reduce(lambda a, b: a + b, (v * v for v in z))
-    return d2, ~base_failed(s) & ~(F.coalesce(p["usable"], F.lit(False)) & F.coalesce(d2 > CUTOFF, F.lit(False)))
+    return d2, ~(F.coalesce(p["usable"], F.lit(False)) & F.coalesce(d2 > CUTOFF, F.lit(False)))
 
 
 def judged(rows: DataFrame, params: DataFrame, stats: str) -> DataFrame:
-    """``rows`` (lang, source and the struct ``stats``) with ``_cw_kept`` and ``_cw_d2`` by the fitted parameters."""
-    d2, kept = _verdict(F.col(stats), F.col("_cw_p"))
-    return _with_params(rows, params).withColumn("_cw_d2", d2).withColumn("_cw_kept", kept).drop("_cw_p")
+    """``rows`` (lang, source and the struct ``stats``) with ``_cw_kept`` and ``_cw_d2`` by the fitted parameters; rows that fail
+    the base rules need none, and their distance is null."""
+    s = F.col(stats)
+    d2, kept = _verdict(s, F.col("_cw_p"))
+    passed = _with_params(rows.filter(~base_failed(s)), params).withColumn("_cw_d2", d2).withColumn("_cw_kept", kept).drop("_cw_p")
+    return passed.unionByName(rows.filter(base_failed(s)).withColumns({"_cw_d2": F.lit(None).cast("double"), "_cw_kept": F.lit(False)}))
 
 
 def _points(stats: DataFrame, s: str = "s") -> DataFrame:

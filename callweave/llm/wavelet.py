@@ -95,6 +95,7 @@ class WaveletMatrix:
         self.n: int = self.head["n"]
         self._data, self._at = data, 12 + size
         self._planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._before: dict[tuple[int, int], np.ndarray] = {}
 
     def _part(self, name: str) -> bytes:
         lo, hi = self.head["parts"][name]
@@ -125,7 +126,9 @@ class WaveletMatrix:
     def _find(self, k: int, bit: int, nth: int) -> int:
         """Position in plane k of the nth bit (from 0) equal to ``bit``."""
         plane, ranks = self._plane(k)
-        upto = ranks.astype(np.int64) if bit else np.arange(len(ranks), dtype=np.int64) * BLOCK - ranks
+        if (k, bit) not in self._before:
+            self._before[k, bit] = ranks.astype(np.int64) if bit else np.arange(len(ranks), dtype=np.int64) * BLOCK - ranks
+        upto = self._before[k, bit]
         block = int(np.searchsorted(upto, nth, "right")) - 1
         part = np.unpackbits(plane[block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")[: self.n - block * BLOCK]
         return block * BLOCK + int(np.flatnonzero(part == bit)[nth - int(upto[block])])
