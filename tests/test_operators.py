@@ -1,11 +1,13 @@
 """Small hand-made cases of the operators; the whole queries are held against SQL in test_catalog."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from callweave.functions import scalars as sc
 from callweave.operators import deployers, graph, lifecycle, reconcile, results, traces as ot
-from callweave.plans import network
+from callweave.plans import network, testview
 from callweave.sources import sinks
 from callweave.sources import traces as st
 from callweave.storage import numbered, scratch_folder
@@ -180,3 +182,15 @@ def test_trees_that_cannot_be_read_are_named(spark):
         df = spark.createDataFrame([("0xbad", doc)], "transaction_hash string, trace_json string")
         with pytest.raises(Exception, match="0xbad"):
             st.flatten_call_trees(df).collect()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_stored_traces_are_the_view(spark):
+    sf, names = "/root/testdata/sf0.001", ("traces", "contracts", "source_b")
+    as_text = lambda: {n: sorted(str(r) for r in testview.frame(spark, sf, n).collect()) for n in names}
+    derived = as_text()
+    testview.store(spark, sf)
+    try:
+        assert as_text() == derived
+    finally:
+        testview._stored.clear()
