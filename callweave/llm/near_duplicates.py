@@ -231,7 +231,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     """The rows of ``docs`` with one row left of each class: that of the least doc_id, rows without an id last; of equal ids
     the first row by its number in the written table. Rows without n-grams (null, empty or blank texts) all stay. Columns
     of any name are carried along; the table must have doc_id and text."""
-    whole = saved(signatures(docs, *choose_bands(threshold, recall), whole=True), "cw-near")
+    whole = saved(signatures(docs, *choose_bands(threshold, recall), whole=True), "cw-near", "zstd")
     signed = whole.drop("d")
     first = _classes(signed, whole.select("d.*"), threshold, block).select(F.col("of.row").alias("row")).distinct()
     chosen = whole.filter("node is not null").join(first, "row", "left_semi").select("d.*")

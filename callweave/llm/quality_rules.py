@@ -218,7 +218,7 @@ def measured(docs: DataFrame) -> DataFrame:
 def filter_outliers(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that both the base rules and the distance keep, columns unchanged. The documents are written with
     their statistics, so that these are taken once; they must have text, lang and source."""
-    stats = saved(docs.withColumn("_cw_s", text_stats(F.col("text"))), "cw-stats")
+    stats = saved(docs.withColumn("_cw_s", text_stats(F.col("text"))), "cw-stats", "zstd")
     return judged(stats, fit(_points(stats, "_cw_s")), "_cw_s").filter("_cw_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
