@@ -27,6 +27,7 @@ gives an empty result. Words carry 64-bit hashes; among a billion words the chan
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,16 +36,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm.common import SPACES, saved, table
+from callweave.llm.common import saved, table
 
 UNIT_SHARE, TABLE_SHARE, BUCKETS = 1e-4, 1e-6, 512
 CLASSES, GROUPS, SMOOTH, PRIOR = 64, 4, 64.0, 4.0
 ROUNDS, GAIN = 36, 2e-4
-#: Pooled tokens of a task whose neighbours are counted together.
-FLUSH = 4_000_000
+#: Different words that a task holds counts of, and pooled tokens of a task whose neighbours are counted together.
+HELD_WORDS, FLUSH = 400_000, 2_000_000
 END = b" "  # no word holds a space
 NAME = "cw-lm"
+#: Stands for the class of a token that is looked up later; classes are less, and slots of neighbours fit a byte.
+OTHER = 255
 CODED = "row long, doc_id long, held boolean, codes binary, rare array<long>"
+STARTED = "row long, doc_id long, held boolean, n_known long, logs double, seq binary, others binary, n_rare int"
 LINED = "doc_id long, held boolean, n_tokens long, n_known long, logs double, seq binary"
 
 
@@ -53,10 +57,29 @@ def held_out(doc_id: Column) -> Column:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) of the training rows, the end token among them."""
-    low = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.concat(F.array_remove(F.split(low, SPACES), ""), F.array(F.lit(END.decode())))
-    return docs.filter(~held_out(F.col("doc_id"))).select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+    """(word, c) of the training rows, the end token among them. Tasks count their words before the shuffle."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[bytes] = Counter()
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            words, times = list(seen), list(seen.values())
+            for at in range(0, len(words), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 50_000], pa.binary()), pa.array(times[at : at + 50_000], pa.int64())], ["word", "c"])
+            seen.clear()
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                texts = batch.column(0).slice(at, 512).to_pylist()
+                for text in texts:
+                    seen.update(words_of(text))
+                seen[END] += len(texts)
+                if len(seen) > HELD_WORDS:
+                    yield from counted()
+        yield from counted()
+
+    words = docs.filter(~held_out(F.col("doc_id"))).select("text").mapInArrow(work, "word binary, c long")
+    return words.groupBy(F.col("word").cast("string").alias("word")).agg(F.sum("c").alias("c"))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -265,22 +288,37 @@ def bucket_vectors(bigrams: DataFrame, classes: np.ndarray, n_own: int, n_classe
 
 
 def neighbours(rows: DataFrame, tables, classes: np.ndarray, n_own: int, n_classes: int) -> DataFrame:
-    """(h, bucket, slots, times): which classes follow (slot k) and precede (slot n_classes + k) pooled training words, by hash
-    of the word; a word has a row for every ``FLUSH`` pooled tokens of a task that hold it."""
+    """(h, met): which classes follow (slot k) and precede (slot n_classes + k) pooled training words, by hash of the word. A word
+    has a row for every ``FLUSH`` pooled tokens of a task that hold it; ``met`` has its bucket in two bytes, then slots and
+    their times in one byte each (a slot comes again where 255 isn't enough)."""
     wide = 2 * n_classes
 
     def counted(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         h, bucket, after, before = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
         names, first, at = np.unique(h, return_index=True, return_inverse=True)
-        code, n = np.unique(np.concatenate([at * wide + after, at * wide + n_classes + before]), return_counts=True)
+        at = at.astype(np.int32)
+        code = np.concatenate([at * wide + after, at * wide + n_classes + before])
+        code.sort()
+        cuts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        n, code = np.diff(np.r_[cuts, len(code)]), code[cuts]
+        again = -(-n // 255)
+        last = np.cumsum(again) - 1
+        code = np.repeat(code, again)
+        times = np.full(len(code), 255, np.uint8)
+        times[last] = n - 255 * (again - 1)
         ends = np.searchsorted(code, np.arange(len(names) + 1) * wide)
-        slots, n = (code % wide).astype("<u2"), n.astype("<u4")
+        # Each row: two bytes of the bucket, then pairs.
+        place = 2 * ends + 2 * np.arange(len(names) + 1)
+        data = np.empty(int(place[-1]), np.uint8)
+        mine = bucket[first]
+        data[place[:-1]], data[place[:-1] + 1] = mine & 255, mine >> 8
+        pair = 2 * np.arange(len(code)) + 2 * (np.repeat(np.arange(len(names)), np.diff(ends)) + 1)
+        data[pair], data[pair + 1] = code % wide, times
         for lo in range(0, len(names), 20_000):
-            cut = ends[lo : lo + 20_001]
-            own = [
-                pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(((cut - cut[0]) * x.itemsize).astype(np.int32)), pa.py_buffer(x[cut[0] : cut[-1]].tobytes())]) for x in (slots, n)
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(names[lo : lo + 20_000]), pa.array(bucket[first[lo : lo + 20_000]].astype(np.int32)), *own], ["h", "bucket", "slots", "times"])
+            cut = place[lo : lo + 20_001]
+            met = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut - cut[0]).astype(np.int32)), pa.py_buffer(data[cut[0] : cut[-1]].tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(names[lo : lo + 20_000]), met], ["h", "met"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tables.value
@@ -300,7 +338,7 @@ def neighbours(rows: DataFrame, tables, classes: np.ndarray, n_own: int, n_class
                 h = t["hash"][np.maximum(c, 0)]
                 h[c < 0] = every[place[c < 0]]
                 # The end token follows every document's words, so the next token is one of the same document.
-                parts.append((h, u[pooled] - n_own, k[pooled + 1], np.r_[0, k][pooled]))
+                parts.append((h, (u[pooled] - n_own).astype(np.int16), k[pooled + 1].astype(np.uint8), np.r_[0, k][pooled].astype(np.uint8)))
                 held += len(h)
                 if held >= FLUSH:
                     yield from counted(parts)
@@ -308,7 +346,7 @@ def neighbours(rows: DataFrame, tables, classes: np.ndarray, n_own: int, n_class
         if parts:
             yield from counted(parts)
 
-    return rows.filter("not held").select("codes", "rare").mapInArrow(work, "h long, bucket int, slots binary, times binary")
+    return rows.filter("not held").select("codes", "rare").mapInArrow(work, "h long, met binary")
 
 
 def likeliest(vectors: np.ndarray, matrix: np.ndarray) -> np.ndarray:
@@ -336,12 +374,17 @@ def assigned(found: DataFrame, matrix: np.ndarray, prior: np.ndarray) -> DataFra
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 h = part.column("h").to_numpy()
-                slots, sizes = _joined(part.column("slots"), "<u2")
-                times, _ = _joined(part.column("times"), "<u4")
+                data, sizes = _joined(part.column("met"), "u1")
+                at_ = np.cumsum(sizes) - sizes
+                row = np.repeat(np.arange(len(h)), sizes // 2)
+                pairs = data.reshape(-1, 2)
+                is_pair = np.ones(len(pairs), bool)
+                is_pair[at_ // 2] = False
                 new = np.r_[True, h[1:] != h[:-1]]
                 word = np.cumsum(new) - 1
-                dense = np.bincount(np.repeat(word, sizes) * wide + slots, times, (word[-1] + 1) * wide).reshape(-1, wide)
-                names, bucket = h[new], part.column("bucket").to_numpy()[new]
+                dense = np.bincount(word[row[is_pair]] * wide + pairs[is_pair, 0], pairs[is_pair, 1], (word[-1] + 1) * wide).reshape(-1, wide)
+                own = pairs[at_ // 2].astype(np.int64)
+                names, bucket = h[new], (own[:, 0] + 256 * own[:, 1])[new]
                 if held is not None:
                     if held[0][0] == names[0]:
                         dense[0] += held[2][0]
@@ -356,32 +399,57 @@ def assigned(found: DataFrame, matrix: np.ndarray, prior: np.ndarray) -> DataFra
     return found.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(work, "h long, k int")
 
 
+def started(rows: DataFrame, tables) -> DataFrame:
+    """Rows of ``STARTED``: the classes of the tokens that are in the table as bytes (``OTHER`` for all others), what these tokens add to the scores, and
+    the codes of the others, -1 - code each."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tables.value
+        logs = np.log10(t["c"] + 1.0)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                codes, sizes = _joined(part.column("codes"), "<i4")
+                starts, place, rare = np.cumsum(sizes) - sizes, np.maximum(codes, 0), codes < 0
+                seq, data = np.where(rare, OTHER, t["k"][place]).astype(np.uint8).tobytes(), (-1 - codes[rare]).astype("<i4").tobytes()
+                known = np.add.reduceat((t["c"][place] > 0) & ~rare, starts, dtype=np.int64)
+                sums = np.add.reduceat(np.where(rare, 0.0, logs[place]), starts)
+                n = np.add.reduceat(rare, starts, dtype=np.int64)
+                ends = np.cumsum(n) * 4
+                others = [data[hi - 4 * m : hi] for hi, m in zip(ends.tolist(), n.tolist(), strict=True)]
+                lines = [seq[lo : lo + m] for lo, m in zip(starts.tolist(), sizes.tolist(), strict=True)]
+                columns = [pa.array(known), pa.array(sums), pa.array(lines, pa.binary()), pa.array(others, pa.binary()), part.column("n_rare")]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "doc_id", "held")), *columns], ["row", "doc_id", "held", "n_known", "logs", "seq", "others", "n_rare"])
+
+    return rows.select("row", "doc_id", "held", "codes", F.size("rare").alias("n_rare")).mapInArrow(work, STARTED)
+
+
 def lined(rows: DataFrame, known: DataFrame, tables) -> DataFrame:
     """Rows of ``LINED``: the classes of each row's tokens as bytes, and what of the scores depends on counts alone.
     ``known`` has (h, c, k) of the training words that aren't in the table."""
     words = rows.select("row", F.posexplode("rare").alias("j", "h")).join(known, "h")
     found = words.groupBy("row").agg(F.collect_list(F.struct("j", "k", "c")).alias("found"))
-    whole = rows.select("row", "doc_id", "held", "codes", F.size("rare").alias("n_rare")).join(found, "row", "left")
-    whole = whole.select("doc_id", "held", "codes", "n_rare", *[F.col(f"found.{x}").alias(x) for x in "jkc"])
+    whole = started(rows, tables).join(found, "row", "left")
+    whole = whole.select("doc_id", "held", "n_known", "logs", "seq", "others", "n_rare", *[F.col(f"found.{x}").alias(x) for x in "jkc"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tables.value
+        k_bucket = tables.value["k_bucket"]
+        names = ("n_known", "logs", "seq", "others", "n_rare", "j", "k", "c")
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 out = []
-                for codes, n, j, k, c in zip(*(part.column(x).to_pylist() for x in ("codes", "n_rare", "j", "k", "c")), strict=True):
-                    codes = np.frombuffer(codes, "<i4")
-                    k_of, c_of = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-                    if j:
-                        k_of[j], c_of[j] = k, c
-                    rare = np.flatnonzero(codes < 0)
-                    place = np.maximum(codes, 0)
-                    seq, times = t["k"][place], t["c"][place]
-                    number, bucket = np.divmod(-1 - codes[rare], BUCKETS)
-                    own = k_of[number]
-                    seq[rare], times[rare] = np.where(own >= 0, own, t["k_bucket"][bucket]), c_of[number]
-                    out.append((len(codes), int((times > 0).sum()), float(np.log10(times + 1.0).sum()), seq.astype(np.uint8).tobytes()))
+                for n_known, logs, line, others, n, j, k, c in zip(*(part.column(x).to_pylist() for x in names), strict=True):
+                    if n:
+                        k_of, c_of = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+                        if j:
+                            k_of[j], c_of[j] = k, c
+                        number, bucket = np.divmod(np.frombuffer(others, "<i4"), BUCKETS)
+                        own, times = k_of[number], c_of[number]
+                        seq = np.frombuffer(line, np.uint8).copy()
+                        seq[seq == OTHER] = np.where(own >= 0, own, k_bucket[bucket])
+                        line, n_known, logs = seq.tobytes(), n_known + int((times > 0).sum()), logs + float(np.log10(times + 1.0).sum())
+                    out.append((len(line), n_known, logs, line))
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.binary()]
                 arrays = [pa.array(list(x), kind) for x, kind in zip(zip(*out, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held"), *arrays], ["doc_id", "held", "n_tokens", "n_known", "logs", "seq"])
@@ -407,7 +475,7 @@ def final_matrix(lines: DataFrame, n_classes: int) -> np.ndarray:
 
 
 def scores(docs: DataFrame, n_classes: int = CLASSES, rounds: int = ROUNDS, unit_share: float = UNIT_SHARE, table_share: float = TABLE_SHARE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity. There can be 256 classes."""
+    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity. There can be 128 classes."""
     sc = docs.sparkSession.sparkContext
     counts = saved(word_counts(docs), NAME)
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()

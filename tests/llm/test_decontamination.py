@@ -1,16 +1,18 @@
 import random
 
+import numpy as np
+
 from callweave.llm import decontamination as dc
 
 
 def best(window, text):
-    """Least edits of the window against any part of the text."""
-    row = [0] * (len(text) + 1)
+    """Least edits of the window against any part of the text, by the full table."""
+    points, steps = np.array([ord(c) for c in text], np.int64), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
     for i, x in enumerate(window, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(text, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return min(row)
+        new = np.r_[i, np.minimum(row[:-1] + (points != ord(x)), row[1:] + 1)]
+        row = np.minimum.accumulate(new - steps) + steps
+    return int(row.min())
 
 
 def prose(rng, n):
@@ -146,7 +148,7 @@ def test_repetitive_texts_in_slices(monkeypatch):
     index, points = dc.index_of(items), [dc.folded(x) for x in texts]
     whole = dc.search(index, points)
     monkeypatch.setattr(dc, "HITS", 500)
-    assert dc.search(index, points) == whole
+    assert sorted(dc.search(index, points)) == sorted(whole)
     assert {(d, r) for d, r, *_ in whole} == {(0, 0), (1, 0), (1, 1), (2, 1), (2, 2)}
     spans = {(d, r): (lo, hi, e) for d, r, _, lo, hi, e in whole}
     assert spans[0, 0] == (0, 900, 0) and spans[1, 0][1] == 730
