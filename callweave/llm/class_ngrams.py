@@ -195,13 +195,15 @@ def best_class(own: int, matrix: np.ndarray, after: np.ndarray, before: np.ndarr
     return own if gain[best] <= gain[own] + 1e-9 else best
 
 
+def class_of(classes: np.ndarray, unit: str) -> Column:
+    """The class of the unit in a column, from a constant array (there are at most 1 / UNIT_SHARE + BUCKETS units)."""
+    return F.get(F.split(F.lit(",".join(map(str, classes.tolist()))), ",").cast("array<int>"), F.col(unit).cast("int"))
+
+
 def class_matrix(bigrams: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
     """Class bigrams: at most n_classes squared rows reach the driver."""
-    spark = bigrams.sparkSession
-    of = spark.createDataFrame([(i, int(c)) for i, c in enumerate(classes)], "u long, k int")
-    a, b = of.select(F.col("u").alias("a"), F.col("k").alias("ka")), of.select(F.col("u").alias("b"), F.col("k").alias("kb"))
     out = np.zeros((n_classes, n_classes))
-    for r in bigrams.join(a, "a").join(b, "b").groupBy("ka", "kb").agg(F.sum("n").alias("n")).collect():
+    for r in bigrams.groupBy(class_of(classes, "a").alias("ka"), class_of(classes, "b").alias("kb")).agg(F.sum("n").alias("n")).collect():
         out[r.ka, r.kb] = r.n
     return out
 
@@ -212,13 +214,12 @@ def moved(bigrams: DataFrame, classes: np.ndarray, matrix: np.ndarray, part: int
     They are dealt to ``GROUPS`` tasks, each of which moves its units one after another and keeps its own class bigrams up
     to date; without that, units that belong together would change places for ever.
     """
-    spark, c = bigrams.sparkSession, len(matrix)
-    of = spark.createDataFrame([(i, int(k)) for i, k in enumerate(classes)], "other long, k int")
+    c = len(matrix)
     own = F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)
     sides = bigrams.select(F.col("a").alias("u"), F.col("b").alias("other"), F.lit(0).alias("side"), "n", own.alias("own"))
     sides = sides.union(bigrams.select(F.col("b").alias("u"), F.col("a").alias("other"), F.lit(1).alias("side"), "n", F.lit(0).alias("own")))
     sides = sides.filter((F.col("u") % 3 == part) & (F.col("u") > 0))
-    vectors = sides.join(of, "other").groupBy("u", "side", "k").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+    vectors = sides.groupBy("u", "side", class_of(classes, "other").alias("k")).agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
 
     def work(t: pa.Table) -> pa.Table:
         u, side, k, n, own = (t.column(x).to_numpy() for x in ("u", "side", "k", "n", "own"))
@@ -278,11 +279,10 @@ def transitions(matrix: np.ndarray) -> np.ndarray:
 
 def bucket_vectors(bigrams: DataFrame, classes: np.ndarray, n_own: int, n_classes: int) -> np.ndarray:
     """Shares of the classes that follow and that precede each bucket's words: at most BUCKETS x 2 n_classes rows reach the driver."""
-    of = bigrams.sparkSession.createDataFrame([(i, int(k)) for i, k in enumerate(classes)], "o long, k int")
     sides = bigrams.select(F.col("a").alias("u"), F.col("b").alias("o"), F.lit(0).alias("side"), "n")
     sides = sides.union(bigrams.select(F.col("b").alias("u"), F.col("a").alias("o"), F.lit(1).alias("side"), "n")).filter(F.col("u") >= n_own)
     out = np.zeros((BUCKETS, 2, n_classes))
-    for r in sides.join(of, "o").groupBy("u", "side", "k").agg(F.sum("n").alias("n")).collect():
+    for r in sides.groupBy("u", "side", class_of(classes, "o").alias("k")).agg(F.sum("n").alias("n")).collect():
         out[r.u - n_own, r.side, r.k] = r.n
     return (out / np.maximum(out.sum(2, keepdims=True), 1)).reshape(BUCKETS, -1)
 
