@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from callweave.llm import chat, class_ngrams, decontamination, line_dedup, mixing, near_duplicates, pairwise_quality, quality_rules, warc, wavelet
+from callweave.llm import chat, class_ngrams, decontamination, line_dedup, mixing, near_duplicates, pairwise_quality, quality_rules, vector_codes, warc, wavelet
 
 QUERIES = {
     "op1_preference_format": chat.op1_preference_format,
@@ -16,7 +16,8 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_quality_outliers": quality_rules.op9_quality_outliers,
     "op10_pairwise_quality": pairwise_quality.op10_pairwise_quality,
+    "op11_member_resident_lloyd": vector_codes.op11_member_resident_lloyd,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE = {**chat.ORACLE, **mixing.ORACLE, **warc.ORACLE}
+ORACLE = {**chat.ORACLE, **mixing.ORACLE, **warc.ORACLE, **vector_codes.ORACLE}
