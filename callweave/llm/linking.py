@@ -4,7 +4,7 @@
    shuffle once per batch and not once per node, and a group's nodes have one edge each and not one for each key.
 2. ``star_edges`` links every node of a key to the key's least node.
 3. ``components`` joins edges to groups of nodes by contracting them to least neighbours.
-4. ``compared`` finds the links inside groups: by the distances from a pivot where these settle them, else by comparisons
+4. ``compared`` finds the links inside groups: by the distances from pivots where these settle them, else by comparisons
    in pairs of blocks of bounded size. Nodes have a class, and only equal and neighbouring classes can link.
 """
 
@@ -12,13 +12,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from callweave.llm.common import saved
 
 BLOCK = 128
+#: Pivots of a large component, and the most steps that a distance is told in.
+PIVOTS, MOST_STEPS = 16, 4095
 KEY_ROWS = "key long, node long"
 GROUP = ["comp", "ka", "ba", "ia", "kb", "bb", "ib"]
 
@@ -100,45 +103,73 @@ def compared(nodes: DataFrame, links, steps, bound: int, name: str, block: int =
     """``nodes`` (node, comp, klass, copies and payload) -> (node, links, root): links to other nodes of its component, copies
     counted, and a node that it is joined to; a node has a row for each task that met links of it.
 
-    A component of at most two blocks is one task. In a larger one all nodes are held against its pivot, the node with most
-    copies: ``steps`` gives their distances in whole steps, rounded down, where distances of less than ``bound`` steps are
-    links. By the triangle inequality nodes so near to the pivot that their distances add up to less are linked, and nodes whose
-    distances are too far apart are not, without a comparison; so a large group of near copies of one text costs one pass.
+    A component of at most two blocks is one task. In a larger one all nodes are held against pivots, one for every eight blocks and
+    ``PIVOTS`` at most, first the node with most copies, the others by a hash. ``steps`` gives distances in whole steps, rounded
+    down, where distances of less than ``bound`` steps are links. A node belongs to its nearest pivot if that is so near, else to
+    the first. By the triangle inequality nodes whose distances by way of their pivots add up to less are linked, and
+    nodes whose distances are too far apart are not, without a comparison; so large groups of near copies of a text cost one pass.
     What neither rule settles is dealt by hash to blocks of about ``block`` nodes, and pairs of blocks of equal and
     neighbouring classes are compared.
     """
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = saved(nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("copies", "node")).alias("p")), name)
-    big = sizes.filter(F.col("n") > 2 * block).select("comp", F.ceil(F.col("n") / block).cast("int").alias("nb"), F.col("p.node").alias("pivot"))
+    sizes = saved(nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("n")), name)
+    many = F.least(F.greatest(F.floor(F.col("n") / (8 * block)), F.lit(1)), F.lit(PIVOTS)).cast("int")
+    big = sizes.filter(F.col("n") > 2 * block).select("comp", F.ceil(F.col("n") / block).cast("int").alias("nb"), many.alias("np"))
     one = [F.lit(0).alias(c) for c in GROUP[1:]]
     small = nodes.join(big.select("comp"), "comp", "left_anti").select("comp", *one, *[c for c in nodes.columns if c != "comp"], F.lit(0).alias("bin"), F.lit(0).alias("block"))
     if big.isEmpty():
         return saved(_in_groups(small, parts, links), name)
 
     columns = nodes.columns
+    inside = nodes.join(big, "comp")
+    rank = F.row_number().over(Window.partitionBy("comp").orderBy(F.desc("copies"), F.xxhash64("node"), "node"))
+    pivots = saved(inside.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).filter(F.col("rank") <= F.col("np")).withColumn("q", F.col("rank") - 1).drop("rank"), name)
+
+    def distances(found: pa.Table, own: pa.Table) -> np.ndarray:
+        """In steps, from each pivot among the rows found (in order of q) to each row of ``own``."""
+        at = pc.sort_indices(found, [("q", "ascending")])
+        pivots = found.take(at)
+        return np.stack([np.minimum(steps(pivots.slice(k, 1), own), MOST_STEPS) for k in range(pivots.num_rows)])
+
+    def between(found: pa.Table) -> pa.Table:
+        far, q = distances(found, found), np.sort(found.column("q").to_numpy())
+        n = len(q)
+        return pa.table({"comp": pa.array(np.repeat(found.column("comp").to_numpy()[:1], n * n)), "q": pa.array(np.repeat(q, n), pa.int32()), "r": pa.array(np.tile(found.column("q").to_numpy(), n), pa.int32()), "apart": pa.array(far.ravel(), pa.int32())})
 
     def placed(found: pa.Table) -> pa.Table:
         mark = found.column("mark").to_numpy(zero_copy_only=False)
         own = found.filter(pa.array(~mark)).select(columns)
-        return own.append_column("bin", pa.array(steps(found.filter(pa.array(mark)).slice(0, 1), own), pa.int32()))
-
-    inside = nodes.join(big, "comp").withColumn("i", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    pivots = inside.filter("node = pivot").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("mark", F.lit(True))
-    both = inside.withColumn("mark", F.lit(False)).unionByName(pivots).repartition(parts, "comp", "i")
+        far = distances(found.filter(pa.array(mark)), own)
+        q = far.argmin(0)
+        q[far.min(0, initial=MOST_STEPS) >= bound] = 0
+        return own.append_column("bin", pa.array(q * (MOST_STEPS + 1) + far[q, np.arange(far.shape[1])], pa.int32()))
+
+    apart = saved(pivots.groupBy("comp").applyInArrow(between, "comp long, q int, r int, apart int"), name)
+    dealt_in = inside.withColumn("i", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).withColumns({"q": F.lit(None).cast("int"), "mark": F.lit(False)})
+    held = pivots.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("mark", F.lit(True))
+    both = dealt_in.unionByName(held).repartition(parts, "comp", "i")
     binned = saved(both.groupBy("comp", "i").applyInArrow(placed, StructType([*nodes.schema.fields, StructField("bin", IntegerType())])), name)
 
-    # A distance of bin b is at least b steps and less than b + 1.
+    # A distance of bin b is at least b steps and less than b + 1; by way of two pivots three distances add up.
     own = saved(binned.groupBy("comp", "klass", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("w")), name)
     nb = F.ceil(F.col("n") / block).cast("int")
     other = own.select("comp", F.col("klass").alias("k"), F.col("bin").alias("b"), F.col("w").alias("w2"), nb.alias("nb2"))
     met = own.withColumn("nb", nb).join(other, "comp")
-    sure = F.col("bin") + F.col("b") + 2 <= bound
+    met = met.withColumns({"q": _pivot("bin"), "r": _pivot("b"), "_x": _steps_of("bin"), "_y": _steps_of("b")}).join(apart, ["comp", "q", "r"])
+    same = F.col("q") == F.col("r")
+    most = F.col("_x") + F.col("_y") + 2 + F.when(same, 0).otherwise(F.col("apart") + 1)
+    least = F.when(same, F.abs(F.col("_x") - F.col("_y")) - 1).otherwise(F.col("apart") - F.col("_x") - F.col("_y") - 2)
+    sure = most <= bound
     known = met.filter(sure).groupBy("comp", "klass", "bin").agg(F.sum("w2").alias("links"))
-    beyond = F.when(F.col("bin") * 2 + 2 <= bound, F.col("copies")).otherwise(0)
-    near = binned.join(known, ["comp", "klass", "bin"]).join(big.select("comp", "pivot"), "comp")
+    beyond = F.when(_steps_of("bin") * 2 + 2 <= bound, F.col("copies")).otherwise(0)
+    # Whoever is linked for sure is so near to its pivot that it is linked to it too.
+    to = pivots.select("comp", "q", F.col("node").alias("pivot"))
+    near = binned.join(known, ["comp", "klass", "bin"]).withColumn("q", _pivot("bin")).join(to, ["comp", "q"])
     near = near.select("node", (F.col("links") - beyond).cast("long").alias("links"), F.col("pivot").alias("root"))
+    joined = apart.filter((F.col("q") < F.col("r")) & (F.col("apart") + 3 <= bound)).join(to, ["comp", "q"])
+    joined = joined.join(to.select("comp", F.col("q").alias("r"), F.col("pivot").alias("root")), ["comp", "r"]).select(F.col("pivot").alias("node"), F.lit(0).cast("long").alias("links"), "root")
 
-    open_ = met.filter(~sure & (F.abs(F.col("bin") - F.col("b")) - 1 < bound) & (F.abs(F.col("klass") - F.col("k")) <= 1))
+    open_ = met.filter(~sure & (least <= bound) & (F.abs(F.col("klass") - F.col("k")) <= 1))
     others = open_.groupBy("comp", "klass", "bin", "nb").agg(F.collect_list(F.struct("k", "b", "nb2")).alias("others"))
     rest = binned.join(others, ["comp", "klass", "bin"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     mine = F.struct(F.col("klass").alias("k"), F.col("bin").alias("b"), F.col("block").alias("i"))
@@ -146,7 +177,15 @@ def compared(nodes: DataFrame, links, steps, bound: int, name: str, block: int =
     rest = rest.withColumn("_o", F.explode(F.flatten(theirs))).withColumn("_x", F.least(mine, "_o")).withColumn("_y", F.greatest(mine, "_o"))
     pair = [F.col(f"{v}.{f}").alias(g) for (v, f), g in zip([(v, f) for v in ("_x", "_y") for f in "kbi"], GROUP[1:], strict=True)]
     dealt = small.unionByName(rest.select("comp", *pair, *[c for c in nodes.columns if c != "comp"], "bin", "block"))
-    return saved(_in_groups(dealt, parts, links).unionByName(near), name)
+    return saved(_in_groups(dealt, parts, links).unionByName(near).unionByName(joined), name)
+
+
+def _pivot(column: str) -> Column:
+    return F.floor(F.col(column) / (MOST_STEPS + 1)).cast("int")
+
+
+def _steps_of(column: str) -> Column:
+    return F.col(column) % (MOST_STEPS + 1)
 
 
 def _in_groups(dealt: DataFrame, parts: int, links) -> DataFrame:

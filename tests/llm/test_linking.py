@@ -76,3 +76,38 @@ def test_compared_counts_every_link_of_any_group(spark):
             assert count.get(n, 0) == want
 
 
+
+
+def test_several_pivots_of_a_component(spark):
+    """Clusters of numbers, some near each other, and single numbers between them: counts and what is joined."""
+    rng = random.Random(2)
+    centres = [rng.randrange(2000) for _ in range(7)]
+    x = [rng.choice(centres) + rng.randrange(6) for _ in range(500)] + [rng.randrange(2000) for _ in range(200)]
+    rows = [(10 * i + 3, 5, 1, rng.randrange(1, 3), v) for i, v in enumerate(x)] + [(100_000 + i, 6, 1, 1, 7 * i) for i in range(300)]  # a chain
+
+    def links(found, in_first):
+        node, weight, x = (found.column(c).to_numpy() for c in ("node", "copies", "x"))
+        i, j = np.nonzero(np.abs(x[:, None] - x[None, :]) < 10)
+        keep = i < j if in_first is None else in_first[i] & ~in_first[j]
+        return linking.local_links(node, weight, i[keep], j[keep])
+
+    def steps(pivot, found):
+        return np.abs(found.column("x").to_numpy() - pivot.column("x").to_numpy()[0]).astype(np.int32)
+
+    got = linking.compared(spark.createDataFrame(rows, "node long, comp long, klass int, copies long, x long"), links, steps, 10, "t", 8).collect()
+    count, root = {}, {n: n for n, *_ in rows}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for r in got:
+        count[r.node] = count.get(r.node, 0) + r.links
+        root[find(r.node)] = find(r.root)
+    for n, comp, _, _, v in rows:
+        near = [(m, c) for m, k, _, c, y in rows if m != n and k == comp and abs(v - y) < 10]
+        assert count.get(n, 0) == sum(c for _, c in near)
+        assert {find(m) for m, _ in near} <= {find(n)}
+    by_value = sorted((comp, v, n) for n, comp, _, _, v in rows)
+    assert all((find(a[2]) == find(b[2])) == (a[0] == b[0] and b[1] - a[1] < 10) for a, b in zip(by_value, by_value[1:]))

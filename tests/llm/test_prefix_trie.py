@@ -87,7 +87,7 @@ def test_ids_are_hashed_in_numeric_order_over_chunks(spark):
 
 
 def test_common_beginnings_are_divided(spark):
-    rows = [(c, t, "user", "same" if t < 5 else f"{c % 40} {t}") for c in range(1, 400) for t in range(10)]
+    rows = [(c, t, "user", "same" if t < 5 else f"{c % 40} {t}") for c in range(400) for t in range(10)]
     ended = pt.ended_at(pt.rebuilt_chains(spark.createDataFrame(rows, SCHEMA)))
     # Forty different conversations of ten turns, of which the first five are all the same.
     assert [pt.division(ended, most) for most in (10**6, 300, 100, 1)] == [0, 3, 6, 6]
