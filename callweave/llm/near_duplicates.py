@@ -6,7 +6,8 @@ hashes and linked to groups, and within a group all pairs of n-gram sets are com
 (see ``linking``), so that a link is a pair with Jaccard similarity at or over the threshold.
 
 Words are runs of characters other than ASCII white space, case as is. A null, empty or blank text has no n-grams: it
-links to nothing and is alone in its class. Repeated rows count as copies of each other. Null ids are ignored when a
+links to nothing and is alone in its class. Repeated rows count as copies of each other; rows
+of one id with different texts are texts of their own, however many. Null ids are ignored when a
 class takes its least id. Texts of any length are compared on their whole sets; a pair exactly at the threshold is a link.
 Other columns, whatever their names, aren't looked at. An empty table gives an empty result. Nodes carry 64-bit hashes of their sets; at a billion texts the chance that any two different
 sets share one is about 0.03.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -82,15 +83,9 @@ def _texts(batch: pa.RecordBatch, size: int = 512) -> Iterator[tuple[pa.RecordBa
         yield part, part.column("text").to_pylist()
 
 
-def _uid() -> Column:
-    """A key by which a row's text can be fetched: its id, or a hash of the text where the id is null."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-
-
-def signatures(docs: DataFrame, bands: int, rows: int, whole: bool = False) -> DataFrame:
-    """(row, doc_id, uid, node, n, keys) of every row: a number, the key of its text, hash and size of the n-gram set and its band
-    hashes; node and keys are null if it is empty. ``whole`` adds the rows themselves as the struct ``d``. Numbers are those of
-    the run that writes the table: save it before use."""
+def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(row, doc_id, d, node, n, keys) of every row: a number, the row itself as the struct ``d``, hash and size of the n-gram set and
+    its band hashes; node and keys are null if it is empty. Numbers are those of the run that writes the table: save it before use."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,13 +97,11 @@ def signatures(docs: DataFrame, bands: int, rows: int, whole: bool = False) -> D
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([band_hashes(s, bands, rows) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ]
-                kept = part if whole else part.drop_columns(["d"])
-                yield pa.RecordBatch.from_arrays([*kept.columns, *more], [*kept.schema.names, "node", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "node", "n", "keys"])
 
-    d = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if whole else ["text"])]).alias("d")
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _uid().alias("uid"), d)
-    fields = [f for f in numbered.schema.fields if whole or f.name != "d"]
-    return numbered.mapInArrow(work, StructType([*fields, *StructType.fromDDL("node long, n long, keys array<long>").fields]))
+    d = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), d)
+    return numbered.mapInArrow(work, StructType([*numbered.schema.fields, *StructType.fromDDL("node long, n long, keys array<long>").fields]))
 
 
 def band_rows(signed: DataFrame) -> DataFrame:
@@ -179,36 +172,36 @@ def _steps(threshold: float):
 
 
 def gram_sets(texts: DataFrame) -> DataFrame:
-    """``texts`` with the n-gram set ``grams`` for the text, of rows whose ``node`` is the set's own."""
+    """``texts`` with the n-gram set ``grams`` for the text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, values in _texts(batch):
-                sets = [ngram_set(t) for t in values]
-                own = pa.array([x == set_id(s) for x, s in zip(part.column("node").to_pylist(), sets, strict=True)], pa.bool_())
                 rest = part.drop_columns(["text"])
-                grams = pa.array([s.tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([*rest.columns, grams], [*rest.schema.names, "grams"]).filter(own)
+                grams = pa.array([ngram_set(t).tobytes() for t in values], pa.binary())
+                yield pa.RecordBatch.from_arrays([*rest.columns, grams], [*rest.schema.names, "grams"])
 
     fields = [f for f in texts.schema.fields if f.name != "text"]
     return texts.mapInArrow(work, StructType([*fields, StructField("grams", BinaryType())]))
 
 
-def _classes(signed: DataFrame, docs: DataFrame, threshold: float, block: int) -> DataFrame:
-    """One row per node: node, copies, n_links (copies included), of: (id is null, id, row) of the first row of its class."""
+def _classes(whole: DataFrame, threshold: float, block: int) -> DataFrame:
+    """One row per node: node, copies, n_links (copies included), of: (id is null, id, row) of the first row of its class. A node's
+    text is fetched from its first row by that row's number, which no other row has, however often ids and texts repeat."""
     name = "cw-near"
+    signed = whole.drop("d")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"), F.min("uid").alias("uid"), F.first("n").alias("n"))
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"), F.first("n").alias("n"))
     nodes = saved(nodes, name)
     groups = components(star_edges(band_rows(signed)), name)
 
     # Half-open classes of set sizes, each a quarter larger than the last: sets two classes apart can't reach the threshold.
     step = math.log(1 / threshold)
     klass = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int")
-    members = saved(groups.join(nodes, "node").select("node", "comp", klass.alias("klass"), "copies", "uid"), name)
+    members = saved(groups.join(nodes, "node").select("node", "comp", klass.alias("klass"), "copies", F.col("first.row").alias("row")), name)
     # Members grow with the table, so their texts are fetched by a shuffle at every size.
-    texts = docs.select(_uid().alias("uid"), "text").join(members.hint("merge"), "uid").select("node", "comp", "klass", "copies", "text")
-    found = compared(saved(gram_sets(texts).dropDuplicates(["node"]), name), _links(threshold), _steps(threshold), STEPS, name, block)
+    texts = whole.select("row", "d.text").join(members.hint("merge"), "row").select("node", "comp", "klass", "copies", "text")
+    found = compared(saved(gram_sets(texts), name), _links(threshold), _steps(threshold), STEPS, name, block)
 
     linked = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), name)
     of_class = linked.join(nodes.select("node", "first"), "node").groupBy("comp").agg(F.min("first").alias("of"))
@@ -219,10 +212,10 @@ def _classes(signed: DataFrame, docs: DataFrame, threshold: float, block: int) -
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: doc_id, node, class_id (least doc_id of its class) and n_links (rows that it links to, copies included)."""
-    signed = saved(signatures(docs, *choose_bands(threshold, recall)), "cw-near")
-    info = _classes(signed, docs, threshold, block)
-    rows = signed.select("doc_id", "node")
-    met = join_groups(rows.filter("node is not null"), info.withColumnRenamed("node", "of_node"), {"node": "of_node"}, "copies", signed.count())
+    whole = saved(signatures(docs.select("doc_id", "text"), *choose_bands(threshold, recall)), "cw-near", "zstd")
+    info = _classes(whole, threshold, block)
+    rows = whole.select("doc_id", "node")
+    met = join_groups(rows.filter("node is not null"), info.withColumnRenamed("node", "of_node"), {"node": "of_node"}, "copies", rows.count())
     out = met.select("doc_id", "node", F.coalesce(F.col("of.doc_id"), "doc_id").alias("class_id"), F.col("n_links").cast("long").alias("n_links"))
     return out.unionByName(rows.filter("node is null").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
@@ -231,9 +224,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     """The rows of ``docs`` with one row left of each class: that of the least doc_id, rows without an id last; of equal ids
     the first row by its number in the written table. Rows without n-grams (null, empty or blank texts) all stay. Columns
     of any name are carried along; the table must have doc_id and text."""
-    whole = saved(signatures(docs, *choose_bands(threshold, recall), whole=True), "cw-near", "zstd")
-    signed = whole.drop("d")
-    first = _classes(signed, whole.select("d.*"), threshold, block).select(F.col("of.row").alias("row")).distinct()
+    whole = saved(signatures(docs, *choose_bands(threshold, recall)), "cw-near", "zstd")
+    first = _classes(whole, threshold, block).select(F.col("of.row").alias("row")).distinct()
     chosen = whole.filter("node is not null").join(first, "row", "left_semi").select("d.*")
     return chosen.unionByName(whole.filter("node is null").select("d.*"))
 

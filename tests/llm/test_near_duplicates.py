@@ -71,6 +71,21 @@ def test_links_of_large_groups_by_pivot(spark, rows):
     assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == brute(rows)
 
 
+def test_many_texts_of_one_id(spark):
+    """Near copies under one id are as many texts as under ids of their own: texts are fetched by row."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    texts = []
+    for k in range(500):
+        w = list(base)
+        w[rng.randrange(120)] = f"x{k % 400}"
+        texts.append(" ".join(w))
+    own, one = [(k, t) for k, t in enumerate(texts)], [(7, t) for t in texts]
+    links = lambda rows: sorted((r.n_links for r in nd.near_duplicates(frame(spark, rows)).collect()))
+    assert links(one) == links(own) == sorted(n for *_, n in brute(own))
+    assert nd.keep_one(frame(spark, one)).count() == nd.keep_one(frame(spark, own)).count() == 1
+
+
 def test_keep_one(spark, rows):
     kept = nd.keep_one(frame(spark, rows))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "node"]
