@@ -10,9 +10,10 @@ character; e is a tenth of the window's length. Items of under ``SHORT`` charact
 are looked for whole and unchanged (but for case), with no letter or digit joined to theirs on either side.
 
 The benchmark is dealt by hash to blocks of about ``BLOCK_CHARS`` characters (or one longer item); each is indexed by a task
-and its index written to the shared folder. Documents are scanned once; a task holds their texts in parts of about
-``PART`` characters (or one longer text) against one block after another, and hits are counted in slices of about ``HITS``,
-so that repetitive texts and items take time but no more memory. Items longer than ``PIECE`` are indexed in overlapping pieces.
+and its index written to the shared folder. Documents are scanned once; a task gathers about ``HELD`` characters of texts, or with one
+block only ``PART``, and holds them against one block after another, so that a block is read once for so much text. Texts
+are looked up in parts of about ``PART`` characters (or one longer text) and hits are counted in slices of about
+``HITS``, so that repetitive texts and items take time but no more memory. Items longer than ``PIECE`` are indexed in overlapping pieces.
 
 Null, empty or blank texts and items match nothing; null ids are ids of their own; repeated rows count once; an item id that occurs on several rows
 stands for all of their texts. Of equally good places of a window in one band the one on the band's commonest diagonal or
@@ -38,8 +39,8 @@ Q, EDIT_RATE = 8, 0.1
 WINDOW, PASSAGE, SHORT = 96, 72, 40
 BAND, PIECE = 32, 2048
 BLOCK_CHARS = 4_000_000
-#: Characters of texts that are looked up at once, and hits that are counted at once.
-PART, HITS = 1 << 20, 1 << 20
+#: Characters of texts that are looked up at once, and that a task gathers for a reading of several blocks; hits that are counted at once.
+PART, HELD, HITS = 1 << 20, 1 << 24, 1 << 20
 KEYED = "doc_id long, doc_key long, item_id long, n_windows long, start long, stop long, edits long"
 
 
@@ -321,6 +322,7 @@ def _band(index: Index, k: int, sizes: list[tuple[int, int, int]], within: np.nd
 
 @lru_cache(maxsize=1)
 def _block(uri: str) -> Index:
+    """The last block read stays: the next task of a worker that has no other needs no reading."""
     return Index.from_bytes(read_file(uri))
 
 
@@ -350,11 +352,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
         names = ["doc_id", "doc_key", "item_id", "n_windows", "start", "stop", "edits"]
 
         def looked_up(rows: list[tuple], texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            size = np.cumsum([len(t) for t in texts])
+            cuts = [0, *(np.flatnonzero(np.diff(size // PART)) + 1).tolist(), len(texts)]
             for uri in uris if rows else []:
                 index = _block(uri)
-                got = [(*rows[d], None if index.no_id[r] else int(index.item[r]), *rest) for d, r, *rest in search(index, texts)]
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*got, strict=True)], names)
+                for lo, hi in zip(cuts, cuts[1:]):
+                    got = [(*rows[lo + d], None if index.no_id[r] else int(index.item[r]), *rest) for d, r, *rest in search(index, texts[lo:hi])]
+                    if got:
+                        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*got, strict=True)], names)
 
         rows, texts, size = [], [], 0
         for batch in batches:
@@ -364,7 +369,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
                     rows.append((d, k))
                     texts.append(folded(t or ""))
                     size += len(texts[-1])
-                    if size >= PART:
+                    if size >= (HELD if len(uris) > 1 else PART):
                         yield from looked_up(rows, texts)
                         rows, texts, size = [], [], 0
         yield from looked_up(rows, texts)
