@@ -1,7 +1,8 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant, with DataFrame functions only.
 
 Every document gets counts of its text, and from them a vector of four transformed statistics (log of the mean word
-length; square roots of the shares of symbols, of duplicate lines and of repeated words). For each language and source
+length; square roots of the shares of symbols, of duplicate lines and of repeated words). Of duplicate lines one is left out: a
+single repeated line is chance in a text of any length, and its share tells only how short the text is. For each language and source
 the covariance of least determinant over half of the documents is sought by concentration steps from two deterministic
 starts (robust scales, and equal scales round the medians), then widened to its consistent size and refitted on the
 documents near it. A ridge of ``FLOORS`` squared keeps it regular where most documents agree in a statistic; it is small
@@ -27,7 +28,7 @@ from callweave.llm.common import SPACES, join_groups, saved, table
 MIN_WORDS, MAX_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
 #: Least standard deviation of each statistic. Where no other document has any, a document is over CUTOFF by duplicate
-#: lines alone at a share of 0.22 and by repeated words alone at 0.17; at larger ones where they are usual.
+#: lines (beyond the first) alone at a share of 0.22 and by repeated words alone at 0.17; at larger ones where they are usual.
 FLOORS = (0.06, 0.04, 0.08, 0.07)
 P = len(FLOORS)
 MIN_GROUP, STEPS = 20, 4
@@ -88,8 +89,9 @@ def base_failed(s: Column) -> Column:
 
 
 def vector(s: Column) -> list[Column]:
-    share = lambda part, whole: F.sqrt(s[part] / (s[whole] + 1.0))
-    return [F.log((s["word_chars"] + 1.0) / (s["n_words"] + 1.0)), share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")]
+    share = lambda part, whole: F.sqrt(part / (s[whole] + 1.0))
+    more = F.greatest(s["n_dup_lines"] - 1, F.lit(0))
+    return [F.log((s["word_chars"] + 1.0) / (s["n_words"] + 1.0)), share(s["n_symbols"], "word_chars"), share(more, "n_lines"), share(s["n_repeat_words"], "n_words")]
 
 
 def _quantile_bin(binned: DataFrame, keys: list[str], share: float) -> DataFrame:

@@ -37,6 +37,7 @@ def corpus():
             text = "\n".join([text[:90]] * 3 + [text])
         rows.append((k, text, lang, source))
     rows += [(1000 + k, rows[k][1], "xx", "tiny") for k in range(5)]
+    rows += [(3000, " ".join(str(rng.randrange(10**6)) for _ in range(40_000)), "en", "b")]
     return rows + [(2000, None, "en", "a"), (2001, "", "en", "a"), (2002, " \n\t\r\x0b", None, "a"), (3, *rows[3][1:]), (None, rows[4][1], "en", "a"), (2003, "a b c " * 20_000, "en", "b"), (2004, "é# 漢字 ünï𝒳", "de", "a")]
 
 
@@ -90,7 +91,7 @@ def test_against_numpy(spark):
             members.setdefault((lang, source) if groups[lang, source] >= qr.MIN_GROUP else (lang,), []).append(k)
     want = Counter()
     for at in members.values():
-        x = np.array([[math.log((c + 1) / (n + 1)), math.sqrt(s / (c + 1)), math.sqrt(d / (nl + 1)), math.sqrt(r / (n + 1))] for n, c, s, nl, d, r in (values[k] for k in at)])
+        x = np.array([[math.log((c + 1) / (n + 1)), math.sqrt(s / (c + 1)), math.sqrt(max(d - 1, 0) / (nl + 1)), math.sqrt(r / (n + 1))] for n, c, s, nl, d, r in (values[k] for k in at)])
         far = plain_mcd(x) if len(at) >= qr.MIN_GROUP else np.zeros(len(at))
         for k, d2 in zip(at, far, strict=True):
             want[rows[k][0], bool(d2 <= qr.CUTOFF)] += 1
@@ -104,6 +105,16 @@ def test_against_numpy(spark):
     assert Counter(r.doc_id for r in left.collect()) == Counter(d for (d, kept), n in want.items() for _ in range(n) if kept)
 
 
+def test_one_repeated_line_is_kept(spark):
+    rng = random.Random(4)
+    text = lambda n: "\n".join(" ".join(rng.choice(("so", "then", "words", "follow")) + str(rng.randrange(999)) for _ in range(12)) for _ in range(n))
+    rows = [(k, text(rng.randrange(5, 12)), "en", "a") for k in range(200)]
+    one, many = text(6), text(8)
+    rows += [(900, one.replace("\n", "\nRead more\n", 2), "en", "a"), (901, many + ("\n" + many.split("\n")[0]) * 5, "en", "a")]
+    kept = {r.doc_id for r in qr.filter_outliers(frame(spark, rows)).collect()}
+    assert 900 in kept and 901 not in kept and len(kept) >= 199
+
+
 def test_each_statistic_alone_rejects(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8)))
