@@ -342,6 +342,19 @@ def written_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list
     return sorted(r.uri for r in dealt.groupBy("block").applyInArrow(work, "uri string").collect())
 
 
+def look_up(uris: list[str], rows: list[tuple], texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Matches of the texts of ``rows`` (doc_id, doc_key), each block read once for all of them and held against one part after another."""
+    names = [f.split()[0] for f in KEYED.split(", ")]
+    size = np.cumsum([len(t) for t in texts])
+    cuts = [0, *(np.flatnonzero(np.diff(size // PART)) + 1).tolist(), len(texts)]
+    for uri in uris if rows else []:
+        index = _block(uri)
+        for lo, hi in zip(cuts, cuts[1:]):
+            got = [(*rows[lo + d], None if index.no_id[r] else int(index.item[r]), *rest) for d, r, *rest in search(index, texts[lo:hi])]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*got, strict=True)], names)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, doc_key, item_id, n_windows, start, stop, edits): one row per document and benchmark item with a match;
     doc_key is the hash of the text, n_windows counts the item's windows, of both sizes and at every place, that match,
@@ -349,18 +362,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
     uris = written_blocks(benchmark, block_chars)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "doc_key", "item_id", "n_windows", "start", "stop", "edits"]
-
-        def looked_up(rows: list[tuple], texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            size = np.cumsum([len(t) for t in texts])
-            cuts = [0, *(np.flatnonzero(np.diff(size // PART)) + 1).tolist(), len(texts)]
-            for uri in uris if rows else []:
-                index = _block(uri)
-                for lo, hi in zip(cuts, cuts[1:]):
-                    got = [(*rows[lo + d], None if index.no_id[r] else int(index.item[r]), *rest) for d, r, *rest in search(index, texts[lo:hi])]
-                    if got:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*got, strict=True)], names)
-
         rows, texts, size = [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -370,9 +371,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
                     texts.append(folded(t or ""))
                     size += len(texts[-1])
                     if size >= (HELD if len(uris) > 1 else PART):
-                        yield from looked_up(rows, texts)
+                        yield from look_up(uris, rows, texts)
                         rows, texts, size = [], [], 0
-        yield from looked_up(rows, texts)
+        yield from look_up(uris, rows, texts)
 
     found = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("doc_key"), "text").mapInArrow(work, KEYED)
     return found.groupBy("doc_id", "doc_key", "item_id").agg(
