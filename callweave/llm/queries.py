@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from callweave.llm import chat, class_ngrams, decontamination, line_dedup, mixing, near_duplicates, pairwise_quality, prefix_trie, quality_rules, vector_codes, vector_links, warc, wavelet
+from callweave.llm import chat, class_ngrams, decontamination, line_dedup, mixing, near_duplicates, pairwise_quality, pipeline, prefix_trie, quality_rules, vector_codes, vector_links, warc, wavelet
 
 QUERIES = {
     "op1_preference_format": chat.op1_preference_format,
@@ -19,7 +18,7 @@ QUERIES = {
     "op11_member_resident_lloyd": vector_codes.op11_member_resident_lloyd,
     "op12_cross_polytope_links": vector_links.op12_cross_polytope_links,
     "op13_truncation_peeling": prefix_trie.op13_truncation_peeling,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 ORACLE = {**chat.ORACLE, **mixing.ORACLE, **warc.ORACLE, **vector_codes.ORACLE, **vector_links.ORACLE, **prefix_trie.ORACLE}

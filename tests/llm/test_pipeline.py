@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 from tokenizers import Tokenizer
 
-import corpus_pipeline
+from callweave.llm import pipeline as corpus_pipeline
 from callweave.llm import decontamination, mixing, near_duplicates, quality_rules, wavelet
 
 SF = "/root/testdata/sf0.001"
