@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.functions import scalars as sc
+from callweave.operators import addresses as oa
 from callweave.operators import calls as oc
 from callweave.operators import deployers as od
 from callweave.operators import graph as og
@@ -17,6 +18,8 @@ from callweave.operators import results as rs
 from callweave.operators import traces as ot
 from callweave.plans.network import network_documents
 from callweave.plans.testview import frame, oracle
+from callweave.sources import events as se
+from callweave.sources import labels as sl
 from callweave.sources import sinks
 from callweave.sources import traces as st
 from callweave.storage import scratch_folder
@@ -132,6 +135,13 @@ def _(t):
     return sinks.edges_to_node_link(t.edges())
 
 
+@query("node_link_pieces", f"""{_G}{_JSON}, nodes AS (SELECT node, min(node) OVER () AS first FROM (SELECT source AS node FROM pairs UNION SELECT target FROM pairs)), edges AS (SELECT *, row_number() OVER (ORDER BY source, target) AS r FROM doc)
+  SELECT CAST(1 AS INTEGER) AS section, node AS a, NULL::VARCHAR AS b, CASE WHEN node = first THEN '' ELSE ',' END || '{{"id":"' || node || '"}}' AS piece FROM nodes UNION ALL SELECT 3, source, target, CASE WHEN r = 1 THEN '' ELSE ',' END || e FROM edges
+  UNION ALL SELECT 0, NULL, NULL, '{{"directed":true,"multigraph":false,"graph":{{}},"nodes":[' UNION ALL SELECT 2, NULL, NULL, '],"edges":[' UNION ALL SELECT 4, NULL, NULL, ']}}'""")
+def _(t):
+    return sinks.node_link_pieces(t.edges())
+
+
 @query("edges_to_json_lines", f"""{_G}{_JSON} SELECT 'edge' AS kind, e AS line FROM doc UNION ALL SELECT 'node', '{{"id":"' || node || '"}}' FROM (SELECT source AS node FROM pairs UNION SELECT target FROM pairs)""")
 def _(t):
     return sinks.edges_to_json_lines(t.edges())
@@ -145,7 +155,7 @@ def _(t):
 @query("write_results", f"SELECT CAST({YEAR} AS STRING) AS year, CAST(count(*) AS STRING) AS create_trace_count FROM traces WHERE {OK_CREATE} GROUP BY year(block_timestamp)")
 def _(t):
     path = scratch_folder(t.spark, "results")
-    sinks.write_results(ol.create_by_year(t.traces), path)
+    sinks.write_results(ol.create_by_year(t.events), path)
     return t.spark.read.csv(path, header=True)
 
 
@@ -438,12 +448,12 @@ def _(t):
 
 @query("create_by_year", f"SELECT {YEAR} AS year, {COUNT} AS create_trace_count FROM traces WHERE {OK_CREATE} GROUP BY 1")
 def _(t):
-    return ol.create_by_year(t.traces)
+    return ol.create_by_year(t.events)
 
 
 @query("destruct_by_year", f"SELECT {YEAR} AS year, {COUNT} AS destruct_trace_count FROM traces WHERE status = 1 AND trace_type = 'suicide' GROUP BY 1")
 def _(t):
-    return ol.destruct_by_year(t.traces)
+    return ol.destruct_by_year(t.events)
 
 
 _YEARLY = f"yearly AS (SELECT {YEAR} AS year, CAST(count(DISTINCT to_address) AS BIGINT) AS nodes_count, {COUNT} AS edges_count, CAST(count(call_type) AS BIGINT) AS distinct_call_types, " + ", ".join(f"CAST(count(*) FILTER (call_type = '{k}') AS BIGINT) AS call_count_{k}" for k in ("call", "delegatecall", "staticcall", "callcode")) + f" FROM traces WHERE {OK_CALL} AND to_address IS NOT NULL AND from_address IS NOT NULL GROUP BY 1)"
@@ -456,12 +466,21 @@ def _(t):
 
 @query("creations_last", f"SELECT to_address AS address, max(block_number) AS created_block, max(block_timestamp) AS created_time FROM traces WHERE {OK_CREATE} GROUP BY 1")
 def _(t):
-    return ol.creations_last(t.traces)
+    return ol.creations_last(t.events)
 
 
 @query("suicides_last", "SELECT from_address AS address, max(block_number) AS destroyed_block FROM traces WHERE status = 1 AND trace_type = 'suicide' GROUP BY 1")
 def _(t):
-    return ol.suicides_last(t.traces)
+    return ol.suicides_last(t.events)
+
+
+@query("event_table", _ALL + " WHERE status = 1 AND trace_type IN ('create', 'create2', 'suicide')")
+def _(t):
+    """Kept up beside stored traces: taken in by bucket, the last one read from the traces."""
+    traces, events = scratch_folder(t.spark, "traces"), scratch_folder(t.spark, "events")
+    st.write_traces(t.traces, traces)
+    se.refresh_events(t.spark, traces, events)
+    return se.read_events(t.spark, traces, events).drop("year", "bucket").na.fill({"trace_address": ""})
 
 
 _EVENT = f"((status = 1 AND trace_type = 'suicide') OR ({OK_CREATE}))"
@@ -473,7 +492,7 @@ _BY_YEAR = f"""years AS (SELECT DISTINCT {YEAR} AS year FROM traces WHERE {_EVEN
 
 @query("alive_by_year", f"WITH {_BY_YEAR} SELECT * FROM al")
 def _(t):
-    return ol.alive_by_year(t.traces)
+    return ol.alive_by_year(t.events)
 
 
 def _alive(by: str = "") -> str:
@@ -487,12 +506,12 @@ def _alive(by: str = "") -> str:
 
 @query("alive_2024", f"WITH {_alive()} SELECT * FROM alive")
 def _(t):
-    return ol.alive_at(t.traces, FORK)
+    return ol.alive_at(t.events, FORK)
 
 
 @query("lifecycle_by_year", f"WITH {_BY_YEAR}, a AS (SELECT {YEAR} AS year, CAST(count(*) FILTER ({OK_CREATE}) AS BIGINT) AS create_trace_count, CAST(count(*) FILTER (trace_type = 'suicide' AND status = 1) AS BIGINT) AS destruct_trace_count FROM traces WHERE {_EVENT} GROUP BY 1) SELECT a.*, al.n_alive_contracts FROM a JOIN al ON a.year = al.year")
 def _(t):
-    return ol.lifecycle_by_year(t.traces)
+    return ol.lifecycle_by_year(t.events)
 
 
 _C2C = f"c2c AS (SELECT {YEAR} AS year, transaction_hash, from_address, to_address FROM traces WHERE {OK_CALL} AND from_address IN (SELECT address FROM contracts) AND to_address IN (SELECT address FROM contracts))"
@@ -514,6 +533,26 @@ def _(t):
     return oc.contracts_per_tx(t.traces, t.contracts)
 
 
+_IDS = "ids AS (SELECT address, CAST(row_number() OVER (ORDER BY address) - 1 AS BIGINT) AS id FROM (SELECT from_address AS address FROM traces UNION SELECT to_address FROM traces) WHERE address IS NOT NULL)"
+
+
+@query("address_dictionary", f"WITH {_IDS} SELECT * FROM ids")
+def _(t):
+    return oa.address_dictionary(t.traces)
+
+
+@query("traces_with_ids", f"WITH {_IDS} SELECT transaction_hash, trace_address, trace_type, a.id AS from_id, b.id AS to_id FROM traces LEFT JOIN ids a ON from_address = a.address LEFT JOIN ids b ON to_address = b.address")
+def _(t):
+    return oa.with_ids(t.traces, oa.address_dictionary(t.traces)).select("transaction_hash", "trace_address", "trace_type", "from_id", "to_id")
+
+
+@query("contracts_per_tx_by_id", f"WITH {_HIST} SELECT * FROM hist", "contracts")
+def _(t):
+    dictionary = oa.address_dictionary(t.traces)
+    bits = oa.id_bits(oa.ids_of(t.contracts, dictionary))
+    return oa.contracts_per_tx_by_id(oa.with_ids(t.traces, dictionary), bits)
+
+
 @query("weighted_percentiles", f"""WITH {_HIST},
  w AS (SELECT *, sum(frequency) OVER (PARTITION BY year ORDER BY addresses_called) AS upto, sum(frequency) OVER (PARTITION BY year) AS whole FROM hist),
  l AS (SELECT *, lag(addresses_called) OVER (PARTITION BY year ORDER BY addresses_called) AS x0, lag(upto) OVER (PARTITION BY year ORDER BY addresses_called) AS u0 FROM w),
@@ -529,12 +568,12 @@ _TOPALIVE = f"WITH {_alive('from_address,')}, ranked AS (SELECT from_address, {C
 
 @query("top_deployers_alive", _TOPALIVE + " SELECT * FROM ranked WHERE from_address NOT IN (SELECT address FROM contracts)", "contracts")
 def _(t):
-    return od.top_deployers_alive(t.traces, t.contracts, FORK)
+    return od.top_deployers_alive(t.events, t.contracts, FORK)
 
 
 @query("top_deployers", f"WITH d AS (SELECT from_address AS address, {COUNT} AS deployments FROM traces WHERE {OK_CREATE} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50) SELECT d.*, label FROM d LEFT JOIN labels USING (address)", "labels")
 def _(t):
-    return od.top_deployers(t.traces, t.labels, 50)
+    return od.top_deployers(t.events, t.labels, 50)
 
 
 _CHAIN = f"""chain AS (SELECT from_address AS original_creator, to_address, 1 AS depth FROM traces WHERE {OK_CREATE}
@@ -543,7 +582,12 @@ _CHAIN = f"""chain AS (SELECT from_address AS original_creator, to_address, 1 AS
 
 @query("creation_lineage", f"WITH RECURSIVE {_CHAIN} SELECT original_creator, to_address, CAST(depth AS INTEGER) AS depth FROM chain")
 def _(t):
-    return od.creation_lineage(t.traces)
+    return od.creation_lineage(t.events)
+
+
+@query("creation_lineage_by_block", f"WITH RECURSIVE chain AS (SELECT from_address AS original_creator, to_address, 1 AS depth, block_number AS first FROM traces WHERE {OK_CREATE} UNION ALL SELECT t.from_address, c.to_address, c.depth + 1, t.block_number FROM traces t JOIN chain c ON t.to_address = c.original_creator AND t.block_number <= c.first WHERE t.status = 1 AND t.trace_type IN ('create','create2')) SELECT original_creator, to_address, CAST(depth AS INTEGER) AS depth FROM chain")
+def _(t):
+    return od.creation_lineage(t.events, by_block=True)
 
 
 _EOA = "eoa AS (SELECT * FROM chain WHERE original_creator NOT IN (SELECT address FROM contracts))"
@@ -551,12 +595,12 @@ _EOA = "eoa AS (SELECT * FROM chain WHERE original_creator NOT IN (SELECT addres
 
 @query("top_eoa_deployers", f"WITH RECURSIVE {_CHAIN}, {_EOA} SELECT original_creator, CAST(count(DISTINCT to_address) AS BIGINT) AS total_created_contracts, CAST(max(depth) AS INTEGER) AS max_depth FROM eoa GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100", "contracts")
 def _(t):
-    return od.top_eoa_deployers(od.creation_lineage(t.traces), t.contracts)
+    return od.top_eoa_deployers(od.creation_lineage(t.events), t.contracts)
 
 
 @query("eoa_direct_indirect", f"WITH RECURSIVE {_CHAIN}, {_EOA}, {_alive()}, per AS (SELECT original_creator, to_address, min(depth) AS a, max(depth) AS b FROM eoa WHERE to_address IN (SELECT address FROM alive) GROUP BY 1, 2) SELECT original_creator, CAST(count(*) FILTER (a = 1) AS BIGINT) AS direct_create, CAST(count(*) FILTER (a > 1) AS BIGINT) AS indirect_create, {COUNT} AS total, CAST(max(b) AS INTEGER) AS max_depth FROM per GROUP BY 1", "contracts")
 def _(t):
-    return od.eoa_direct_indirect(od.creation_lineage(t.traces), t.contracts, ol.alive_at(t.traces, FORK))
+    return od.eoa_direct_indirect(od.creation_lineage(t.events), t.contracts, ol.alive_at(t.events, FORK))
 
 
 _TOP10 = f"""tops AS (SELECT to_address, call_type, call_count FROM (SELECT *, row_number() OVER (PARTITION BY call_type ORDER BY call_count DESC, to_address) AS r FROM
@@ -610,7 +654,7 @@ def _(t):
   CAST(sum(deployed_alive_contracts) OVER (ORDER BY deployed_alive_contracts DESC, from_address ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running, CAST(sum(deployed_alive_contracts) OVER () AS BIGINT) AS whole FROM ranked)
  SELECT address, alive, rank, running, round(100.0::DOUBLE * running / whole, 6) AS running_share, starts_with(address, '0xe') AS is_eoa FROM r WHERE rank <= 100""")
 def _(t):
-    alive = ol.alive_at(t.traces, FORK, None, "from_address")
+    alive = ol.alive_at(t.events, FORK, None, "from_address")
     d = alive.groupBy(F.col("from_address").alias("address")).agg(F.count(F.lit(1)).alias("alive")).orderBy(F.desc("alive"), "address").limit(1000)
     eoas = t.traces.select(F.col("from_address").alias("address")).filter("address like '0xe%'")
     return rs.deployer_pareto(d, eoas)
@@ -657,7 +701,10 @@ def _(t):
     return rs.attach_labels(og.graph_nodes(t.edges()), t.labels, t.fetched)
 
 
-@query("upsert_labels", "SELECT coalesce(s.address, n.address) AS address, coalesce(n.label, s.label) AS label, CASE WHEN s.address IS NULL THEN TIMESTAMP '2001-01-01' ELSE TIMESTAMP '2000-01-01' END AS date_added, CASE WHEN n.address IS NULL THEN TIMESTAMP '2000-01-01' ELSE TIMESTAMP '2001-01-01' END AS last_updated FROM labels s FULL JOIN (SELECT address, 'new ' || label AS label FROM fetched UNION ALL SELECT address, 'new ' || label FROM labels WHERE address LIKE '%6') n ON s.address = n.address", "labels", "fetched")
+_UPSERT = "SELECT coalesce(s.address, n.address) AS address, coalesce(n.label, s.label) AS label, CASE WHEN s.address IS NULL THEN TIMESTAMP '2001-01-01' ELSE TIMESTAMP '2000-01-01' END AS date_added, CASE WHEN n.address IS NULL THEN TIMESTAMP '2000-01-01' ELSE TIMESTAMP '2001-01-01' END AS last_updated FROM labels s FULL JOIN (SELECT address, 'new ' || label AS label FROM fetched UNION ALL SELECT address, 'new ' || label FROM labels WHERE address LIKE '%6') n ON s.address = n.address"
+
+
+@query("upsert_labels", _UPSERT, "labels", "fetched")
 def _(t):
     old, new = F.to_timestamp(F.lit("2000-01-01")), F.to_timestamp(F.lit("2001-01-01"))
     stored = t.labels.withColumns({"date_added": old, "last_updated": old})
@@ -665,12 +712,23 @@ def _(t):
     return rs.upsert_labels(stored, fresh)
 
 
+@query("stored_labels", _UPSERT, "labels", "fetched")
+def _(t):
+    """Two commits to a store, and what is read from it."""
+    path = scratch_folder(t.spark, "labels")
+    day = lambda df, year: df.withColumn("now", F.to_timestamp(F.lit(f"{year}-01-01")))
+    fresh = t.fetched.union(t.labels.filter("address like '%6'")).select("address", F.concat(F.lit("new "), "label").alias("label"))
+    sl.commit_labels(t.spark, path, day(t.labels, 2000))
+    sl.commit_labels(t.spark, path, day(fresh, 2001))
+    return sl.read_labels(t.spark, path)
+
+
 @query("deployment_lookup", f"""WITH RECURSIVE {_CHAIN}, {_EOA},
  roots AS (SELECT to_address, original_creator AS deployer_eoa FROM (SELECT *, row_number() OVER (PARTITION BY to_address ORDER BY depth DESC, original_creator) AS r FROM eoa) WHERE r = 1),
  lastc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY to_address ORDER BY block_number DESC, transaction_hash DESC, from_address DESC) AS r FROM traces WHERE {OK_CREATE} AND to_address IN (SELECT address FROM listed)) WHERE r = 1)
  SELECT l.to_address AS address, l.from_address AS deployer, deployer_eoa, l.transaction_hash AS tx_hash, l.block_number FROM lastc l LEFT JOIN roots r ON l.to_address = r.to_address""", "contracts", "listed")
 def _(t):
-    return od.deployment_lookup(t.traces, od.lineage_roots(od.creation_lineage(t.traces), t.contracts), t.listed)
+    return od.deployment_lookup(t.events, od.lineage_roots(od.creation_lineage(t.events), t.contracts), t.listed)
 
 
 # ---- reconciliation ----
@@ -681,6 +739,13 @@ def _(t):
     return rc.trace_count(t.traces, FIRST, LAST)
 
 
+@query("trace_count_stored", f"SELECT {COUNT} AS traces FROM traces WHERE block_number >= {FIRST} AND block_number < {LAST}")
+def _(t):
+    path = scratch_folder(t.spark, "traces")
+    st.write_traces(t.traces, path)
+    return st.count_stored(t.spark, path, FIRST, LAST)
+
+
 @query("trace_count_by_chunk", f"SELECT CAST(floor((block_number - {FIRST}) / 10) AS BIGINT) AS chunk, {COUNT} AS traces FROM traces WHERE block_number >= {FIRST} AND block_number < {LAST} GROUP BY 1")
 def _(t):
     return rc.trace_count_by_chunk(t.traces, FIRST, LAST)
@@ -696,6 +761,16 @@ def _(t):
     return rc.pair_count_diff(t.traces, t.source_b)
 
 
+@query("differing_buckets", "WITH a AS (SELECT CAST(floor(block_number / 500) AS BIGINT) AS bucket, from_address, to_address, count(*) AS n FROM traces WHERE from_address IS NOT NULL AND to_address IS NOT NULL GROUP BY 1, 2, 3), b AS (SELECT CAST(floor(block_number / 500) AS BIGINT) AS bucket, from_address, to_address, count(*) AS n FROM source_b WHERE from_address IS NOT NULL AND to_address IS NOT NULL GROUP BY 1, 2, 3) SELECT DISTINCT bucket FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a))", "source_b")
+def _(t):
+    return rc.differing_buckets(t.traces, t.source_b, 500)
+
+
+@query("pair_count_diff_by_bucket", f"WITH {_DIFF} SELECT * FROM diff", "source_b")
+def _(t):
+    return rc.pair_count_diff_by_bucket(t.traces, t.source_b, 3)
+
+
 @query("pair_count_diff_summary", f"WITH {_DIFF} SELECT {COUNT} AS pairs, CAST(sum(count_1) AS BIGINT) AS sum_1, CAST(sum(count_2) AS BIGINT) AS sum_2 FROM diff", "source_b")
 def _(t):
     return rc.pair_count_diff_summary(t.traces, t.source_b)

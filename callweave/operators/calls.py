@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callweave.operators.traces import drop_precompile_and_self, filter_from_list, filter_traces
+from callweave.operators.traces import between_members, drop_precompile_and_self, filter_from_list, filter_traces
 
 
 def top_callees(traces: DataFrame, first: int | None = None, last: int | None = None, n: int = 10) -> DataFrame:
@@ -43,7 +43,7 @@ def top_calls_per_caller(traces: DataFrame, addresses: DataFrame, n: int = 5) ->
 def creators_of_callees(traces: DataFrame, addresses: DataFrame, creators: DataFrame, n: int = 5) -> DataFrame:
     """(from_address, to_address): listed creators and the contracts of theirs that are among the callers' top n."""
     callees = top_calls_per_caller(traces, addresses, n).select("to_address").distinct()
-    made = filter_from_list(filter_traces(traces, "creates"), creators).select(F.lower("from_address").alias("from_address"), F.lower("to_address").alias("to_address"))
+    made = filter_from_list(filter_traces(traces, "creates"), creators).select("from_address", "to_address")
     return made.join(callees, "to_address", "left_semi").select("from_address", "to_address").distinct()
 
 
@@ -52,9 +52,7 @@ def contract_to_contract_calls(traces: DataFrame, contracts: DataFrame, year: in
     calls = filter_traces(traces, "calls")
     if year is not None:
         calls = calls.filter(F.year("block_timestamp") == year)
-    calls = calls.select(F.year("block_timestamp").alias("year"), "transaction_hash", "from_address", "to_address")
-    a, b = contracts.select(F.col("address").alias("from_address")).distinct(), contracts.select(F.col("address").alias("to_address")).distinct()
-    return calls.join(a, "from_address", "left_semi").join(b, "to_address", "left_semi")
+    return between_members(calls.select(F.year("block_timestamp").alias("year"), "transaction_hash", "from_address", "to_address"), contracts)
 
 
 def contracts_per_tx(traces: DataFrame, contracts: DataFrame, year: int | None = None) -> DataFrame:

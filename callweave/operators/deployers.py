@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from callweave.operators.labels import unique_labels
 from callweave.operators.lifecycle import alive_at
 from callweave.operators.traces import filter_traces
 from callweave.storage import written
@@ -14,7 +15,7 @@ def top_deployers(traces: DataFrame, labels: DataFrame, n: int = 1000) -> DataFr
     """(address, deployments, label) of the n creators with most creations; ties by address."""
     top = filter_traces(traces, "creates").groupBy(F.col("from_address").alias("address")).agg(F.count(F.lit(1)).alias("deployments"))
     top = top.orderBy(F.desc("deployments"), "address").limit(n)
-    return top.join(labels.select("address", "label"), "address", "left")
+    return top.join(unique_labels(labels), "address", "left")
 
 
 def top_deployers_alive(traces: DataFrame, contracts: DataFrame, fork_block: int, last_block: int | None = None, n: int = 1000) -> DataFrame:
@@ -24,20 +25,29 @@ def top_deployers_alive(traces: DataFrame, contracts: DataFrame, fork_block: int
     return top.join(contracts.select(F.col("address").alias("from_address")), "from_address", "left_anti")
 
 
-def creation_lineage(traces: DataFrame, max_depth: int = 32) -> DataFrame:
-    """(original_creator, to_address, depth): every creation, and from it up to the creator's creators, one row for each
-    way up. The pairs of creator and contract are written once, each round's rows too; rounds end when none is left, and
-    at ``max_depth`` with an error, since a contract made anew can close a circle."""
-    creates = written(filter_traces(traces, "creates").select("from_address", "to_address"), "creates")
-    up = creates.select(F.col("from_address").alias("creator"), F.col("to_address").alias("original_creator"))
-    front = creates.select(F.col("from_address").alias("original_creator"), "to_address", F.lit(1).alias("depth"))
-    out = front
-    for _ in range(max_depth):
-        front = written(front.join(up, "original_creator").select(F.col("creator").alias("original_creator"), "to_address", (F.col("depth") + 1).alias("depth")), "lineage")
-        if front.isEmpty():
-            return out
-        out = out.union(front)
-    raise ValueError(f"chains of creators are longer than {max_depth}")
+def creation_lineage(traces: DataFrame, max_depth: int = 32, by_block: bool = False) -> DataFrame:
+    """(original_creator, to_address, depth): every creation, and from it up to the creator's creators, one row for each way up.
+
+    Ways are doubled: those of 2**k steps are put on top of all that have no more, which gives each way of up to 2**(k + 1)
+    steps once, so there are as many rounds as the logarithm of the greatest depth. Each round's rows are written. With
+    ``by_block`` a creator counts only if it was made no later than what it made, so that contracts that are made anew close no
+    circles. Ways longer than ``max_depth`` are an error.
+    """
+    made = filter_traces(traces, "creates").select(F.col("from_address").alias("original_creator"), "to_address", F.lit(1).alias("depth"), F.col("block_number").alias("first"), F.col("block_number").alias("last"))
+    every = top = written(made, "creates")
+    steps = 1
+    while True:
+        lower = every.select(F.col("original_creator").alias("_at"), F.col("to_address").alias("_to"), F.col("depth").alias("_depth"), F.col("first").alias("_first"), F.col("last").alias("_last"))
+        on = F.col("to_address") == F.col("_at")
+        longer = top.join(lower, on & (F.col("last") <= F.col("_first")) if by_block else on)
+        longer = longer.select("original_creator", F.col("_to").alias("to_address"), (F.col("depth") + F.col("_depth")).alias("depth"), "first", F.col("_last").alias("last"))
+        longer = written(longer.filter(F.col("depth") <= max_depth + 1), "lineage")
+        if not longer.filter(F.col("depth") > max_depth).isEmpty():
+            raise ValueError(f"chains of creators are longer than {max_depth}")
+        every, steps = every.union(longer), 2 * steps
+        top = longer.filter(F.col("depth") == steps)
+        if top.isEmpty():
+            return every.select("original_creator", "to_address", "depth")
 
 
 def top_eoa_deployers(lineage: DataFrame, contracts: DataFrame, n: int = 100) -> DataFrame:

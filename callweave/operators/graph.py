@@ -6,39 +6,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.functions.scalars import activity_level, short_address
-from callweave.operators.labels import unique_labels
+from callweave.operators.labels import unique_by_address, unique_labels
+from callweave.operators.traces import filter_from_list
 from callweave.storage import numbered
 
 
+def _listed(contracts: DataFrame) -> DataFrame:
+    return contracts.select(F.lower("contract").alias("contract")).distinct()
+
+
 def caller_transactions(traces: DataFrame, contracts: DataFrame) -> DataFrame:
-    """(contract, transaction_hash): transactions in which a listed contract makes a call."""
-    calls = traces.filter(F.col("trace_type") == "call").select(F.lower("from_address").alias("contract"), "transaction_hash")
-    listed = contracts.select(F.lower("contract").alias("contract")).distinct()
-    return calls.join(listed, "contract", "left_semi").distinct()
+    """(contract, transaction_hash): transactions in which a listed contract makes a call. A list of few contracts is a condition
+    on the caller that reaches the files."""
+    calls = filter_from_list(traces.filter(F.col("trace_type") == "call"), contracts.select(F.col("contract").alias("address")))
+    return calls.select(F.col("from_address").alias("contract"), "transaction_hash").distinct()
+
+
+#: Comes after every place below a frame: the frame's end, where the frame is left.
+END = 2**31 - 1
 
 
 def extract_calls(traces: DataFrame, contracts: DataFrame, dedup: bool = False) -> DataFrame:
     """Every frame at or below a frame of which the contract is the caller, for each contract of a table.
 
     (contract, transaction_hash, trace_address, source, target, type, times): a frame counts once for each matching frame
-    at or above it, or once if ``dedup``. Frames without a callee are dropped. The frames of the chosen transactions are
-    joined on the prefixes of their place in the tree, so the join is on equal keys only.
+    at or above it, or once if ``dedup``. Frames without a callee are dropped.
+
+    The frames of a transaction are taken in the order of their places, parents first. A matching frame is entered at its
+    place and left after the last place below it, and how many are open at a frame is a running sum over its transaction, so a
+    frame is one row however deep it is, and a matching one two. Frames at one place are entered together.
     """
-    listed = contracts.select(F.lower("contract").alias("contract")).distinct()
-    txs = caller_transactions(traces, listed)
+    txs = caller_transactions(traces, contracts)
     frames = traces.select(
-        "transaction_hash", F.coalesce("trace_address", F.lit("")).alias("trace_address"), F.lower("from_address").alias("source"), F.lower("to_address").alias("target"),
+        "transaction_hash", F.coalesce("trace_address", F.lit("")).alias("trace_address"), F.col("from_address").alias("source"), F.col("to_address").alias("target"),
         F.upper(F.coalesce("call_type", "trace_type")).alias("type"),
-    ).join(txs.select("transaction_hash").distinct(), "transaction_hash", "left_semi")
-    tops = frames.select(F.col("source").alias("contract"), "transaction_hash", F.col("trace_address").alias("prefix"))
-    tops = tops.join(listed, "contract", "left_semi").join(txs, ["contract", "transaction_hash"], "left_semi")
-    parts = F.split("trace_address", ",")
-    prefixes = F.when(F.col("trace_address") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ",")))
-    below = frames.filter(F.col("target").isNotNull()).withColumn("prefix", F.explode(prefixes))
-    met = below.join(tops, ["transaction_hash", "prefix"])
+    ).join(txs, "transaction_hash")
+    place = F.when(F.col("trace_address") == "", F.array().cast("array<int>")).otherwise(F.split("trace_address", ",").cast("array<int>"))
+    matches = F.coalesce(F.col("source") == F.col("contract"), F.lit(False))
+    frames = frames.withColumns({"place": place, "opens": matches.cast("int"), "frame": F.lit(True)})
+    ends = frames.filter(matches).withColumns({"place": F.concat("place", F.array(F.lit(END))), "opens": F.lit(-1), "frame": F.lit(False)})
+    inside = F.sum("opens").over(Window.partitionBy("contract", "transaction_hash").orderBy("place"))  # with all of an equal place
+    met = frames.unionByName(ends).withColumn("inside", inside).filter(F.col("frame") & (F.col("inside") > 0) & F.col("target").isNotNull())
     keys = ["contract", "transaction_hash", "trace_address", "source", "target", "type"]
     # Frames that are equal in all of these are one frame each per row of the table.
-    return met.groupBy(*keys).agg((F.lit(1) if dedup else F.count(F.lit(1))).cast("long").alias("times"))
+    return met.groupBy(*keys).agg((F.lit(1) if dedup else F.sum("inside")).cast("long").alias("times"))
 
 
 def call_edges(calls: DataFrame, *by: str) -> DataFrame:
@@ -168,18 +179,26 @@ def undirected_nodes(graph: DataFrame) -> DataFrame:
 
 def color_groups_flagged(nodes: DataFrame, documented: DataFrame, in_protocol: DataFrame) -> DataFrame:
     """1 if documented, else 2 if created in the protocol, else 0."""
-    a, b = documented.select(F.col("address").alias("node"), F.lit(True).alias("a")).distinct(), in_protocol.select(F.col("address").alias("node"), F.lit(True).alias("b")).distinct()
     group = F.when(F.col("a"), 1).when(F.col("b"), 2).otherwise(0)
-    return nodes.join(a, "node", "left").join(b, "node", "left").select("node", group.alias("color_group"))
+    return _joined(_joined(nodes, _flag(documented, "a"), "_a"), _flag(in_protocol, "b"), "_a").select("node", group.alias("color_group"))
 
 
 #: ``own`` and ``other`` are fixed values: the categories of the tag files.
 def color_groups_tagged(nodes: DataFrame, official: DataFrame, tags: DataFrame, own: str = "Lido", other: str = "External") -> DataFrame:
-    """1 if official; else 2 or 0 by the tag's category, own or other; else 3."""
-    a = official.select(F.col("address").alias("node"), F.lit(True).alias("a")).distinct()
-    b = tags.select(F.col("address").alias("node"), "category")
+    """1 if official; else 2 or 0 by the tag's category, own or other; else 3. Of several tags of an address the greatest category counts."""
+    a = _flag(official, "a")
+    b = unique_by_address(tags, "category").withColumnRenamed("address", "_b")
     group = F.when(F.col("a"), 1).when(F.col("category") == own, 2).when(F.col("category") == other, 0).otherwise(3)
-    return nodes.join(a, "node", "left").join(b, "node", "left").select("node", group.alias("color_group"))
+    return _joined(nodes, a, "_a").join(b, F.lower("node") == F.col("_b"), "left").select("node", group.alias("color_group"))
+
+
+def _flag(addresses: DataFrame, name: str) -> DataFrame:
+    """(_a, name): each address once, with true."""
+    return addresses.select(F.lower("address").alias("_a")).filter("_a is not null").distinct().withColumn(name, F.lit(True))
+
+
+def _joined(nodes: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
+    return nodes.join(dimension, F.lower("node") == F.col(key), "left").drop(key)
 
 
 def color_groups_named(names: DataFrame) -> DataFrame:
@@ -189,23 +208,23 @@ def color_groups_named(names: DataFrame) -> DataFrame:
 
 def node_statistics(grouped: DataFrame, verified: DataFrame) -> DataFrame:
     """(node, color_group), (address, verified) -> per group: nodes and unverified ones, with the total of nodes."""
-    v = verified.select(F.col("address").alias("node"), "verified")
-    per = grouped.join(v, "node", "left").groupBy("color_group").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(~F.coalesce("verified", F.lit(False))).alias("unverified"))
+    v = unique_by_address(verified, "verified").withColumnRenamed("address", "_v")
+    per = _joined(grouped, v, "_v").groupBy("color_group").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(~F.coalesce("verified", F.lit(False))).alias("unverified"))
     return per.withColumn("all_nodes", F.sum("nodes").over(Window.partitionBy()))
 
 
 def display_names(nodes: DataFrame, labels: DataFrame, verified: DataFrame) -> DataFrame:
     """(node, name): the label or else the short address, and a mark whether it is verified."""
-    label = unique_labels(labels).withColumnRenamed("address", "node")
-    named = nodes.join(label, "node", "left").join(verified.select(F.col("address").alias("node"), "verified"), "node", "left")
+    label, v = unique_labels(labels).withColumnRenamed("address", "_l"), unique_by_address(verified, "verified").withColumnRenamed("address", "_v")
+    named = _joined(_joined(nodes, label, "_l"), v, "_v")
     mark = F.when(F.coalesce("verified", F.lit(False)), " ✓").otherwise(" ✗")
     return named.select("node", F.concat(F.coalesce("label", short_address(F.col("node"))), mark).alias("name"))
 
 
 def tagged_names(nodes: DataFrame, tags: DataFrame, official: DataFrame) -> DataFrame:
     """(node, name): the name tag, else the official label, else the short address."""
-    a, b = tags.select(F.col("address").alias("node"), "name_tag"), official.select(F.col("address").alias("node"), "label")
-    return nodes.join(a, "node", "left").join(b, "node", "left").select("node", F.coalesce("name_tag", "label", short_address(F.col("node"))).alias("name"))
+    a, b = unique_by_address(tags, "name_tag").withColumnRenamed("address", "_t"), unique_labels(official).withColumnRenamed("address", "_l")
+    return _joined(_joined(nodes, a, "_t"), b, "_l").select("node", F.coalesce("name_tag", "label", short_address(F.col("node"))).alias("name"))
 
 
 def relabel_nodes(graph: DataFrame, names: DataFrame, order: str | None = None) -> DataFrame:

@@ -87,9 +87,12 @@ def attach_labels(nodes: DataFrame, stored: DataFrame, fetched: DataFrame) -> Da
 
 
 def upsert_labels(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """(address, label, date_added, last_updated) after taking in (address, label, now): a new snapshot.
-    Of several new rows of an address the latest counts, then the one with the greatest label."""
-    last = new.groupBy("address").agg(F.max(F.struct("now", "label")).alias("n"))
+    """(address, label, date_added, last_updated) after taking in (address, label, now): a new snapshot, addresses in lower case.
+    Of several new rows of an address the latest counts, then the one with the greatest label; of several stored rows
+    the last updated, with the first date that any was added."""
+    last = new.filter("address is not null").groupBy(F.lower("address").alias("address")).agg(F.max(F.struct("now", "label")).alias("n"))
     n = last.select("address", F.col("n.label").alias("new_label"), F.col("n.now").alias("now"))
-    out = stored.join(n, "address", "full")
+    known = stored.filter("address is not null").groupBy(F.lower("address").alias("address"))
+    old = known.agg(F.max(F.struct("last_updated", "label")).alias("o"), F.min("date_added").alias("date_added")).select("address", F.col("o.label").alias("label"), "date_added", F.col("o.last_updated").alias("last_updated"))
+    out = old.join(n, "address", "full")
     return out.select("address", F.coalesce("new_label", "label").alias("label"), F.coalesce("date_added", "now").alias("date_added"), F.coalesce("now", "last_updated").alias("last_updated"))

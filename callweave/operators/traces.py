@@ -1,4 +1,8 @@
-"""Filters on traces."""
+"""Filters on traces.
+
+Traces carry their addresses in lower case, as the readers give them (``sources.traces.lowered`` for tables from elsewhere);
+lists may be in any case. So conditions compare columns as they are stored and reach the files.
+"""
 
 from __future__ import annotations
 
@@ -37,19 +41,27 @@ def filter_traces(df: DataFrame, kind: str, status: int | None = 1, from_not_nul
     return df
 
 
+#: A list of at most so many addresses becomes a condition on the column; a longer one is joined.
+FEW = 1000
+
+
 def filter_from_list(df: DataFrame, addresses: DataFrame | Sequence[str], column: str = "from_address", after_block: int | None = None) -> DataFrame:
-    """Rows whose lower-cased ``column`` is in the list (a table with a column ``address``, or a few strings)."""
+    """Rows whose ``column`` is in the list, in any case: a table with a column ``address``, or strings. Of a table at most ``FEW`` + 1
+    rows are looked at to choose between a condition and a semi-join."""
     if after_block is not None:
         df = df.filter(F.col("block_number") > after_block)
     if isinstance(addresses, DataFrame):
         listed = addresses.select(F.lower("address").alias("_listed")).distinct()
-        return df.join(listed, F.lower(df[column]) == listed["_listed"], "left_semi")
-    return df.filter(F.lower(column).isin([a.lower() for a in addresses]))
+        some = listed.limit(FEW + 1).collect()
+        if len(some) > FEW:
+            return df.join(listed, df[column] == listed["_listed"], "left_semi")
+        addresses = [r[0] for r in some if r[0] is not None]
+    return df.filter(F.col(column).isin(sorted({a.lower() for a in addresses})))
 
 
 def drop_precompile_and_self(df: DataFrame, precompile: str = ECRECOVER) -> DataFrame:
     """Without calls to the precompile or to oneself; rows without a callee go too."""
-    return df.filter((F.lower("to_address") != precompile) & (F.lower("to_address") != F.lower("from_address")))
+    return df.filter((F.col("to_address") != precompile) & (F.col("to_address") != F.col("from_address")))
 
 
 def created_contracts(df: DataFrame) -> DataFrame:
@@ -66,8 +78,14 @@ def with_code(code: DataFrame, excluded: str | None = None) -> DataFrame:
 
 
 def filter_contract_endpoints(calls: DataFrame, code: DataFrame, excluded: str | None = None, source: str = "from_address", target: str = "to_address") -> DataFrame:
-    """Calls between two addresses that are valid and have code other than none and the excluded one: a semi-join on each
-    end, whose hub addresses Spark's skew handling splits."""
-    good = with_code(code, excluded).withColumnRenamed("address", "_good")
-    out = calls.join(good, F.lower(calls[target]) == good["_good"], "left_semi")
-    return out.join(good, F.lower(out[source]) == good["_good"], "left_semi")
+    """Calls between two addresses that are valid and have code other than none and the excluded one."""
+    return between_members(calls, with_code(code, excluded), source, target)
+
+
+def between_members(calls: DataFrame, members: DataFrame, source: str = "from_address", target: str = "to_address") -> DataFrame:
+    """Calls with both ends in ``members`` (address). The large table of members is met once, by the distinct ends of the calls;
+    the calls then meet only those ends that are in it."""
+    ends = calls.select(F.explode(F.array(source, target)).alias("_end")).distinct()
+    good = ends.join(members.select(F.col("address").alias("_end")), "_end", "left_semi")
+    out = calls.join(good, calls[target] == good["_end"], "left_semi")
+    return out.join(good, out[source] == good["_end"], "left_semi")

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from callweave.sources.events import events_of
 from callweave.sources.traces import read_traces, write_traces
 from callweave.storage import scratch_folder
 
@@ -51,18 +52,20 @@ DIMS = {
     "annotations": f"SELECT {ADDRESS} AS address, p_partkey % 6 = 0 AS documented, p_size > 25 AS verified, CASE WHEN p_partkey % 4 = 0 THEN 'Lido' WHEN p_partkey % 4 = 1 THEN 'External' END AS category, p_name AS name_tag FROM part",
     "listed": f"SELECT {ADDRESS} AS address FROM part WHERE p_partkey < 50",
     "creators": "SELECT DISTINCT from_address AS address FROM traces WHERE status = 1 AND trace_type IN ('create','create2') AND CAST(substr(to_address, 4) AS BIGINT) % 2 = 0",
+    "events": "SELECT * FROM traces WHERE status = 1 AND trace_type IN ('create','create2','suicide')",
     "source_b": "SELECT * FROM traces WHERE block_number % 13 <> 0 UNION ALL SELECT * FROM traces WHERE block_number % 17 = 0",
 }
 _TABLES = ("lineitem", "orders", "part")
-#: Folders of test tables -> where their traces are stored.
-_stored: dict[str, str] = {}
+#: Folders of test tables -> where their traces and events are stored.
+_stored: dict[str, tuple[str, str]] = {}
 
 
 def store(spark: SparkSession, sf_dir: str) -> None:
-    """Writes the traces of a folder of test tables once; from then on ``frame`` reads them."""
-    path = scratch_folder(spark, "traces")
-    write_traces(frame(spark, sf_dir), path)
-    _stored[sf_dir] = path
+    """Writes the traces and events of a folder of test tables once; from then on ``frame`` reads them."""
+    traces, events = scratch_folder(spark, "traces"), scratch_folder(spark, "events")
+    write_traces(frame(spark, sf_dir), traces)
+    events_of(read_traces(spark, traces)).drop("year", "bucket").write.parquet(events)
+    _stored[sf_dir] = traces, events
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str = "traces") -> DataFrame:
@@ -71,7 +74,10 @@ def frame(spark: SparkSession, sf_dir: str, name: str = "traces") -> DataFrame:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"callweave_{t}")
     traces = TRACES
     if sf_dir in _stored:
-        read_traces(spark, _stored[sf_dir]).drop("year", "bucket").createOrReplaceTempView("callweave_traces")
+        path, events = _stored[sf_dir]
+        if name == "events":
+            return spark.read.parquet(events)
+        read_traces(spark, path).drop("year", "bucket").createOrReplaceTempView("callweave_traces")
         traces = "traces AS (SELECT * FROM callweave_traces)"
     sql = f"WITH {traces} {DIMS.get(name, 'SELECT * FROM traces')}"
     # Views of this library's own, so that none of the session's is replaced.

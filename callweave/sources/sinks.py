@@ -6,17 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.operators.graph import graph_nodes
+from callweave.storage import document_parts, scratch_folder, write_ordered, written
+
+
+def node_link_pieces(edges: DataFrame) -> DataFrame:
+    """(section, a, b, piece): the graph of one contract as node-link JSON in pieces, a row for each node and each edge and three for
+    what stands around them. Put end to end in the order of (section, a, b) they are the document. Edges are unique by their ends."""
+    first_node, first_edge = graph_nodes(edges).agg(F.min("node")).first()[0], edges.agg(F.min(F.struct("source", "target")).alias("e")).first().e
+    comma = lambda first, json: F.concat(F.when(first, F.lit("")).otherwise(F.lit(",")), json)
+    none = F.lit(None).cast("string")
+    nodes = graph_nodes(edges).select(F.lit(1).alias("section"), F.col("node").alias("a"), none.alias("b"), comma(F.col("node") == F.lit(first_node), F.to_json(F.struct(F.col("node").alias("id")))).alias("piece"))
+    types = F.map_from_entries(F.array_sort(F.map_entries("types")))
+    is_first = (F.col("source") == F.lit(first_edge and first_edge.source)) & (F.col("target") == F.lit(first_edge and first_edge.target))
+    links = edges.select(F.lit(3).alias("section"), F.col("source").alias("a"), F.col("target").alias("b"), comma(is_first, F.to_json(F.struct(types.alias("types"), "source", "target"))).alias("piece"))
+    around = [(0, None, None, '{"directed":true,"multigraph":false,"graph":{},"nodes":['), (2, None, None, '],"edges":['), (4, None, None, "]}")]
+    return nodes.union(links).union(edges.sparkSession.createDataFrame(around, "section int, a string, b string, piece string"))
+
+
+def write_node_link(edges: DataFrame, uri: str) -> None:
+    """The graph as one node-link JSON document in ordered parts, each written by a task with an even share (see
+    ``storage.write_ordered``; ``storage.read_document`` reads it)."""
+    write_ordered(node_link_pieces(written(edges, "edges")), ["section", "a", "b"], uri)
 
 
 def edges_to_node_link(edges: DataFrame) -> DataFrame:
-    """One row ``document``: the graph of one contract as node-link JSON, nodes and edges in order. It is made in one task, as
-    one document is; ``edges_to_json_lines`` is for graphs of any size."""
-    ordered = edges.agg(F.sort_array(F.collect_list(F.struct("source", "target", F.map_entries("types").alias("types")))).alias("edges"))
-    ends = F.array_sort(F.array_distinct(F.concat(F.transform("edges", lambda e: e["source"]), F.transform("edges", lambda e: e["target"]))))
-    nodes = F.transform(ends, lambda n: F.struct(n.alias("id"))).alias("nodes")
-    flat = F.transform("edges", lambda e: F.struct(F.map_from_entries(e["types"]).alias("types"), e["source"].alias("source"), e["target"].alias("target")))
-    whole = F.struct(F.lit(True).alias("directed"), F.lit(False).alias("multigraph"), F.create_map().cast("map<string,string>").alias("graph"), nodes, flat.alias("edges"))
-    return ordered.select(F.to_json(whole).alias("document"))
+    """One row ``document``: the graph of one contract as node-link JSON, nodes and edges in order. The document is written in parts by
+    all tasks; only the row itself, which holds all of it, is made in one place."""
+    uri = scratch_folder(edges.sparkSession, "document")
+    write_node_link(edges, uri)
+    parts = document_parts(uri)
+    place = F.element_at(F.create_map(*[x for k, p in enumerate(parts) for x in (F.lit(p.rpartition("/")[2]), F.lit(k))]), F.element_at(F.split("_metadata.file_path", "/"), -1))
+    text = edges.sparkSession.read.text(parts, wholetext=True).select(F.struct(place.alias("k"), "value").alias("p"))
+    return text.agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["value"]), "").alias("document"))
 
 
 def edges_to_json_lines(edges: DataFrame) -> DataFrame:
