@@ -9,8 +9,9 @@ of other writers, without that field, are inflated and dropped). ``payload=false
 ``df.write.format("warc").save(folder)`` writes rows of (type, id, uri, date, payload, headers). Each task writes files of
 about ``FILE_BYTES`` under names of its own attempt. The commit of a job puts a list of its files, with the places at which
 their parts begin, into the folder in one step; the files of all lists are what is read, so that attempts that were lost leave
-nothing that is read. Mode ``append`` adds a list, ``overwrite`` also removes the lists that were there before and their
-files, and a job that fails removes what its tasks have written. Files are opened by URI through pyarrow.
+nothing that is read. Mode ``append`` adds a list; ``overwrite`` adds one that also names the lists that were there before: they
+are out of force from the moment it is there, and are then removed with their files, so that a job lost on the way leaves
+either the old records or the new ones to be read. A job that fails removes what its tasks have written. Files are opened by URI through pyarrow.
 
 Records of any size are read and written whole, one at a time. An empty table gives a folder without records. Rows need the
 columns named above; others are ignored. Equal rows give equal records.
@@ -35,7 +36,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from callweave.llm.common import new_folder, table
 
 FILE_BYTES, PART_BYTES, PARTITION_BYTES, MIN_REVISIT = 64 << 20, 4 << 20, 12 << 20, 100
-#: Lists of files: name -> [size, place of each part].
+#: Lists of files (name -> [size, place of each part]) and of the lists that they replace.
 LIST = "_files-"
 SCHEMA = "type string, id string, uri string, date string, content_type string, block_length long, payload_digest string, refers_to string, headers map<string,string>, http_headers map<string,string>, payload binary"
 #: Columns that are WARC headers, and their names.
@@ -156,14 +157,16 @@ class Parts(InputPartition):
     parts: tuple[tuple[str, int, int | None], ...]
 
 
-def _lists(store, path: str) -> dict[str, dict[str, list]]:
-    """Name of each list in the folder -> the files that it lists."""
-    out = {}
+def _lists(store, path: str, past: bool = False) -> dict[str, dict[str, list]]:
+    """Name of each list in the folder that is in force, or with ``past`` of every one -> the files that it lists."""
+    out, replaced = {}, set()
     for x in store.get_file_info(pyarrow.fs.FileSelector(path, allow_not_found=True)):
         if x.is_file and x.base_name.startswith(LIST) and x.base_name.endswith(".json"):
             with store.open_input_stream(x.path) as f:
-                out[x.base_name] = json.loads(f.read())
-    return out
+                listed = json.loads(f.read())
+            out[x.base_name] = listed["files"]
+            replaced.update(listed["replaces"])
+    return {name: files for name, files in out.items() if past or name not in replaced}
 
 
 class WarcReader(DataSourceReader):
@@ -184,8 +187,9 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[Parts]:
         store, path = pyarrow.fs.FileSystem.from_uri(self.folder)
         scheme = self.folder[: len(self.folder) - len(path)] if self.folder.endswith(path) else self.folder.partition("://")[0] + "://"
-        files: dict[str, list] = {f"{path}/{name}": places for listed in _lists(store, path).values() for name, places in listed.items()}
-        if not files:
+        lists = _lists(store, path)
+        files: dict[str, list] = {f"{path}/{name}": places for listed in lists.values() for name, places in listed.items()}
+        if not lists:
             found = store.get_file_info(pyarrow.fs.FileSelector(path, recursive=True))
             files = {x.path: [x.size, 0] for x in found if x.is_file and x.path.endswith((".warc", ".warc.gz"))}
         out, group, held = [], [], 0
@@ -312,10 +316,11 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         store, path = pyarrow.fs.FileSystem.from_uri(self.folder)
         store.create_dir(path, recursive=True)
-        before = _lists(store, path) if self.overwrite else {}
+        before = _lists(store, path, past=True) if self.overwrite else {}
         name = f"{LIST}{uuid.uuid4().hex}.json"
         with store.open_output_stream(f"{path}/.{name}") as f:
-            f.write(json.dumps({file: places for m in messages if m for file, places in m.files.items()}).encode())
+            files = {file: places for m in messages if m for file, places in m.files.items()}
+            f.write(json.dumps({"files": files, "replaces": sorted(before)}).encode())
         store.move(f"{path}/.{name}", f"{path}/{name}")
         _remove(store, path, before)
         _remove(store, path, [file for listed in before.values() for file in listed])

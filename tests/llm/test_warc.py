@@ -93,6 +93,22 @@ def test_append_overwrite_and_abort(spark, tmp_path):
     assert len(list((tmp_path / "w").glob("*.warc.gz"))) == 1
 
 
+def test_an_overwriting_job_that_is_lost_leaves_one_state(spark, tmp_path, monkeypatch):
+    """Lost after its list is there and before the old ones are gone: only the new records are read, then and after later jobs."""
+    folder = f"file://{tmp_path}/w"
+    page = lambda k: spark.createDataFrame([(k, f"u{k}", f"<p>{k}", "")], PAGES)
+    ids = lambda: sorted(r.page_id for r in warc.read_pages(spark, folder).collect())
+    warc.write_pages(page(1), folder)
+    with monkeypatch.context() as m:
+        m.setattr(warc, "_remove", lambda *a: None)
+        warc.WarcWriter({"path": folder}, True).commit([])
+    assert ids() == []
+    warc.write_pages(page(2), folder)
+    assert ids() == [2]
+    warc.page_records(page(3)).write.format("warc").mode("overwrite").save(folder)
+    assert ids() == [3] and len(list((tmp_path / "w").glob("*.warc.gz"))) == 1
+
+
 def test_parts_of_files(spark, tmp_path):
     folder, rows = f"file://{tmp_path}/w", pages()
     docs = warc.page_records(spark.createDataFrame([(*r, "clash") for r in rows], PAGES)).coalesce(1)
