@@ -33,9 +33,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from callweave.llm.common import new_folder, table
+from callweave.llm.common import new_folder, saved, table
 
 FILE_BYTES, PART_BYTES, PARTITION_BYTES, MIN_REVISIT = 64 << 20, 4 << 20, 12 << 20, 100
+#: Repeats that every task may hold, of about 150 bytes each.
+FEW_REPEATS = 200_000
 #: Lists of files (name -> [size, place of each part]) and of the lists that they replace.
 LIST = "_files-"
 SCHEMA = "type string, id string, uri string, date string, content_type string, block_length long, payload_digest string, refers_to string, headers map<string,string>, http_headers map<string,string>, payload binary"
@@ -380,13 +382,15 @@ def record_id(page_id: Column, digest: Column) -> Column:
 def page_records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """(page_id, url, html) -> rows to write. Of equal payloads of ``min_revisit`` bytes or more the least page id is the
     response and the others revisit it. A null html is an empty payload; rows with a null id are responses; equal rows
-    are equal records. Repeats are found on ids and digests alone, and the pages joined to them by both."""
+    are equal records. Repeats are found on ids and digests alone, and written; if they are at most ``FEW_REPEATS`` they are sent to
+    all tasks, so that no payload moves, else the pages are joined to them by a shuffle on both."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     p = pages.select("page_id", F.col("url").alias("uri"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     keys = p.filter(F.col("page_id").isNotNull() & (F.octet_length("payload") >= min_revisit)).select("page_id", "digest")
     first = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("first < last")
     later = keys.join(first, "digest").filter("page_id > first").select("page_id", "digest", "first").distinct()
-    rows = p.join(later, ["page_id", "digest"], "left")
+    later = saved(later, "cw-repeats")
+    rows = p.join(F.broadcast(later) if later.count() <= FEW_REPEATS else later, ["page_id", "digest"], "left")
     is_later = F.col("first").isNotNull()
     headers = F.map_from_arrays(
         F.array(*[F.lit(k) for k in ("X-Page-ID", "WARC-Payload-Digest", "WARC-Refers-To", "X-Refers-To-Page-ID", "WARC-Profile")]),

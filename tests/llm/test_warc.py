@@ -121,6 +121,13 @@ def test_parts_of_files(spark, tmp_path):
     assert sorted(map(tuple, warc.read_pages(spark, folder).drop("url").collect()), key=str) == want(rows)
 
 
+def test_more_repeats_than_a_task_may_hold(spark, monkeypatch):
+    df = spark.createDataFrame([(*r, "clash") for r in pages()], PAGES)
+    few = sorted(map(str, warc.page_records(df).collect()))
+    monkeypatch.setattr(warc, "FEW_REPEATS", 0)
+    assert sorted(map(str, warc.page_records(df).collect())) == few
+
+
 def test_empty_table(spark):
     folder = new_folder(spark, "t")
     warc.write_pages(spark.createDataFrame([], PAGES), folder)
