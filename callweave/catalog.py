@@ -16,7 +16,7 @@ from callweave.operators import lifecycle as ol
 from callweave.operators import reconcile as rc
 from callweave.operators import results as rs
 from callweave.operators import traces as ot
-from callweave.plans.network import network_documents
+from callweave.plans.network import network_documents, network_pieces
 from callweave.plans.testview import frame, oracle
 from callweave.sources import events as se
 from callweave.sources import labels as sl
@@ -312,6 +312,19 @@ def _(t):
     return d.withColumns({"nodes": nodes, "edges": edges})
 
 
+@query("network_pieces", f"""WITH {_LISTED},
+ typed AS (SELECT contract, source, target, type, {COUNT} AS n FROM calls GROUP BY contract, source, target, type),
+ pairs AS (SELECT contract, source, target, '{{"types":{{' || string_agg('"' || type || '":' || n, ',' ORDER BY type) || '}},"source":"' || source || '","target":"' || target || '"}}' AS e, row_number() OVER (PARTITION BY contract ORDER BY source, target) AS r FROM typed GROUP BY contract, source, target),
+ nodes AS (SELECT *, row_number() OVER (PARTITION BY contract ORDER BY node) AS r FROM (SELECT contract, source AS node FROM pairs UNION SELECT contract, target FROM pairs)),
+ named AS (SELECT n.contract, n.node, n.r, coalesce(l.label, f.label, n.node) AS label FROM nodes n LEFT JOIN labels l ON n.node = l.address LEFT JOIN fetched f ON n.node = f.address),
+ heads AS (SELECT contract, count(*) AS n FROM named GROUP BY contract)
+ SELECT contract, CAST(0 AS INTEGER) AS section, NULL::VARCHAR AS a, NULL::VARCHAR AS b, '{{"address":"' || contract || '","from_block":{FIRST},"to_block":{LAST},"n_nodes":' || n || ',"nodes":{{' AS piece FROM heads
+ UNION ALL SELECT contract, 1, node, NULL, CASE WHEN r = 1 THEN '' ELSE ',' END || '"' || node || '":"' || label || '"' FROM named UNION ALL SELECT contract, 2, NULL, NULL, '}},"edges":[' FROM heads
+ UNION ALL SELECT contract, 3, source, target, CASE WHEN r = 1 THEN '' ELSE ',' END || e FROM pairs UNION ALL SELECT contract, 4, NULL, NULL, ']}}' || chr(10) FROM heads""", "listed", "code", "labels", "fetched")
+def _(t):
+    return network_pieces(t.traces, t.listed.select(F.col("address").alias("contract")), t.code, t.labels, t.fetched, FIRST, LAST, limit=None)
+
+
 _CLASSED = _G + f", classed AS (SELECT p.source, p.target, p.types, p.n, CASE WHEN p.source = '{TARGET}' THEN 'Direct' ELSE 'Indirect' END AS interaction_type, a.label AS source_name, b.label AS target_name FROM pairs p LEFT JOIN labels a ON p.source = a.address LEFT JOIN labels b ON p.target = b.address) "
 
 

@@ -443,3 +443,23 @@ def test_two_writers_of_labels(spark, monkeypatch):
     monkeypatch.undo()
     assert labels.latest_version(spark, path)[0] == 3 and len(now()) == 3
     assert labels.commit_labels(spark, path, fresh(("0xd", "d", 4))) == 4 and len(now()) == 4
+
+
+def test_networks_are_written_as_lines_in_parts(spark):
+    a, b, hub = ("0x" + x * 40 for x in "abe")
+    at = lambda k: f"0x{k:040x}"
+    t = rows(spark, (1, "t", "", "call", a, b), (1, "t", "0", "call", b, hub), *[(2, f"h{k}", "", "call", hub, at(k)) for k in range(3000)])
+    code = spark.createDataFrame([(x, "0x60") for x in (a, b, hub, *map(at, range(3000)))], "address string, code string")
+    stored = spark.createDataFrame([(b, 'a "quoted"\nlabel')], "address string, label string")
+    listed, uri = spark.createDataFrame([(a,), (hub,)], "contract string"), scratch_folder(spark, "networks")
+    args = (t, listed, code, stored, stored.limit(0), 1, 5)
+    network.write_network_documents(uri, *args)
+    lines = [json.loads(x) for x in b"".join(read_document(uri)).decode().splitlines()]
+    want = {r.address: r for r in network.network_documents(*args).collect()}
+    assert [x["address"] for x in lines] == sorted(want) == [a, hub]
+    for x in lines:
+        r = want[x["address"]]
+        assert (x["from_block"], x["to_block"], x["n_nodes"], x["nodes"]) == (1, 5, r.n_nodes, r.nodes)
+        assert [(e["source"], e["target"], sorted(e["types"].items())) for e in x["edges"]] == [(e.source, e.target, [tuple(y) for y in e.types]) for e in r.edges]
+    sizes = [os.path.getsize(p.removeprefix("file://")) for p in document_parts(uri)]
+    assert len(lines[1]["edges"]) == 3000 and max(sizes) < 2 * sum(sizes) / 4
