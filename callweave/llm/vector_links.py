@@ -33,7 +33,7 @@ from callweave.llm.linking import BLOCK, compared, components, local_links, mix6
 
 THRESHOLD, RECALL = 0.9, 0.995
 #: Nodes of a bucket, on average, from which on one more rotation makes a hash; steps of the largest angle of a link.
-OFTEN, STEPS, SEED = 64, 16, 20240607
+OFTEN, STEPS, SEED = 16, 16, 20240607
 SIMULATED = 3000
 PROBES = (1, 2, 3, 4, 6)
 
@@ -112,9 +112,14 @@ def choose_tables(dim: int, k: int, threshold: float = THRESHOLD, recall: float
     return best
 
 
-def directions(vectors: DataFrame) -> DataFrame:
-    """(row, vec_id, node, dim, v) of every row: a number, a hash of the components, how many they are, and the components as unit
-    vector in double precision; the last three are null where a vector links with nothing. Save it before use."""
+def precision(vectors: DataFrame) -> str:
+    """How components are carried: as floats where they are, else as doubles."""
+    return "f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "f8"
+
+
+def directions(vectors: DataFrame, kind: str) -> DataFrame:
+    """(row, vec_id, node, dim, v) of every row: a number, a hash of the components, how many they are, and the components
+    themselves; the last three are null where a vector links with nothing. Save it before use."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,9 +132,8 @@ def directions(vectors: DataFrame) -> DataFrame:
                 if not (0 < top < np.inf):  # false for NaN, too
                     out.append((None, None, None))
                     continue
-                unit = x / top
-                unit = unit / np.linalg.norm(unit)
-                out.append((int(np.uint64(xxhash.xxh3_64_intdigest((x + 0.0).tobytes())).view(np.int64)), j - i, unit.tobytes()))
+                x = x + 0.0  # no negative zeros
+                out.append((int(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes())).view(np.int64)), j - i, x.astype(kind).tobytes()))
             node, dim, v = zip(*out, strict=True) if out else ((), (), ())
             rest = batch.drop_columns(["embedding"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(node, pa.int64()), pa.array(dim, pa.int32()), pa.array(v, pa.binary())], [*rest.schema.names, "node", "dim", "v"])
@@ -138,12 +142,16 @@ def directions(vectors: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "row long, vec_id long, node long, dim int, v binary")
 
 
-def _matrix(column) -> np.ndarray:
-    values = column.to_pylist()
-    return np.frombuffer(b"".join(values), np.float64).reshape(len(values), -1) if values else np.zeros((0, 1))
+def units(values: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors in double precision."""
+    if not values:
+        return np.zeros((0, 1))
+    x = np.frombuffer(b"".join(values), kind).astype(np.float64).reshape(len(values), -1)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def bucket_rows(nodes: DataFrame, plans: dict[int, tuple[int, int, int]]) -> DataFrame:
+def bucket_rows(nodes: DataFrame, plans: dict[int, tuple[int, int, int]], kind: str) -> DataFrame:
     """(key, node, own): of each node its bucket in every table, and those that it looks into. ``plans``: rotations, tables and probes by
     length of the vectors."""
 
@@ -155,7 +163,7 @@ def bucket_rows(nodes: DataFrame, plans: dict[int, tuple[int, int, int]]) -> Dat
                 for dim in np.unique(dims):
                     own = part.filter(pa.array(dims == dim))
                     k, tables, probes = plans[int(dim)]
-                    x = np.pad(_matrix(own.column("v")), ((0, 0), (0, width(int(dim)) - int(dim))))
+                    x = np.pad(units(own.column("v").to_pylist(), kind), ((0, 0), (0, width(int(dim)) - int(dim))))
                     found = np.stack([buckets(x, signs(int(dim), k, t), probes) for t in range(tables)], 1)
                     place = (np.arange(tables, dtype=np.uint64) + np.uint64(1) << np.uint64(20)) + np.uint64(dim)
                     key = mix64(mix64(found.astype(np.uint64) + np.uint64(1)) + mix64(place)[None, :, None]).view(np.int64)
@@ -171,9 +179,9 @@ def _pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray,
     return np.nonzero(x @ y.T >= threshold - 1e-15)
 
 
-def _links(threshold: float):
+def _links(threshold: float, kind: str):
     def links(found: pa.Table, in_first: np.ndarray | None) -> tuple:
-        node, weight, x = found.column("node").to_numpy(), found.column("copies").to_numpy(), _matrix(found.column("v"))
+        node, weight, x = found.column("node").to_numpy(), found.column("copies").to_numpy(), units(found.column("v").to_pylist(), kind)
         if in_first is None:
             i, j = _pairs(x, x, threshold)
             i, j = i[i < j], j[i < j]
@@ -186,19 +194,19 @@ def _links(threshold: float):
     return links
 
 
-def _steps(threshold: float):
+def _steps(threshold: float, kind: str):
     def steps(pivot: pa.Table, found: pa.Table) -> np.ndarray:
         """Angles to the pivot, in steps of which ``STEPS`` make the largest angle of a link; told a hundred thousandth too large, more
         than they can err by, so that no pair just over the largest angle is taken for a link."""
         if not found.num_rows:
             return np.zeros(0, np.int32)
-        angle = np.arccos(np.clip(_matrix(found.column("v")) @ _matrix(pivot.column("v"))[0], -1, 1))
+        angle = np.arccos(np.clip(units(found.column("v").to_pylist(), kind) @ units(pivot.column("v").to_pylist(), kind)[0], -1, 1))
         return np.floor(angle / math.acos(threshold) * STEPS * (1 + 1e-5)).astype(np.int32)
 
     return steps
 
 
-def verified_edges(members: DataFrame, threshold: float) -> DataFrame:
+def verified_edges(members: DataFrame, threshold: float, kind: str) -> DataFrame:
     """(key, node, own, v) of small buckets -> (a, b): members and what verified links join them to within their bucket."""
 
     def edges(keys: np.ndarray, own: np.ndarray, node: np.ndarray, v: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -207,7 +215,7 @@ def verified_edges(members: DataFrame, threshold: float) -> DataFrame:
             filed = np.flatnonzero(own[lo:hi])
             if hi - lo < 2 or not len(filed):
                 continue
-            x = np.frombuffer(b"".join(v[lo:hi]), np.float64).reshape(hi - lo, -1)
+            x = units(v[lo:hi], kind)
             i, j = _pairs(x[filed], x, threshold)
             i = filed[i]
             i, j = i[i != j], j[i != j]
@@ -241,20 +249,21 @@ def verified_edges(members: DataFrame, threshold: float) -> DataFrame:
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """One row per row: vec_id, n_links (other rows linked directly), component_id (least vec_id that can be reached), kept (it is its own)."""
     name = "cw-vectors"
-    rows = saved(directions(vectors), name)
+    kind = precision(vectors)
+    rows = saved(directions(vectors, kind), name)
     nodes = saved(rows.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"), F.first("dim").alias("dim"), F.first("v").alias("v")), name)
     plans = {}
     for dim, n in nodes.groupBy("dim").agg(F.count(F.lit(1))).collect():
         k = rotations(dim, n)
         plans[dim] = (k, *choose_tables(dim, k, threshold, recall)[:2])
-    keys = saved(bucket_rows(nodes, plans), name)
+    keys = saved(bucket_rows(nodes, plans, kind), name)
     met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("filed")).filter("n > 1 and filed > 0")
     met = saved(met.select(F.col("key").alias("_key"), "n"), name)
     members = join_groups(keys, met, {"key": "_key"}, "n", keys.count()).join(nodes.select("node", "v").hint("merge"), "node")
     members = saved(members, name)
-    small = verified_edges(members.filter(F.col("n") <= 2 * block), threshold)
+    small = verified_edges(members.filter(F.col("n") <= 2 * block), threshold, kind)
     hot = members.filter(F.col("n") > 2 * block).select("node", F.col("key").alias("comp"), F.lit(0).alias("klass"), F.lit(1).cast("long").alias("copies"), "v")
-    links, steps = _links(threshold), _steps(threshold)
+    links, steps = _links(threshold, kind), _steps(threshold, kind)
     settled = compared(hot, links, steps, STEPS, name, block).filter("node <> root")
     groups = components(small.union(settled.select(F.col("node").alias("a"), F.col("root").alias("b"))).distinct(), name)
 

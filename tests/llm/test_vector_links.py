@@ -82,7 +82,13 @@ def test_hadamard_rotation_keeps_lengths_and_angles():
     assert np.allclose(x @ x.T, y @ y.T) and not np.allclose(x, y)
     own = vl.buckets(x, vl.signs(32, 2, 0), 4)
     assert (own[:, 0] == vl.buckets(x, vl.signs(32, 2, 0), 1)[:, 0]).all() and all(len(set(r)) == 4 for r in own.tolist())
-    assert [vl.rotations(64, n) for n in (10, 10**6, 10**7, 10**9)] == [2, 2, 3, 4]
+    assert [vl.rotations(64, n) for n in (10, 10**5, 10**6, 10**9)] == [2, 2, 3, 4]
+
+
+def test_double_components(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [1e-200, 1.0000001e-200], 0), (3, [1.0, -1.0], 0), (4, [1e308, 1e308], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert got(vl.near_vectors(df)) == [(1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 2, 1, False)]
 
 
 def test_no_vectors(spark):
