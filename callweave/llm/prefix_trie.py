@@ -12,7 +12,7 @@ descent gives the nodes and all that is told of them. A turn is known by a 128-b
 4. The last g depths, where groups may be of any size, are a grouping each, with sums before the shuffle.
 
 Turns of equal number are taken in order of their digests. Null turns come first; null roles and texts are empty ones.
-Rows without a conv_id belong to no conversation. Repeated rows are turns of their own. Long texts cost a hash once. An
+A conversation is one row of digests, so it may have some fifty million turns. Rows without a conv_id belong to no conversation. Repeated rows are turns of their own. Long texts cost a hash once. An
 empty table gives an empty result, without a root. Other columns aren't looked at.
 """
 

@@ -179,6 +179,20 @@ class Owners:
         return blocks.mapInArrow(rows, "row long, position int, entry long, error long")
 
 
+def first_vectors(whole: DataFrame, n: int) -> list:
+    """The n rows of least ids, of equal ids those of least components, null ids last, with the components as ``x``. Only rows up
+    to the n-th id are put in order."""
+    ids = [r[0] for r in whole.select("vec_id").orderBy(F.col("vec_id").asc_nulls_last()).limit(n).collect()]
+    some = whole if ids[-1] is None else whole.filter(F.col("vec_id") <= ids[-1])
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [np.frombuffer(v, np.int32) for v in batch.column("v").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(x, pa.list_(pa.int32()))], ["vec_id", "x"])
+
+    return some.select("vec_id", "v").mapInArrow(numbers, "vec_id long, x array<int>").orderBy(F.col("vec_id").asc_nulls_last(), "x").limit(n).collect()
+
+
 def compress(vectors: DataFrame, rounds: int = ROUNDS, owned: int = OWNED) -> tuple[DataFrame, np.ndarray | None]:
     """(row, vec_id, label, code, error) of every whole vector, and the codebooks as an array (part, entry, component)."""
     spark, name = vectors.sparkSession, "cw-codes"
@@ -191,9 +205,7 @@ def compress(vectors: DataFrame, rounds: int = ROUNDS, owned: int = OWNED) -> tu
     if dim % PARTS:
         raise ValueError(f"vectors of {dim} components can't be cut into {PARTS} equal parts")
     whole = whole.filter(F.col("n") == dim)
-    order = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.substring(F.hex("v"), i * 8 + 1, 8))  # a total order of equal ids
-    first = whole.orderBy(F.col("vec_id").asc_nulls_last(), order).limit(ENTRIES).select("v").collect()
-    books = np.stack([np.frombuffer(r.v, np.int32) for r in first]).astype(np.int64).reshape(len(first), PARTS, -1).transpose(1, 0, 2).copy()
+    books = np.stack([np.array(r.x) for r in first_vectors(whole, ENTRIES)]).astype(np.int64).reshape(-1, PARTS, dim // PARTS).transpose(1, 0, 2).copy()
 
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:

@@ -60,6 +60,15 @@ def test_large_components_stay_exact(spark):
         vc.compress(spark.createDataFrame([(1, [1e9] * 4, 1)], SCHEMA))
 
 
+def test_first_vectors_of_repeated_ids(spark):
+    """Equal ids by their components as numbers, null ids last."""
+    rows = [(2, [0.0] * 4, 0), (None, [-1.0] * 4, 0), (1, [0.5, 0.0, 0.0, 300.0], 0), (1, [0.5, 0.0, 0.0, -0.25], 0), (1, [-0.5, 9.0, 9.0, 9.0], 0), (1, [0.5, 0.0, 0.0, 2.0], 0)]
+    whole = vc.saved(vc.whole_components(spark.createDataFrame(rows, SCHEMA)), "t")
+    want = [(1, [-512, 9216, 9216, 9216]), (1, [512, 0, 0, -256]), (1, [512, 0, 0, 2048]), (1, [512, 0, 0, 307200]), (2, [0] * 4), (None, [-1024] * 4)]
+    for n in (2, 4, 5, 9):
+        assert [(r.vec_id, list(r.x)) for r in vc.first_vectors(whole, n)] == want[:n]
+
+
 def test_few_vectors_no_vectors_odd_lengths(spark):
     df = spark.createDataFrame([(2, [1.0, 2.0, 3.0, 4.0], 1), (1, [4.0, 3.0, 2.0, 1.0], 1), (3, [1.0], 1)], SCHEMA)
     assert got(vc.compress(df)[0]) == [("1", "00000000", 0, "1"), ("2", "01010101", 0, "1")]
