@@ -6,10 +6,12 @@
 2. A node is filed under its own hash in each table, and looks into the next most likely buckets too, by what they lose in the
    rotated coordinates (multiprobe). Tables and probes are chosen by simulated pairs right at the threshold, for the target
    recall with the fewest rows.
-3. In each bucket candidates are verified by their cosine in double precision. A bucket gives at most one edge for each member, to
+3. Rows of buckets carry 64 sign bits of a rotated vector; in a bucket only members whose bits differ from another's in at most
+   ``most_bits`` places get their components (a pair at the threshold is lost with a chance of about one in 400,000).
+4. In each bucket candidates are then verified by their cosine in double precision. A bucket gives at most one edge for each member, to
    what it is joined to there, never its pairs. Buckets with more than two blocks of members are settled by the angles to
    pivots where these suffice, else in pairs of blocks (see ``linking.compared``).
-4. Verified edges make components; within a component all links are counted in the same way, exactly, each pair once.
+5. Verified edges make components; within a component all links are counted in the same way, exactly, each pair once.
 
 Vectors that are null, zero or empty, or hold null or non-finite components link with nothing; vectors of different lengths don't
 link. Rows with equal vectors are linked to each other; repeated rows are rows each. Null ids are ignored when a component
@@ -35,6 +37,9 @@ THRESHOLD, RECALL = 0.9, 0.995
 #: Nodes of a bucket, on average, from which on one more rotation makes a hash; steps of the largest angle of a link.
 OFTEN, STEPS, SEED = 16, 16, 20240607
 SIMULATED = 3000
+#: Of 64 sign bits a pair at the threshold of 0.9 differs in 9.2 on average (its angle by a half turn), with a deviation of 2.8, any
+#: two vectors in 32. ``most_bits`` allows for 4.6 deviations at any threshold.
+SIGNS = 64
 PROBES = (1, 2, 3, 4, 6)
 
 
@@ -151,9 +156,23 @@ def units(values: list[bytes], kind: str) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def most_bits(threshold: float) -> int:
+    """How many sign bits a pair at the threshold may differ in."""
+    p = math.acos(threshold) / math.pi
+    return min(SIGNS, math.ceil(SIGNS * p + 4.6 * math.sqrt(SIGNS * p * (1 - p))))
+
+
+def sketches(x: np.ndarray, dim: int) -> np.ndarray:
+    """64 sign bits of each (filled up) unit vector, of as many rotations as it takes."""
+    rng = np.random.default_rng([SEED, dim])
+    rounds = -(-SIGNS // x.shape[1])
+    bits = np.concatenate([rotated(x, s) for s in rng.choice(np.array([-1.0, 1.0]), (rounds, 3, x.shape[1]))], 1)[:, :SIGNS] > 0
+    return np.packbits(bits, axis=1).view(np.int64)[:, 0]
+
+
 def bucket_rows(nodes: DataFrame, plans: dict[int, tuple[int, int, int]], kind: str) -> DataFrame:
-    """(key, node, own): of each node its bucket in every table, and those that it looks into. ``plans``: rotations, tables and probes by
-    length of the vectors."""
+    """(key, node, own, bits): of each node its bucket in every table, and those that it looks into, with its sign bits. ``plans``:
+    rotations, tables and probes by length of the vectors."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,9 +189,10 @@ def bucket_rows(nodes: DataFrame, plans: dict[int, tuple[int, int, int]], kind:
                     first = np.zeros(key.shape, bool)
                     first[:, :, 0] = True
                     node = np.repeat(own.column("node").to_numpy(), key[0].size)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(node), pa.array(first.ravel())], ["key", "node", "own"])
+                    bits = np.repeat(sketches(x, int(dim)), key[0].size)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(node), pa.array(first.ravel()), pa.array(bits)], ["key", "node", "own", "bits"])
 
-    return nodes.select("node", "dim", "v").mapInArrow(work, "key long, node long, own boolean")
+    return nodes.select("node", "dim", "v").mapInArrow(work, "key long, node long, own boolean, bits long")
 
 
 def _pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -206,12 +226,56 @@ def _steps(threshold: float, kind: str):
     return steps
 
 
+def _in_buckets(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` of the rows of small buckets: it gets a table in order of keys with whole buckets, and where each begins, and gives
+    record batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            whole = pa.concat_tables([left, new]) if left is not None else new
+            keys = whole.column("key").to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last key may go on
+            yield from buckets_of(whole.slice(0, cut))
+            left = whole.slice(cut)
+        if left is not None:
+            yield from buckets_of(left)
+
+    def buckets_of(found: pa.Table) -> Iterator[pa.RecordBatch]:
+        if found.num_rows:
+            keys = found.column("key").to_numpy()
+            yield from work(found, np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)].tolist())
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, schema)
+
+
+def close_rows(rows: DataFrame, most: int) -> DataFrame:
+    """(key, node, own, bits) -> (key, node, own) of members of a bucket whose bits differ from another's in at most ``most`` places, one of the
+    two being filed there."""
+
+    def work(found: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        own, bits = found.column("own").to_numpy(zero_copy_only=False), found.column("bits").to_numpy().view(np.uint64)
+        near = np.zeros(len(own), bool)
+        for lo, hi in zip(cuts, cuts[1:]):
+            filed = lo + np.flatnonzero(own[lo:hi])
+            if hi - lo > 1 and len(filed):
+                few = np.bitwise_count(bits[filed][:, None] ^ bits[None, lo:hi]) <= most
+                few[np.arange(len(filed)), filed - lo] = False
+                near[lo:hi] |= few.any(0)
+                near[filed] |= few.any(1)
+        yield from found.select(["key", "node", "own"]).filter(pa.array(near)).to_batches()
+
+    return _in_buckets(rows.select("key", "node", "own", "bits"), work, "key long, node long, own boolean")
+
+
 def verified_edges(members: DataFrame, threshold: float, kind: str) -> DataFrame:
     """(key, node, own, v) of small buckets -> (a, b): members and what verified links join them to within their bucket."""
 
-    def edges(keys: np.ndarray, own: np.ndarray, node: np.ndarray, v: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        for lo, hi in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+    def work(found: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        own, node, v, out = found.column("own").to_numpy(zero_copy_only=False), found.column("node").to_numpy(), found.column("v").to_pylist(), []
+        for lo, hi in zip(cuts, cuts[1:]):
             filed = np.flatnonzero(own[lo:hi])
             if hi - lo < 2 or not len(filed):
                 continue
@@ -221,29 +285,11 @@ def verified_edges(members: DataFrame, threshold: float, kind: str) -> DataFrame
             i, j = i[i != j], j[i != j]
             if len(i):
                 a, _, b = local_links(node[lo:hi], np.ones(hi - lo), i, j)
-                yield a[a != b], b[a != b]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = None
-        for batch in batches:
-            new = pa.Table.from_batches([batch])
-            whole = pa.concat_tables([left, new]) if left is not None else new
-            keys = whole.column("key").to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # rows are in order of keys: the last may go on
-            yield from found(whole.slice(0, cut))
-            left = whole.slice(cut)
-        if left is not None:
-            yield from found(left)
-
-    def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        if rows.num_rows:
-            pairs = list(edges(rows.column("key").to_numpy(), rows.column("own").to_numpy(zero_copy_only=False), rows.column("node").to_numpy(), rows.column("v").to_pylist()))
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*pairs, strict=True)], ["a", "b"])
+                out.append((a[a != b], b[a != b]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b"])
 
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.select("key", "node", "own", "v").repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(work, "a long, b long")
+    return _in_buckets(members.select("key", "node", "own", "v"), work, "a long, b long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -259,10 +305,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     keys = saved(bucket_rows(nodes, plans, kind), name)
     met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("filed")).filter("n > 1 and filed > 0")
     met = saved(met.select(F.col("key").alias("_key"), "n"), name)
-    members = join_groups(keys, met, {"key": "_key"}, "n", keys.count()).join(nodes.select("node", "v").hint("merge"), "node")
-    members = saved(members, name)
-    small = verified_edges(members.filter(F.col("n") <= 2 * block), threshold, kind)
-    hot = members.filter(F.col("n") > 2 * block).select("node", F.col("key").alias("comp"), F.lit(0).alias("klass"), F.lit(1).cast("long").alias("copies"), "v")
+    members = saved(join_groups(keys, met, {"key": "_key"}, "n", keys.count()), name)
+    vectors_of = nodes.select("node", "v").hint("merge")
+    near = close_rows(members.filter(F.col("n") <= 2 * block), most_bits(threshold)).join(vectors_of, "node")
+    small = verified_edges(near, threshold, kind)
+    hot = members.filter(F.col("n") > 2 * block).join(vectors_of, "node").select("node", F.col("key").alias("comp"), F.lit(0).alias("klass"), F.lit(1).cast("long").alias("copies"), "v")
     links, steps = _links(threshold, kind), _steps(threshold, kind)
     settled = compared(hot, links, steps, STEPS, name, block).filter("node <> root")
     groups = components(small.union(settled.select(F.col("node").alias("a"), F.col("root").alias("b"))).distinct(), name)

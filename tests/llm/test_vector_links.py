@@ -85,6 +85,18 @@ def test_hadamard_rotation_keeps_lengths_and_angles():
     assert [vl.rotations(64, n) for n in (10, 10**5, 10**6, 10**9)] == [2, 2, 3, 4]
 
 
+def test_sign_bits_tell_pairs_apart():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = np.array([at_cosine(rng, v, 0.9) for v in x])
+    a, b = (vl.sketches(v, 64).view(np.uint64) for v in (x, y))
+    assert vl.most_bits(0.9) == 23 and np.bitwise_count(a ^ b).max() <= 23
+    assert (np.bitwise_count(a ^ np.roll(a, 1)) <= 23).mean() < 0.03
+    few = np.pad(x[:50, :5], ((0, 0), (0, 3)))
+    assert len(set(vl.sketches(few, 5).tolist())) == 50
+
+
 def test_double_components(spark):
     rows = [(1, [1e200, 1e200], 0), (2, [1e-200, 1.0000001e-200], 0), (3, [1.0, -1.0], 0), (4, [1e308, 1e308], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
