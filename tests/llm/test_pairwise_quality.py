@@ -165,3 +165,34 @@ def test_ranking_of_held_out_labels(spark):
     good, bad = [s for s, q in labels if q == 1], [s for s, q in labels if q == 0]
     assert len(good) > 20 and len(bad) > 3
     assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.98
+
+
+def labelled_vectors(spark, n, seed):
+    """A table of vectors and labels, and the same as arrays."""
+    rng = np.random.default_rng(seed)
+    y = rng.random(n) < 0.7
+    x = (rng.normal(0, 1, (n, len(pq.NAMES))) + 0.3 * y[:, None] * np.linspace(-1, 1, len(pq.NAMES))).astype(np.float32)
+    ids = np.array([k for k in range(2 * n) if zlib.crc32(str(k).encode()) % 4 != 2][:n])
+    vectors = spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(ids, x, strict=True)], "doc_id long, x array<float>")
+    return vectors, spark.createDataFrame([(int(k), int(q)) for k, q in zip(ids, y, strict=True)], "doc_id long, quality int"), x.astype(float), y
+
+
+def test_every_label_and_pair_counts(spark):
+    """Over 20,000 labels: mean, scale and threshold are those of all; the weights those of all pairs."""
+    vectors, labels, x, y = labelled_vectors(spark, 21_000, 4)
+    mean, scale, w, cut = pq.fit(vectors, labels)
+    assert mean.tolist() == pytest.approx(x.mean(0).tolist(), abs=1e-9) and scale.tolist() == pytest.approx(x.std(0).tolist(), abs=1e-9)
+    s = pq.expanded(x, mean, scale) @ w
+    assert cut == pytest.approx(float(np.quantile(s, 1 - y.mean())), abs=1e-9) and (s >= cut).sum() == y.sum()
+    vectors, labels, x, y = labelled_vectors(spark, 700, 5)
+    mean, scale, w, _ = pq.fit(vectors, labels)
+    z = pq.expanded(x, mean, scale)
+    assert w.tolist() == pytest.approx(pq.fit_pairs(z[y], z[~y]).tolist(), abs=1e-7)
+
+
+@pytest.mark.parametrize("values", [[3.5], [-1.0, -1.0, 2.0], [0.0, -0.5, 1e-300, -7e8, 12.25, 12.25, -3.0, 1e9]])
+def test_exact_quantile(spark, values):
+    numbers = np.array(values * 3)
+    keys = spark.createDataFrame([(int(k), 1) for k in pq.ordered_bits(numbers)], "key long, n long")
+    for share in (0.0, 0.3, 0.5, 1.0):
+        assert pq.exact_quantile(keys, share, len(numbers)) == pytest.approx(float(np.quantile(numbers, share)), rel=1e-12, abs=1e-12)
