@@ -16,17 +16,16 @@ an empty result.
 
 from __future__ import annotations
 
-import contextlib
 import json
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice, repeat
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,16 +39,17 @@ MAGIC = b"WVMX0001"
 BLOCK = 512
 #: Chunks of text whose ids a Python worker keeps.
 CACHE = 1_200_000
-#: A space before white space or the end: not a place to cut.
-UNSAFE = re.compile("[ ](?:[\\s\x1c-\x1f\x85\xa0\u180e\u200b\ufeff]|\\Z)")
-#: White space other than line breaks: words that hold it aren't taken apart.
-ODD = re.compile("[^\\S\\n]|[\x85\xa0\u180e\u200b\ufeff]")
+#: White space (any that some tokenizer may take for it) other than a line break, in a set of RE2.
+SPACE = r"\t\x0b\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+#: White space that can't be parted by itself: runs of it, but for a line break before a space or two line breaks before a word.
+UNSAFE = rf"\A[{SPACE.replace(' ', '')}]| (?:[{SPACE}\n]|\z)|[{SPACE}]\n|\n\n(?:[{SPACE}\n]|\z)"
 #: Marks that are a piece of their own behind a letter or digit.
 MARKS = '.,;:!?"#$%&()*+-/<=>@[]^_`{|}~'
-#: Words that are one piece.
-PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+LETTERS = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}"
 #: Longer words aren't kept.
 LONG = 256
+#: Bytes of text that are encoded at once.
+TEXT_BYTES = 4 << 20
 
 
 # ---- the matrix ----
@@ -205,13 +205,15 @@ def encode_file(ids: np.ndarray, docs: list[tuple[int | None, int]]) -> bytes:
 class Encoder:
     """Ids of texts by a tokenizer of byte-level pieces, as little-endian bytes of ``dtype``.
 
-    A piece never reaches over a single space that a character other than white space follows, so texts are cut into
-    chunks there, and the ids of each chunk are kept. A chunk that isn't known yet is taken apart where the pattern of
-    the pieces always ends one: before marks at its end that follow a letter or digit, and round a single line break.
-    The parts that aren't known are encoded many at a time: those after a space one after another in a string, as each
-    begins with the only id whose piece begins with a space; those at the start of a line with line breaks between. Where
-    a part has letters only, it is one piece, and the search for pieces is spared.
-    Texts with other runs of spaces, or with special tokens, go to the tokenizer whole.
+    A piece never reaches over a single space that a character other than white space follows, nor into a line break
+    behind such a character, so texts are cut into words there: those after a space, and those at the start of a line, which
+    keep their line break (a text gets one in front, whose id is dropped). Arrow finds the distinct words of many texts, whose ids
+    are looked up or learnt, and each text's ids are gathered by the numbers of its words. A word that isn't known yet is
+    parted before marks at its end that follow a letter or digit, where the pattern of the pieces always ends one. The parts
+    that aren't known are encoded many at a time: those after a space one after another in a string, as each begins with the
+    only id whose piece begins with a space; those at the start of a line with line breaks between. Where a part has letters
+    only, it is one piece, and the search for pieces is spared.
+    Texts with other runs of white space, or with special tokens, go to the tokenizer whole.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -221,7 +223,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.of_pieces = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.of_pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.of_pieces.pre_tokenizer = pre_tokenizers.Split("\u0120", "merged_with_next")
         for t in (self.tokenizer, self.of_pieces):
             if hasattr(t.model, "_resize_cache"):
                 t.model._resize_cache(0)  # words are kept here, and hardly any comes twice
@@ -236,22 +238,27 @@ class Encoder:
         self.opens[[i for piece, i in vocab.items() if piece.startswith("\u0120")]] = True
         self.breaks = np.zeros_like(self.opens)
         self.breaks[vocab.get("\u010a", [])] = True
-        #: Ids of what follows a space, and of what starts a text or line.
+        self.by_chunk &= bool(self.breaks.any())
+        #: The characters that stand for bytes in pieces.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.byte_chars = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        #: Ids of words (after a space, or with their line break), and of parts that nothing precedes.
         self.chunks: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
-        self.long: list[tuple[dict, str]] = []
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, known: dict[str, bytes], parts: list[str], mark: str, marks: np.ndarray, tokenizer) -> None:
+    def _learn(self, known: dict[str, bytes], parts: list[str], mark: str, marks: np.ndarray, plain: bool = False) -> None:
         """Adds the ids of ``parts``, each behind ``mark``, which is in the id that ``marks`` knows: the space in front of a
-        part is its own, the line break isn't."""
+        part is its own, the line break isn't. Plain parts have letters only."""
         if not parts:
             return
         lead = mark if mark == " " else ""
         strings = [mark + mark.join(parts[at : at + 1000]) for at in range(0, len(parts), 1000)]
-        ids = np.concatenate([np.array(x.ids, self.dtype) for x in tokenizer.encode_batch_fast(strings, add_special_tokens=False)])
+        if plain:
+            strings = [x.replace(" ", "\u0120") if x.isascii() else x.encode().decode("latin-1").translate(self.byte_chars) for x in strings]
+        ids = np.concatenate([np.array(x.ids, self.dtype) for x in (self.of_pieces if plain else self.tokenizer).encode_batch_fast(strings, add_special_tokens=False)])
         at = np.flatnonzero(marks[ids])
         if len(at) == len(parts):
             size, skip = self.dtype.itemsize, 0 if lead else self.dtype.itemsize
@@ -260,90 +267,74 @@ class Encoder:
         else:
             known.update((c, self._whole(lead + c)) for c in parts)
 
-    def _taken_apart(self, after: bool, word: str) -> list[tuple[bool, str]] | None:
-        """The parts of a word with line breaks or odd ends, each with whether it follows a space; None: only whole."""
-        if len(word) > LONG or ODD.search(word) or word.count("\n") > 1:
-            return None
-        first, line, second = word.partition("\n")
-        out = [(after, first)]
-        for part in (line, second):
-            base = part.rstrip(MARKS)
-            at = len(base) if base and len(base) < len(part) and base[-1] < "\u0250" and base[-1].isalnum() else len(part)
-            out += [(False, part[:at]), (False, part[at:])]
-        return [(here, part) for here, part in out if part]
-
-    def learn(self, heads: set[str], chunks: set[str]) -> None:
-        """Makes all of ``heads`` (starts of texts) and ``chunks`` known."""
-        known = self.bare, self.chunks
-        ends: list[tuple[str, str, str]] = []
-        cut: list[tuple[bool, str, list[tuple[bool, str]]]] = []
-        fresh: tuple[dict[str, None], dict[str, None]] = {}, {}
-        for word in chunks:
-            base = word.rstrip(MARKS)
-            if "\n" in word or len(word) > LONG:
-                cut.append((True, word, []))
-            elif base and len(base) < len(word) and base[-1] < "\u0250" and base[-1].isalnum():
-                tail = word[len(base) :]
-                ends.append((word, base, tail))
-                fresh[1][base] = fresh[0][tail] = None
-            else:
-                fresh[1][word] = None
-        cut += [(False, word, []) for word in heads]
-        for after, word, parts in cut:
-            parts += self._taken_apart(after, word) or []
-            for here, part in parts:
-                fresh[here][part] = None
-        self.bare.setdefault("\n", self._whole("\n"))
-        self._learn(self.bare, [x for x in fresh[0] if x not in self.bare], "\n", self.breaks, self.tokenizer)
-        parts: tuple[list[str], list[str]] = [], []
-        for x in fresh[1]:
-            if x not in self.chunks:
-                parts[self.by_chunk and PLAIN.fullmatch(x) is not None].append(x)
-        self._learn(self.chunks, parts[0], " ", self.opens, self.tokenizer)
-        self._learn(self.chunks, parts[1], " ", self.opens, self.of_pieces)
-        for after, word, parts in cut:
-            known[after][word] = b"".join([known[here][part] for here, part in parts]) if parts else self._whole(" " * after + word)
-            if len(word) > LONG:
-                self.long.append((known[after], word))
-        self.chunks.update([(word, self.chunks[base] + self.bare[tail]) for word, base, tail in ends])
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of words that aren't known; all but long ones and those with odd white space are kept."""
+        column = pa.array(words, pa.large_string())
+        base = pc.utf8_rtrim(column, characters=MARKS)
+        odd = pc.or_(pc.match_substring_regex(column, f"[{SPACE}]"), pc.greater(pc.utf8_length(column), LONG)).to_numpy(zero_copy_only=False)
+        ends = pc.match_substring_regex(base, rf"[{LETTERS}0-9]\z").to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(base, rf"\A[{LETTERS}]+\z").to_numpy(zero_copy_only=False)
+        cut = ends & pc.not_equal(base, column).to_numpy(zero_copy_only=False)
+        bases = np.where(cut, base.to_numpy(zero_copy_only=False), column.to_numpy(zero_copy_only=False)).tolist()
+        line = pc.starts_with(column, "\n").to_numpy(zero_copy_only=False)
+        chunks, bare = self.chunks, self.bare
+        if "\n" not in bare:
+            bare["\n"] = self._whole("\n")
+        fresh: tuple[dict[str, None], dict[str, None], dict[str, None]] = {}, {}, {}
+        for x, of_plain in zip(bases, np.where(odd | line, 2, plain).tolist(), strict=True):
+            if of_plain != 2 and x not in chunks:
+                fresh[of_plain][x] = None
+        starts = np.flatnonzero(line & ~odd).tolist()
+        tails = np.flatnonzero(cut & ~odd).tolist()
+        for part in [bases[k][1:] for k in starts] + [words[k][len(bases[k]) :] for k in tails]:
+            if part and part not in bare:
+                fresh[2][part] = None
+        self._learn(bare, list(fresh[2]), "\n", self.breaks)
+        self._learn(chunks, list(fresh[0]), " ", self.opens)
+        of_letters = list(fresh[1])
+        self._learn(chunks, [x for x in of_letters if x.isascii()], " ", self.opens, plain=True)
+        self._learn(chunks, [x for x in of_letters if not x.isascii()], " ", self.opens, plain=True)
+        for k in starts:
+            rest = bases[k][1:]
+            chunks[bases[k]] = bare["\n"] + bare[rest] if rest else bare["\n"]
+        out = list(map(chunks.get, bases))
+        for k in tails:
+            chunks[words[k]] = out[k] = out[k] + bare[words[k][len(bases[k]) :]]
+        for k in np.flatnonzero(odd).tolist():
+            out[k] = self._whole(words[k] if line[k] else " " + words[k])
+        return out
+
+    def _of_words(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts that can be cut into words."""
+        first, glue = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
+        lists = pc.split_pattern(pc.binary_join_element_wise(first, pc.replace_substring(texts, "\n", " \n"), glue), " ")
+        coded = lists.flatten().dictionary_encode()
+        index, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.chunks.get, words))
+        missing = [k for k, x in enumerate(found) if x is None]
+        if missing:
+            for k, ids in zip(missing, self.learn([words[k] for k in missing]), strict=True):
+                found[k] = ids
+        pool = np.frombuffer(b"".join(found), self.dtype)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        n = sizes[index]
+        ends = np.cumsum(n)
+        ids = pool[np.repeat((np.cumsum(sizes) - sizes)[index] - ends + n, n) + np.arange(ends[-1])]
+        data, size = ids.tobytes(), self.dtype.itemsize
+        last = ends[np.cumsum(pc.list_value_length(lists).to_numpy()) - 1].tolist()
+        return [data[(lo + 1) * size : hi * size] for lo, hi in zip([0, *last], last, strict=False)]  # without the id of the break in front
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        for known, word in self.long:
-            known.pop(word, None)
-        self.long.clear()
         for name in ("chunks", "bare"):
             if len(known := getattr(self, name)) > self.cache:
                 setattr(self, name, dict(islice(known.items(), self.cache // 2)))  # those met first, so the common ones
-        found: list[tuple[str, list[str], list[bytes], list[int]] | None] = []
-        heads: set[str] = set()
-        fresh: set[str] = set()
-        get, none = self.chunks.get, repeat(b"")
-        for text in texts:
-            if not self.by_chunk or UNSAFE.search(text) or any(s in text for s in self.special):
-                found.append(None)
-                continue
-            head, *words = text.split(" ")
-            ids = list(map(get, words, none))
-            missing, at = [], -1
-            with contextlib.suppress(ValueError):
-                while True:
-                    at = ids.index(b"", at + 1)
-                    missing.append(at)
-            if head and head not in self.bare:
-                heads.add(head)
-            fresh.update([words[i] for i in missing])
-            found.append((head, words, ids, missing))
-        self.learn(heads, fresh)
-        out = []
-        for text, got in zip(texts, found, strict=True):
-            if got is None:
-                out.append(self._whole(text))
-                continue
-            head, words, ids, missing = got
-            for i in missing:
-                ids[i] = self.chunks[words[i]]
-            out.append((self.bare[head] if head else b"") + b"".join(ids))
-        return out
+        column = pa.array(texts, pa.large_string())
+        safe = np.full(len(texts), self.by_chunk)
+        if self.by_chunk:
+            for pattern, find in [(UNSAFE, pc.match_substring_regex), *((x, pc.match_substring) for x in self.special)]:
+                safe &= ~find(column, pattern).to_numpy(zero_copy_only=False)
+        parted = iter(self._of_words(column.filter(pa.array(safe))) if safe.any() else [])
+        return [next(parted) if ok else self._whole(text) for text, ok in zip(texts, safe.tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -382,8 +373,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
+            filled = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()) // TEXT_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(filled)) + 1).tolist(), batch.num_rows]
+            for at, to in zip(cuts, cuts[1:], strict=False):
+                rows = batch.slice(at, to - at)
                 found = encode([t or "" for t in rows.column("text").to_pylist()])
                 for doc_id, ids in zip(rows.column("doc_id").to_pylist(), found, strict=True):
                     blobs.append(ids + end)

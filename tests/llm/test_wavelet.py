@@ -64,3 +64,29 @@ def test_written_and_read(spark, tokenizer, monkeypatch):
 
 def test_empty_table(spark):
     assert wv.written_and_read(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_distinct_words_are_looked_up_once():
+    """However often a word comes in the texts of a call, it is looked up once, as is a line break with its word."""
+
+    class Counting(dict):
+        looked_up = 0
+
+        def get(self, *args):
+            Counting.looked_up += 1
+            return super().get(*args)
+
+    encode = wv.Encoder(wv.tokenizer_path())
+    texts = ["one two, three\none two, three\n" * 50 + "end"] * 20
+    want = encode(texts)
+    encode.chunks = Counting(encode.chunks)
+    assert encode(texts) == want and 0 < Counting.looked_up <= 5
+    whole = Tokenizer.from_file(wv.tokenizer_path())
+    assert np.frombuffer(want[3], encode.dtype).tolist() == whole.encode(texts[3], add_special_tokens=False).ids
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([" ", " a", " b,", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x85", " ", "　", "﻿", "c", "'ll", "é.", "7", "...", "w" * 300, "<|endoftext|>"]), max_size=9).map("".join), max_size=5))
+def test_ids_of_several_texts(texts):
+    whole = test_ids_of_several_texts.__dict__.setdefault("t", Tokenizer.from_file(wv.tokenizer_path()))
+    assert [np.frombuffer(x, ENCODER.dtype).tolist() for x in ENCODER(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
