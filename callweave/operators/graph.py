@@ -43,10 +43,13 @@ def extract_calls(traces: DataFrame, contracts: DataFrame, dedup: bool = False)
     ).join(txs, "transaction_hash")
     place = F.when(F.col("trace_address") == "", F.array().cast("array<int>")).otherwise(F.split("trace_address", ",").cast("array<int>"))
     matches = F.coalesce(F.col("source") == F.col("contract"), F.lit(False))
-    frames = frames.withColumns({"place": place, "opens": matches.cast("int"), "frame": F.lit(True)})
-    ends = frames.filter(matches).withColumns({"place": F.concat("place", F.array(F.lit(END))), "opens": F.lit(-1), "frame": F.lit(False)})
+    # A matching frame is met twice by a join with two rows, not by a union: under a window Spark 4.1 takes the sides of a union as
+    # dealt alike, though at run time each side's partitions are put together by its own sizes.
+    kinds = traces.sparkSession.range(2).select((F.col("id") == 0).alias("frame"))
+    frames = frames.withColumn("place", place).join(F.broadcast(kinds), F.col("frame") | matches)
+    frames = frames.withColumns({"place": F.when(F.col("frame"), F.col("place")).otherwise(F.concat("place", F.array(F.lit(END)))), "opens": F.when(F.col("frame"), matches.cast("int")).otherwise(-1)})
     inside = F.sum("opens").over(Window.partitionBy("contract", "transaction_hash").orderBy("place"))  # with all of an equal place
-    met = frames.unionByName(ends).withColumn("inside", inside).filter(F.col("frame") & (F.col("inside") > 0) & F.col("target").isNotNull())
+    met = frames.withColumn("inside", inside).filter(F.col("frame") & (F.col("inside") > 0) & F.col("target").isNotNull())
     keys = ["contract", "transaction_hash", "trace_address", "source", "target", "type"]
     # Frames that are equal in all of these are one frame each per row of the table.
     return met.groupBy(*keys).agg((F.lit(1) if dedup else F.sum("inside")).cast("long").alias("times"))

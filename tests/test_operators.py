@@ -224,6 +224,15 @@ def test_deep_trees_are_linear_rows(spark, one):
     assert "Generate" not in plan and "explode" not in plan.lower()
 
 
+def test_places_of_a_transaction_meet_in_one_shuffle(spark, one, tmp_path):
+    """Rows that enter and leave a frame aren't the sides of a union: Spark puts the partitions of each side together by its own sizes, and
+    a window above would take them as dealt alike."""
+    rows(spark, (1, "t", "", "call", "c", "a"), (1, "t", "0", "call", "a", "b"), (1, "u", "", "call", "x", "c")).write.parquet(str(tmp_path / "t"))
+    calls = graph.extract_calls(spark.read.parquet(str(tmp_path / "t")), one)
+    assert got(calls, "target", "times") == [("a", 1), ("b", 1)]
+    assert "Union" not in calls._jdf.queryExecution().executedPlan().toString()
+
+
 def test_siblings_and_repeated_rows_of_a_tree(spark):
     """Places sort by numbers (2 before 10), a frame is left before its next sibling, repeated rows count each."""
     t = rows(spark, (1, "t", "", "call", "x", "a"), (1, "t", "2", "call", "c", "b"), (1, "t", "2,10", "call", "b", "d"), (1, "t", "2,9", "call", "b", "e"), (1, "t", "10", "call", "x", "f"), (1, "t", "20", "call", "d", "g"), (1, "t", "20,0", "call", "c", "h"), (1, "t", "20,0", "call", "c", "h"))
