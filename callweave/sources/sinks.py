@@ -11,7 +11,9 @@ from callweave.storage import document_parts, scratch_folder, write_ordered, wri
 
 def node_link_pieces(edges: DataFrame) -> DataFrame:
     """(section, a, b, piece): the graph of one contract as node-link JSON in pieces, a row for each node and each edge and three for
-    what stands around them. Put end to end in the order of (section, a, b) they are the document. Edges are unique by their ends."""
+    what stands around them. Put end to end in the order of (section, a, b) they are the document. Edges are unique by their ends.
+    They are written once, as they are met four times."""
+    edges = written(edges, "edges")
     first_node, first_edge = graph_nodes(edges).agg(F.min("node")).first()[0], edges.agg(F.min(F.struct("source", "target")).alias("e")).first().e
     comma = lambda first, json: F.concat(F.when(first, F.lit("")).otherwise(F.lit(",")), json)
     none = F.lit(None).cast("string")
@@ -26,7 +28,7 @@ def node_link_pieces(edges: DataFrame) -> DataFrame:
 def write_node_link(edges: DataFrame, uri: str) -> None:
     """The graph as one node-link JSON document in ordered parts, each written by a task with an even share (see
     ``storage.write_ordered``; ``storage.read_document`` reads it)."""
-    write_ordered(node_link_pieces(written(edges, "edges")), ["section", "a", "b"], uri)
+    write_ordered(node_link_pieces(edges), ["section", "a", "b"], uri)
 
 
 def edges_to_node_link(edges: DataFrame) -> DataFrame:

@@ -129,6 +129,15 @@ def test_graph_documents(spark, one):
     assert lines[0] == "digraph {" and lines[-1] == "}" and '  "c" -> "a" [label="CALL=1"];' in lines
 
 
+@pytest.mark.parametrize("writer", [sinks.node_link_pieces])
+def test_writers_of_graphs_read_the_traces_once(spark, one, tmp_path, writer):
+    """What they return reads edges that are written, so that calls aren't extracted again for each part of it."""
+    rows(spark, (1, "t", "", "call", "c", "a"), (1, "t", "0", "call", "a", "b")).write.parquet(str(tmp_path / "traces"))
+    out = writer(graph.call_edges(graph.extract_calls(spark.read.parquet(str(tmp_path / "traces")), one)))
+    assert out.count() >= 5
+    assert not [f for f in out.inputFiles() if str(tmp_path) in f]
+
+
 def test_blank_cells_and_later_rows(spark, tmp_path):
     (tmp_path / "a.csv").write_text('transaction_hash,trace_address,action_type,action_from,action_to,result_address\nt,"0,1",call,x,y,\nt,,create,x," ",z\n')
     out = st.read_exporter_csv(spark, f"file://{tmp_path}/a.csv", "a")
