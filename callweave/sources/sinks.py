@@ -43,7 +43,9 @@ def edges_to_node_link(edges: DataFrame) -> DataFrame:
 
 
 def edges_to_json_lines(edges: DataFrame) -> DataFrame:
-    """(kind, line): every node and every edge of a graph as a JSON object of its own, to be written as text."""
+    """(kind, line): every node and every edge of a graph as a JSON object of its own, to be written as text. The edges are written
+    once, as nodes and lines both come from them."""
+    edges = written(edges, "edges")
     nodes = graph_nodes(edges).select(F.lit("node").alias("kind"), F.to_json(F.struct(F.col("node").alias("id"))).alias("line"))
     types = F.map_from_entries(F.array_sort(F.map_entries("types")))
     return nodes.union(edges.select(F.lit("edge"), F.to_json(F.struct(types.alias("types"), "source", "target"))))

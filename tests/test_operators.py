@@ -129,7 +129,7 @@ def test_graph_documents(spark, one):
     assert lines[0] == "digraph {" and lines[-1] == "}" and '  "c" -> "a" [label="CALL=1"];' in lines
 
 
-@pytest.mark.parametrize("writer", [sinks.node_link_pieces])
+@pytest.mark.parametrize("writer", [sinks.node_link_pieces, sinks.edges_to_json_lines])
 def test_writers_of_graphs_read_the_traces_once(spark, one, tmp_path, writer):
     """What they return reads edges that are written, so that calls aren't extracted again for each part of it."""
     rows(spark, (1, "t", "", "call", "c", "a"), (1, "t", "0", "call", "a", "b")).write.parquet(str(tmp_path / "traces"))
