@@ -44,7 +44,7 @@ def extract_calls(traces: DataFrame, contracts: DataFrame, dedup: bool = False)
     place = F.when(F.col("trace_address") == "", F.array().cast("array<int>")).otherwise(F.split("trace_address", ",").cast("array<int>"))
     matches = F.coalesce(F.col("source") == F.col("contract"), F.lit(False))
     # A matching frame is met twice by a join with two rows, not by a union: under a window Spark 4.1 takes the sides of a union as
-    # dealt alike, though at run time each side's partitions are put together by its own sizes.
+    # dealt alike (no shuffle between), and results were wrong on larger tables, probably as each side is coalesced by its own sizes.
     kinds = traces.sparkSession.range(2).select((F.col("id") == 0).alias("frame"))
     frames = frames.withColumn("place", place).join(F.broadcast(kinds), F.col("frame") | matches)
     frames = frames.withColumns({"place": F.when(F.col("frame"), F.col("place")).otherwise(F.concat("place", F.array(F.lit(END)))), "opens": F.when(F.col("frame"), matches.cast("int")).otherwise(-1)})
